@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
+from vacantia.sources.payloads import parsed
 
 HEALTH_CHECKED = ("greenhouse", "lever", "ashby", "smartrecruiters")
 
@@ -16,22 +17,16 @@ def board_health(watchlist: DataFrame, landing: DataFrame) -> DataFrame:
     The latest response of each board counts. An empty board is alive, except
     where the provider answers 200 for unknown boards.
     """
-    body = F.try_parse_json("body")
-    rows = F.try_variant_get(body, "$", "array<variant>")
-    jobs = F.try_variant_get(body, "$.jobs", "array<variant>")
-    total = F.try_variant_get(body, "$.totalFound", "bigint")
-    counted = (F.when(F.col("ats") == "lever", F.size(rows))
-               .when(F.col("ats") == "smartrecruiters", total)
-               .otherwise(F.size(jobs)))
-    answers = (landing.filter(F.col("ats").isin(*HEALTH_CHECKED))
+    paged = F.col("ats") == "smartrecruiters"
+    counted = F.when(paged, F.col("total")).otherwise(F.size("elements")).cast("bigint")
+    answers = (parsed(landing.filter(F.col("ats").isin(*HEALTH_CHECKED)))
                .select("ats", "token", "fetched_at", "status",
-                       F.when(F.col("status") == 200, F.coalesce(counted, F.lit(0)))
-                       .cast("bigint").alias("postings")))
+                       F.when(F.col("status") == 200, counted).alias("postings")))
     latest = (answers.groupBy("ats", "token")
               .agg(F.max_by(F.struct("status", "postings"),
                             F.struct("fetched_at", "postings")).alias("r"))
               .select("ats", "token", "r.*"))
-    suspect = (F.col("ats") == "smartrecruiters") & (F.col("postings") == 0)
+    suspect = paged & (F.col("postings") == 0)
     alive = (F.col("status") == 200) & ~suspect
     detail = (F.when(F.col("status").isNull(), "no response")
               .when(F.col("status") == 404, "404")

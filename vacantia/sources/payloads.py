@@ -1,9 +1,9 @@
 """Landed board payloads to typed postings.
 
 Input is the landing table ``(ats, token, fetched_at, status, body)``. A body
-is parsed once into VARIANT elements; fields are read from the elements, and
-the element itself is kept as ``raw``. Every reader is a narrow map over the
-landing scan: no shuffle, filters on ``ats`` and ``status`` reach the scan.
+is parsed once into VARIANT elements, whatever the provider, and fields are
+read from the elements; the element itself is kept as ``raw``. All providers
+go through one scan and one explode, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,19 +15,15 @@ from vacantia import fixed_values as fv
 from vacantia import schemas
 from vacantia.functions.text import first_non_empty, non_empty, section_text
 
-# Where a body keeps its postings, and what the source is called in each table.
-# The job source and the board type differ in name for one provider.
-SHAPES = {
-    "greenhouse": ("struct<jobs:array<variant>>", "body.jobs", "greenhouse"),
-    "lever": ("array<variant>", "body", "lever"),
-    "ashby": ("struct<jobs:array<variant>>", "body.jobs", "ashby"),
-    "smartrecruiters": ("struct<totalFound:bigint,offset:bigint,content:array<variant>>",
-                        "body.content", "smartrec"),
-    "github_repos": ("array<variant>", "body", "github_repo"),
-}
-SOURCE_OF = {ats: shape[2] for ats, shape in SHAPES.items()}
+# The job source and the board type differ in name for two providers.
+SOURCE_OF = {"greenhouse": "greenhouse", "lever": "lever", "ashby": "ashby",
+             "smartrecruiters": "smartrec", "github_repos": "github_repo"}
 MISSING_BOARD_ALLOWED = ("greenhouse", "lever", "ashby")
 
+_JOBS = "struct<jobs:array<variant>,_corrupt_record:string>"
+_PAGE = "struct<totalFound:bigint,offset:bigint,content:array<variant>,_corrupt_record:string>"
+_ROWS = "array<variant>"
+
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Landing files as JSON lines with an explicit schema."""
@@ -55,140 +51,160 @@ def answered(status: Column) -> Column:
     return status.between(200, 299)
 
 
-def parsed(landing: DataFrame, ats: str) -> DataFrame:
-    """The answered bodies of one provider, parsed."""
-    shape = SHAPES[ats][0]
-    return (landing.filter((F.col("ats") == ats) & answered(F.col("status")))
-            .withColumn("body", F.from_json("body", shape)))
+def parsed(landing: DataFrame) -> DataFrame:
+    """Landing rows with their parsed parts.
 
+    ``elements`` holds the postings, ``total`` and ``page`` the paging fields,
+    ``readable`` tells whether an answered body parses.
+    """
+    in_jobs, in_page = F.col("ats").isin("greenhouse", "ashby"), F.col("ats") == "smartrecruiters"
+    ok, none = answered(F.col("status")), F.array().cast(_ROWS)
+    shapes = landing.withColumns({
+        "jobs": F.when(ok & in_jobs, F.from_json("body", _JOBS)),
+        "paged": F.when(ok & in_page, F.from_json("body", _PAGE)),
+        "rows": F.when(ok & ~in_jobs & ~in_page, F.from_json("body", _ROWS))})
+    intact = (F.when(in_jobs, F.col("jobs._corrupt_record").isNull())
+              .when(in_page, F.col("paged._corrupt_record").isNull())
+              .otherwise(F.col("rows").isNotNull()))
+    elements = (F.when(in_jobs, F.col("jobs.jobs")).when(in_page, F.col("paged.content"))
+                .otherwise(F.col("rows")))
+    return shapes.select(
+        "ats", "token", "fetched_at", "status", (ok & intact).alias("readable"),
+        F.coalesce(elements, none).alias("elements"),
+        F.coalesce("paged.totalFound", F.lit(0)).alias("total"),
+        F.coalesce("paged.offset", F.lit(0)).alias("page"))
+
+
+# --- fields per provider ----------------------------------------------------------
+
+def _greenhouse(raw: Column) -> dict[str, Column]:
+    return {
+        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
+        "location": text_at(raw, "$.location.name"), "url": text_at(raw, "$.absolute_url"),
+        "description": text_at(raw, "$.content"),
+        "posted_at": instant(first_non_empty(text_at(raw, "$.first_published"),
+                                             text_at(raw, "$.updated_at")))}
+
+
+def _lever(raw: Column) -> dict[str, Column]:
+    created = F.nullif(F.try_variant_get(raw, "$.createdAt", "bigint"), F.lit(0))
+    return {
+        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.text"),
+        "location": text_at(raw, "$.categories.location"), "url": text_at(raw, "$.hostedUrl"),
+        "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
+                                  text_at(raw, "$.description")),
+        "posted_at": F.timestamp_millis(created)}
 
-def _elements(landing: DataFrame, ats: str) -> DataFrame:
-    return (parsed(landing, ats)
-            .select("token", "fetched_at", F.posexplode(SHAPES[ats][1]).alias("position", "raw")))
 
+def _ashby(raw: Column) -> dict[str, Column]:
+    return {
+        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
+        "location": text_at(raw, "$.location"), "url": text_at(raw, "$.jobUrl"),
+        "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
+                                  text_at(raw, "$.descriptionHtml")),
+        "posted_at": instant(text_at(raw, "$.publishedAt"))}
 
-def _postings(elements: DataFrame, ats: str, **fields: Column) -> DataFrame:
-    return elements.select(
-        F.lit(SOURCE_OF[ats]).alias("source"), F.lit(ats).alias("ats"), "token", "fetched_at",
-        "position", *[c.alias(name) for name, c in fields.items()], "raw")
 
+def _smartrecruiters(raw: Column) -> dict[str, Column]:
+    """The list has no description and no posting URL."""
+    job = text_at(raw, "$.id")
+    return {
+        "external_id": job, "title": text_at(raw, "$.name"),
+        "location": F.coalesce(non_empty(text_at(raw, "$.location.fullLocation")),
+                               text_at(raw, "$.location.city")),
+        "url": F.concat(F.lit(fv.SMARTRECRUITERS_URL), F.col("token"), F.lit("/"), job),
+        "description": F.lit(None).cast("string"),
+        "posted_at": instant(text_at(raw, "$.releasedDate"))}
 
-def greenhouse(landing: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    return _postings(
-        _elements(landing, "greenhouse"), "greenhouse",
-        external_id=text_at(raw, "$.id"), title=text_at(raw, "$.title"),
-        location=text_at(raw, "$.location.name"), url=text_at(raw, "$.absolute_url"),
-        description=text_at(raw, "$.content"),
-        posted_at=instant(first_non_empty(text_at(raw, "$.first_published"),
-                                          text_at(raw, "$.updated_at"))))
 
+def _listing(raw: Column) -> dict[str, Column]:
+    places = F.try_variant_get(raw, "$.locations", "array<string>")
+    posted = F.nullif(F.try_variant_get(raw, "$.date_posted", "bigint"), F.lit(0))
+    return {
+        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
+        "location": non_empty(F.array_join(places, ", ")), "url": text_at(raw, "$.url"),
+        "description": F.lit(None).cast("string"), "posted_at": F.timestamp_seconds(posted)}
 
-def lever(landing: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    created = F.nullif(F.try_variant_get(raw, "$.createdAt", "bigint"), F.lit(0))
-    return _postings(
-        _elements(landing, "lever"), "lever",
-        external_id=text_at(raw, "$.id"), title=text_at(raw, "$.text"),
-        location=text_at(raw, "$.categories.location"), url=text_at(raw, "$.hostedUrl"),
-        description=F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                               text_at(raw, "$.description")),
-        posted_at=F.timestamp_millis(created))
 
+FIELDS = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby,
+          "smartrecruiters": _smartrecruiters, "github_repos": _listing}
 
-def ashby(landing: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    return _postings(
-        _elements(landing, "ashby").filter(switched_on(raw, "$.isListed")), "ashby",
-        external_id=text_at(raw, "$.id"), title=text_at(raw, "$.title"),
-        location=text_at(raw, "$.location"), url=text_at(raw, "$.jobUrl"),
-        description=F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                               text_at(raw, "$.descriptionHtml")),
-        posted_at=instant(text_at(raw, "$.publishedAt")))
 
+def _shown(raw: Column) -> Column:
+    """Whether the provider still shows the posting."""
+    ats = F.col("ats")
+    return (F.when(ats == "ashby", switched_on(raw, "$.isListed"))
+            .when(ats == "github_repos",
+                  switched_on(raw, "$.active") & switched_on(raw, "$.is_visible"))
+            .otherwise(F.lit(True)))
 
-def smartrecruiters(landing: DataFrame) -> DataFrame:
-    """All pages of a company; the list has no description and no posting URL."""
-    raw = F.col("raw")
-    job = text_at(raw, "$.id")
-    return _postings(
-        _elements(landing, "smartrecruiters"), "smartrecruiters",
-        external_id=job, title=text_at(raw, "$.name"),
-        location=F.coalesce(non_empty(text_at(raw, "$.location.fullLocation")),
-                            text_at(raw, "$.location.city")),
-        url=F.concat(F.lit(fv.SMARTRECRUITERS_URL), F.col("token"), F.lit("/"), job),
-        description=F.lit(None).cast("string"),
-        posted_at=instant(text_at(raw, "$.releasedDate")))
 
+def _by_provider(values: dict[str, Column]) -> Column:
+    (ats, value), *rest = values.items()
+    out = F.when(F.col("ats") == ats, value)
+    for ats, value in rest:
+        out = out.when(F.col("ats") == ats, value)
+    return out
 
-def listings(landing: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    places = F.try_variant_get(raw, "$.locations", "array<string>")
-    posted = F.nullif(F.try_variant_get(raw, "$.date_posted", "bigint"), F.lit(0))
-    shown = switched_on(raw, "$.active") & switched_on(raw, "$.is_visible")
-    return _postings(
-        _elements(landing, "github_repos").filter(shown), "github_repos",
-        external_id=text_at(raw, "$.id"), title=text_at(raw, "$.title"),
-        location=non_empty(F.array_join(places, ", ")), url=text_at(raw, "$.url"),
-        description=F.lit(None).cast("string"), posted_at=F.timestamp_seconds(posted))
 
+def all_postings(landing: DataFrame) -> DataFrame:
+    """Every provider in one shape."""
+    raw = F.col("raw")
+    rows = (parsed(landing)
+            .select("ats", "token", "fetched_at", F.posexplode("elements").alias("position", "raw"))
+            .filter(_shown(raw)))
+    fields = {ats: of(raw) for ats, of in FIELDS.items()}
+    names = list(fields["greenhouse"])
+    return rows.select(
+        _by_provider({a: F.lit(s) for a, s in SOURCE_OF.items()}).alias("source"),
+        "ats", "token", "fetched_at", "position",
+        *[_by_provider({a: f[n] for a, f in fields.items()}).alias(n) for n in names], "raw")
 
-READERS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby,
-           "smartrecruiters": smartrecruiters, "github_repos": listings}
 
+def postings_of(landing: DataFrame, ats: str) -> DataFrame:
+    """The postings of one provider; the condition reaches the landing scan."""
+    return all_postings(landing.filter(F.col("ats") == ats))
 
-def all_postings(landing: DataFrame) -> DataFrame:
-    """Every provider in one shape."""
-    first, *rest = [read(landing) for read in READERS.values()]
-    for part in rest:
-        first = first.unionByName(part)
-    return first
 
+# --- companies and boards -----------------------------------------------------------
 
 def board_companies(landing: DataFrame) -> DataFrame:
-    """Company rows of the boards: ``(ats, token, fetched_at, name)``.
+    """Company names of the boards: ``(ats, token, fetched_at, name)``.
 
-    Empty boards still name a company, except for paged boards, where the
-    first item of the first non-empty page gives the name. Listings name the
-    company per row and carry no board.
+    Empty boards still name a company, except paged boards, where the first
+    item of the first non-empty page gives the name. Listing files are no
+    boards; they name the company on every row.
     """
-    kinds = ("token", "fetched_at")
-    green = parsed(landing, "greenhouse").filter("body IS NOT NULL").select(
-        F.lit("greenhouse").alias("ats"), *kinds,
-        first_non_empty(text_at(F.get("body.jobs", F.lit(0)), "$.company_name"),
-                        F.col("token")).alias("name"))
-    named = [parsed(landing, ats).filter("body IS NOT NULL").select(
-        F.lit(ats).alias("ats"), *kinds, F.col("token").alias("name"))
-        for ats in ("lever", "ashby")]
-    paged = (parsed(landing, "smartrecruiters")
-             .filter(F.size("body.content") > 0)
-             .groupBy("token", "fetched_at")
-             .agg(F.min_by(F.struct(text_at(F.get("body.content", F.lit(0)), "$.company.name")
-                                    .alias("name")),
-                           F.coalesce("body.offset", F.lit(0))).alias("first"))
-             .select(F.lit("smartrecruiters").alias("ats"), *kinds,
-                     first_non_empty(F.col("first.name"), F.col("token")).alias("name")))
-    rows = (_elements(landing, "github_repos")
-            .filter(switched_on(F.col("raw"), "$.active")
-                    & switched_on(F.col("raw"), "$.is_visible"))
-            .groupBy(text_at(F.col("raw"), "$.company_name").alias("name"))
-            .agg(F.min("fetched_at").alias("fetched_at"))
-            .select(F.lit(None).cast("string").alias("ats"),
-                    F.lit(None).cast("string").alias("token"), "fetched_at", "name"))
-    out = green
-    for part in (*named, paged, rows):
-        out = out.unionByName(part)
-    return out
+    first = F.get("elements", F.lit(0))
+    own = (F.when(F.col("ats") == "greenhouse", text_at(first, "$.company_name"))
+           .when(F.col("ats") == "smartrecruiters", text_at(first, "$.company.name")))
+    named = (F.col("ats") != "smartrecruiters") | (F.size("elements") > 0)
+    return (parsed(landing)
+            .filter((F.col("ats") != "github_repos") & F.col("readable") & named)
+            .select("ats", "token", "fetched_at", "page", own.alias("own"))
+            .groupBy("ats", "token", "fetched_at")
+            .agg(F.min_by(F.struct("own"), F.struct("page", "own")).alias("first"))
+            .select("ats", "token", "fetched_at",
+                    first_non_empty(F.col("first.own"), F.col("token")).alias("name")))
+
+
+def with_company_name(postings: DataFrame, boards: DataFrame) -> DataFrame:
+    """Attach the company name each posting belongs to."""
+    board = boards.withColumnRenamed("name", "board_name")
+    per_row = F.when(F.col("ats") == "github_repos", text_at(F.col("raw"), "$.company_name"))
+    return (postings.join(board, ["ats", "token", "fetched_at"], "left")
+            .withColumn("name", F.coalesce(per_row, "board_name")).drop("board_name"))
 
 
-def company_name_of(postings: DataFrame, boards: DataFrame) -> DataFrame:
-    """Attach the company name each posting belongs to."""
-    board_names = boards.filter("token IS NOT NULL").select("ats", "token", "fetched_at", "name")
-    by_row = (postings.filter(F.col("ats") == "github_repos")
-              .withColumn("name", text_at(F.col("raw"), "$.company_name")))
-    by_board = (postings.filter(F.col("ats") != "github_repos")
-                .join(board_names, ["ats", "token", "fetched_at"]))
-    return by_board.unionByName(by_row)
+def company_sightings(named: DataFrame, boards: DataFrame) -> DataFrame:
+    """Rows for the company upsert: boards with their token, listings without."""
+    listed = (named.filter("ats = 'github_repos'").groupBy("name")
+              .agg(F.min("fetched_at").alias("fetched_at"))
+              .select("name", F.lit(None).cast("string").alias("ats_type"),
+                      F.lit(None).cast("string").alias("ats_token"), "fetched_at"))
+    return (boards.select("name", F.col("ats").alias("ats_type"),
+                          F.col("token").alias("ats_token"), "fetched_at").unionByName(listed)
+            .select("name", "ats_type", "ats_token", F.unix_micros("fetched_at").alias("seq")))
 
 
 def board_status(landing: DataFrame) -> DataFrame:
@@ -198,13 +214,14 @@ def board_status(landing: DataFrame) -> DataFrame:
     error, or a body that does not parse, fails that board only.
     """
     gone = (F.col("status") == 404) & F.col("ats").isin(*MISSING_BOARD_ALLOWED)
-    readable = F.when(answered(F.col("status")), F.try_parse_json("body").isNotNull())
-    outcome = (F.when(gone, "missing").when(readable, "ok").otherwise("failed"))
-    return landing.select("ats", "token", "fetched_at", "status", outcome.alias("outcome"))
+    outcome = F.when(gone, "missing").when(F.col("readable"), "ok").otherwise("failed")
+    return parsed(landing).select("ats", "token", "fetched_at", "status", outcome.alias("outcome"))
+
 
+# --- details ------------------------------------------------------------------------
 
 def smartrecruiters_details(detail: DataFrame) -> DataFrame:
-    """Detail payloads ``(external_id, body)`` to ``(external_id, description, url)``."""
+    """Detail payloads ``(external_id, body)`` to text and exact URL."""
     d = F.from_json("body", schemas.SMARTRECRUITERS_DETAIL)
     return (detail.select("external_id", d.alias("d"))
             .select(F.lit("smartrec").alias("source"), "external_id",
