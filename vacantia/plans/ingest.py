@@ -21,18 +21,12 @@ FIELDS = ["source", "external_id", "title", "location", "url", "description", "p
 _FIELDS = ", ".join(FIELDS)
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """Instants as UTC wall-clock values, which is what the oracle returns."""
-    return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema
-                           if f.dataType.typeName() == "timestamp"})
-
-
 # --- payloads -------------------------------------------------------------------
 
 def _register_source(ats: str) -> None:
     @query(f"source_{ats}", f"SELECT {_FIELDS} FROM ({EXPECTED[ats]})")
     def _(t):
-        return plain(payloads.postings_of(landing(t, ats), ats).select(*FIELDS))
+        return payloads.postings_of(landing(t, ats), ats).select(*FIELDS)
 
 
 for _ats in BODIES:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vacantia.plans.views import VIEWS
 from vacantia.session import configure
@@ -47,10 +48,17 @@ def with_views(sql: str) -> str:
     return head + ",\n".join(used) + ",\n" + body
 
 
+def wall_clock(df: DataFrame) -> DataFrame:
+    """Instants as UTC wall-clock values, the form the oracle returns."""
+    instants = {f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema
+                if f.dataType.typeName() == "timestamp"}
+    return df.withColumns(instants) if instants else df
+
+
 def query(name: str, oracle: str | None = None):
     """Register a function of :class:`Tables` as a driver query."""
     def add(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: wall_clock(build(Tables(spark, sf_dir)))
         if oracle is not None:
             ORACLES[name] = with_views(oracle)
         return build
