@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions import similarity as sim
 from vacantia.functions.scoring import fiscal_year, score_milli, score_status, score_value
+from vacantia.session import spread, stash
 
 
 def employer_totals(filings: DataFrame) -> DataFrame:
@@ -30,21 +31,27 @@ def similar_employers(names: DataFrame, employers: DataFrame,
     pair at the ratio; length, edit distance and trigram overlap cut them down
     in the JVM and the exact ratio decides.
     """
-    left = names.select("name_normalized", sim.sorted_tokens(F.col("name_normalized")).alias("a"))
-    right = employers.select("employer_norm", sim.sorted_tokens(F.col("employer_norm")).alias("b"))
+    left = spread(names.select("name_normalized"), "name_normalized").select(
+        "name_normalized", sim.sorted_tokens(F.col("name_normalized")).alias("a"))
+    right = spread(employers.select("employer_norm"), "employer_norm").select(
+        "employer_norm", sim.sorted_tokens(F.col("employer_norm")).alias("b"))
     probe = left.withColumn("k", F.explode(sim.probe_keys("a", percent))).select(
         "name_normalized", "a", "k.*")
     index = right.withColumn("k", F.explode(sim.segment_keys("b", percent))).select(
         "employer_norm", "b", "k.*")
     near = (probe.join(index, ["len", "seg", "part"])
             .filter(sim.may_match(F.col("a"), F.col("b"), percent))
-            .select("name_normalized", "employer_norm", "a", "b").distinct())
+            .select("name_normalized", "employer_norm", "a", "b"))
+    near = spread(near, "name_normalized", "employer_norm").dropDuplicates(
+        ["name_normalized", "employer_norm"])
     common, union = sim.trigram_counts(sim.trigrams(F.col("name_normalized")),
                                        sim.trigrams(F.col("employer_norm")))
-    return (near.filter(common * 10 >= union * fv.TRIGRAM_TENTHS)
-            .withColumn("lcs", sim.lcs_length("a", "b"))
+    # The trigram test is the costliest per pair and comes last; above the ratio
+    # column it stays there and is not pushed into the join.
+    return (near.withColumn("lcs", sim.lcs_length("a", "b"))
             .withColumn("n", F.length("a") + F.length("b"))
             .filter(F.col("lcs") * 200 >= F.col("n") * percent)
+            .filter(common * 10 >= union * fv.TRIGRAM_TENTHS)
             .select("name_normalized", "employer_norm",
                     (F.col("lcs") * 200.0 / F.col("n")).alias("ratio")))
 
@@ -79,10 +86,11 @@ def score_companies(companies: DataFrame, filings: DataFrame, as_of: Column) ->
     """Scores of the still unknown companies.
 
     ``(id, name_normalized, employer_norm, sponsor_score, sponsor_status)``;
-    a company without a match stays unknown at 0.
+    a company without a match stays unknown at 0. The filings are read once:
+    their totals, one row per employer, are written and used three times.
     """
     todo = unknown_companies(companies).select("id", "name_normalized")
-    totals = employer_totals(filings)
+    totals = stash(employer_totals(filings), "sponsor-totals")
     best = best_employer(todo, totals.select("employer_norm"))
     milli = score_milli(F.col("approvals"), F.col("denials"), F.col("latest_year"),
                         fiscal_year(as_of))

@@ -24,17 +24,18 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame, as_of: C
          notified: DataFrame | None = None) -> Cycle:
     """Parse, name, upsert, look up, classify, insert, select alerts, count.
 
-    ``job_keys(source, external_id)`` are the stored postings. Payloads are
-    parsed once; what several steps need is written to the scratch folder.
+    ``job_keys(source, external_id)`` are the stored postings. The landing
+    table is read and parsed once; its typed rows are written to the scratch
+    folder, and the later steps read the columns they need.
     """
-    boards = stash(payloads.board_companies(landing), "cycle-boards")
-    named = stash(payloads.with_company_name(payloads.all_postings(landing), boards),
-                  "cycle-postings")
-    state = stash(load.upsert_companies(companies, payloads.company_sightings(named, boards)),
+    typed = stash(payloads.typed(landing), "cycle-typed")
+    boards = stash(payloads.board_companies(typed), "cycle-boards")
+    state = stash(load.upsert_companies(companies, payloads.company_sightings(typed, boards)),
                   "cycle-companies")
+    named = payloads.with_company_name(payloads.postings(typed), boards)
     rows = load.new_job_rows(load.with_company_id(named, state), as_of)
     new_jobs = stash(load.insert_if_absent(rows, job_keys, POSTING_ORDER), "cycle-new")
     sent = alerts.select_alerts(new_jobs, state, run=("source",), notified=notified,
                                 insert_order=("fetched_at", "token", "position", "id"))
-    log = runlog.poll_summary(payloads.board_status(landing), new_jobs, ran_at=as_of)
+    log = runlog.poll_summary(payloads.board_status(typed), new_jobs, ran_at=as_of)
     return Cycle(state, new_jobs, sent, log)

@@ -10,6 +10,7 @@ from vacantia.functions import scoring, similarity, text
 from vacantia.operators import alerts, dedup, retention, sponsor
 from vacantia.plans import oracle_parts as o
 from vacantia.plans.registry import Tables, query
+from vacantia.session import stash
 
 ORDERS_AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-02-15"
@@ -222,7 +223,8 @@ def _(t):
 @query("sponsor_match", f"WITH {_EMPLOYERS}, {_MATCH} SELECT name_normalized, employer_norm, ratio FROM best")
 def _(t):
     todo = sponsor.unknown_companies(companies(t))
-    return sponsor.best_employer(todo, sponsor.employer_totals(filings(t)))
+    totals = stash(sponsor.employer_totals(filings(t)), "sponsor-totals")
+    return sponsor.best_employer(todo, totals)
 
 
 @query("sponsor_scores", f"{_SCORES} SELECT * FROM scores")

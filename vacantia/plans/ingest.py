@@ -47,8 +47,8 @@ def _(t):
 
 @query("posting_company", f"SELECT source, external_id, company FROM ({EXPECTED_ALL})")
 def _(t):
-    landed = landing(t)
-    named = payloads.with_company_name(payloads.all_postings(landed), payloads.board_companies(landed))
+    rows = payloads.typed(landing(t))
+    named = payloads.with_company_name(payloads.postings(rows), payloads.board_companies(rows))
     return named.select("source", "external_id", F.col("name").alias("company"))
 
 
@@ -58,7 +58,7 @@ UNION ALL SELECT a, 'board'||o_orderkey, 'board'||o_orderkey FROM orders, (VALUE
 UNION ALL SELECT 'smartrecruiters', 'c'||o_custkey, CASE WHEN o_custkey%3=0 THEN 'c'||o_custkey ELSE {NAME}||' '||min(o_orderkey) END
   FROM orders WHERE {OK} AND o_orderkey%9<>0 GROUP BY o_custkey, o_orderdate""")
 def _(t):
-    return payloads.board_companies(landing(t)).select("ats", "token", "name")
+    return payloads.board_companies(payloads.typed(landing(t))).select("ats", "token", "name")
 
 
 @query("board_status", """
@@ -66,7 +66,7 @@ SELECT ats, CASE o_orderpriority WHEN '1-URGENT' THEN CASE WHEN ats IN ('greenho
   WHEN '2-HIGH' THEN 'failed' ELSE 'ok' END AS outcome, CAST(count(*) AS BIGINT) AS responses
 FROM orders, (VALUES ('greenhouse'),('lever'),('ashby'),('smartrecruiters'),('github_repos')) x(ats) GROUP BY ALL""")
 def _(t):
-    return (payloads.board_status(landing(t)).groupBy("ats", "outcome")
+    return (payloads.board_status(payloads.typed(landing(t))).groupBy("ats", "outcome")
             .agg(F.count("*").alias("responses")))
 
 
@@ -78,8 +78,8 @@ SELECT b.ats AS source, failed=0 AS ok, boards-failed AS boards_ok, boards, coal
   (boards-failed)||'/'||boards||CASE WHEN b.ats='github_repos' THEN ' repos, ' ELSE ' boards, ' END||coalesce(added,0)||' new' AS detail
 FROM b LEFT JOIN n USING (ats)""")
 def _(t):
-    landed = landing(t)
-    return runlog.poll_summary(payloads.board_status(landed), payloads.all_postings(landed))
+    rows = payloads.typed(landing(t))
+    return runlog.poll_summary(payloads.board_status(rows), payloads.postings(rows))
 
 
 _SECTIONS = """map('jobDescription', named_struct('title', CASE WHEN o_orderkey%3=0 THEN '' ELSE 'The job' END, 'text', o_orderpriority),

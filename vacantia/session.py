@@ -55,3 +55,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts.
+
+    For work that costs far more than its bytes suggest: an explicit number is
+    not merged into a few tasks by size. A following aggregate or distinct on
+    the same keys needs no further shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

@@ -3,7 +3,8 @@
 Input is the landing table ``(ats, token, fetched_at, status, body)``. A body
 is parsed once into VARIANT elements, whatever the provider, and fields are
 read from the elements; the element itself is kept as ``raw``. All providers
-go through one scan and one explode, without a shuffle.
+go through one scan and one explode, without a shuffle (``typed``); postings,
+board names and outcomes are read off that table.
 """
 
 from __future__ import annotations
@@ -147,18 +148,36 @@ def _by_provider(values: dict[str, Column]) -> Column:
     return out
 
 
-def all_postings(landing: DataFrame) -> DataFrame:
-    """Every provider in one shape."""
-    raw = F.col("raw")
-    rows = (parsed(landing)
-            .select("ats", "token", "fetched_at", F.posexplode("elements").alias("position", "raw"))
-            .filter(_shown(raw)))
-    fields = {ats: of(raw) for ats, of in FIELDS.items()}
-    names = list(fields["greenhouse"])
+def typed(landing: DataFrame) -> DataFrame:
+    """One pass over the landing table: a typed row per element.
+
+    A response without elements keeps one row with a NULL position, so boards
+    and outcomes can be told from the same table. ``shown`` marks postings.
+    """
+    raw, ats = F.col("raw"), F.col("ats")
+    rows = parsed(landing).select(
+        "ats", "token", "fetched_at", "status", "readable", "page",
+        F.posexplode_outer("elements").alias("position", "raw"))
+    fields = {name: of(raw) for name, of in FIELDS.items()}
+    company = (F.when(ats.isin("greenhouse", "github_repos"), text_at(raw, "$.company_name"))
+               .when(ats == "smartrecruiters", text_at(raw, "$.company.name")))
     return rows.select(
         _by_provider({a: F.lit(s) for a, s in SOURCE_OF.items()}).alias("source"),
         "ats", "token", "fetched_at", "position",
-        *[_by_provider({a: f[n] for a, f in fields.items()}).alias(n) for n in names], "raw")
+        *[_by_provider({a: f[n] for a, f in fields.items()}).alias(n)
+          for n in fields["greenhouse"]],
+        "raw", "status", "readable", "page", company.alias("company"),
+        (F.col("position").isNotNull() & _shown(raw)).alias("shown"))
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """The postings among typed rows."""
+    return rows.filter("shown").drop("status", "readable", "page", "shown")
+
+
+def all_postings(landing: DataFrame) -> DataFrame:
+    """Every provider in one shape."""
+    return postings(typed(landing)).drop("company")
 
 
 def postings_of(landing: DataFrame, ats: str) -> DataFrame:
@@ -168,18 +187,20 @@ def postings_of(landing: DataFrame, ats: str) -> DataFrame:
 
 # --- companies and boards -----------------------------------------------------------
 
-def board_companies(landing: DataFrame) -> DataFrame:
+def _per_response(rows: DataFrame) -> DataFrame:
+    return rows.filter("position IS NULL OR position = 0")
+
+
+def board_companies(rows: DataFrame) -> DataFrame:
     """Company names of the boards: ``(ats, token, fetched_at, name)``.
 
     Empty boards still name a company, except paged boards, where the first
     item of the first non-empty page gives the name. Listing files are no
     boards; they name the company on every row.
     """
-    first = F.get("elements", F.lit(0))
-    own = (F.when(F.col("ats") == "greenhouse", text_at(first, "$.company_name"))
-           .when(F.col("ats") == "smartrecruiters", text_at(first, "$.company.name")))
-    named = (F.col("ats") != "smartrecruiters") | (F.size("elements") > 0)
-    return (parsed(landing)
+    named = (F.col("ats") != "smartrecruiters") | F.col("position").isNotNull()
+    own = F.when(F.col("ats").isin("greenhouse", "smartrecruiters"), F.col("company"))
+    return (_per_response(rows)
             .filter((F.col("ats") != "github_repos") & F.col("readable") & named)
             .select("ats", "token", "fetched_at", "page", own.alias("own"))
             .groupBy("ats", "token", "fetched_at")
@@ -188,17 +209,18 @@ def board_companies(landing: DataFrame) -> DataFrame:
                     first_non_empty(F.col("first.own"), F.col("token")).alias("name")))
 
 
-def with_company_name(postings: DataFrame, boards: DataFrame) -> DataFrame:
+def with_company_name(rows: DataFrame, boards: DataFrame) -> DataFrame:
     """Attach the company name each posting belongs to."""
     board = boards.withColumnRenamed("name", "board_name")
-    per_row = F.when(F.col("ats") == "github_repos", text_at(F.col("raw"), "$.company_name"))
-    return (postings.join(board, ["ats", "token", "fetched_at"], "left")
-            .withColumn("name", F.coalesce(per_row, "board_name")).drop("board_name"))
+    per_row = F.when(F.col("ats") == "github_repos", F.col("company"))
+    return (rows.join(board, ["ats", "token", "fetched_at"], "left")
+            .withColumn("name", F.coalesce(per_row, "board_name"))
+            .drop("board_name", "company"))
 
 
-def company_sightings(named: DataFrame, boards: DataFrame) -> DataFrame:
+def company_sightings(rows: DataFrame, boards: DataFrame) -> DataFrame:
     """Rows for the company upsert: boards with their token, listings without."""
-    listed = (named.filter("ats = 'github_repos'").groupBy("name")
+    listed = (rows.filter("shown AND ats = 'github_repos'").groupBy(F.col("company").alias("name"))
               .agg(F.min("fetched_at").alias("fetched_at"))
               .select("name", F.lit(None).cast("string").alias("ats_type"),
                       F.lit(None).cast("string").alias("ats_token"), "fetched_at"))
@@ -207,7 +229,7 @@ def company_sightings(named: DataFrame, boards: DataFrame) -> DataFrame:
             .select("name", "ats_type", "ats_token", F.unix_micros("fetched_at").alias("seq")))
 
 
-def board_status(landing: DataFrame) -> DataFrame:
+def board_status(rows: DataFrame) -> DataFrame:
     """Outcome per landed response: ``ok``, ``missing`` or ``failed``.
 
     A 404 means a missing board where the provider uses it that way; any other
@@ -215,7 +237,8 @@ def board_status(landing: DataFrame) -> DataFrame:
     """
     gone = (F.col("status") == 404) & F.col("ats").isin(*MISSING_BOARD_ALLOWED)
     outcome = F.when(gone, "missing").when(F.col("readable"), "ok").otherwise("failed")
-    return parsed(landing).select("ats", "token", "fetched_at", "status", outcome.alias("outcome"))
+    return _per_response(rows).select("ats", "token", "fetched_at", "status",
+                                      outcome.alias("outcome"))
 
 
 # --- details ------------------------------------------------------------------------
