@@ -105,6 +105,9 @@ def ratio_reached(a: Column, b: Column, percent: int) -> Column:
 # and join on equality.
 
 
+_EMPTY = "struct(0 AS len, 0 AS seg, '' AS part)"  # an empty string only meets another
+
+
 def _reach(length: str, p: int) -> str:
     return f"(({length}) * {200 - p} div {p})"
 
@@ -127,11 +130,11 @@ def segment_keys(column: str, percent: int) -> Column:
     """Keys of the indexed side: ``(len, seg, part)`` for every segment."""
     n = f"length({column})"
     return F.expr(f"""
-        CASE WHEN {n} > 0 THEN transform(sequence(0, int({_segments(n, percent)}) - 1), i ->
+        CASE WHEN {n} = 0 THEN array({_EMPTY})
+        WHEN {n} > 0 THEN transform(sequence(0, int({_segments(n, percent)}) - 1), i ->
             struct({n} AS len, i AS seg,
                    substring({column}, int({_start(n, 'i', percent)}) + 1,
-                             int({_width(n, 'i', percent)})) AS part))
-        ELSE array() END""")
+                             int({_width(n, 'i', percent)})) AS part)) END""")
 
 
 def probe_keys(column: str, percent: int, not_longer: bool = False) -> Column:
@@ -148,12 +151,11 @@ def probe_keys(column: str, percent: int, not_longer: bool = False) -> Column:
     high = f"least(i, {n} - l + ({most} - i))"
     start, width = f"int({_start('l', 'i', percent)})", f"int({_width('l', 'i', percent)})"
     return F.expr(f"""
-        CASE WHEN {n} > 0 THEN array_distinct(flatten(transform(sequence({shortest}, {longest}), l ->
+        CASE WHEN {n} = 0 THEN array({_EMPTY}) WHEN {n} > 0 THEN array_distinct(flatten(transform(sequence({shortest}, {longest}), l ->
             flatten(transform(sequence(0, {most}), i ->
                 transform(
                     filter(CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END,
                            o -> (o - i) % 2 = 0 AND {start} + o >= 0
                                 AND {start} + o + {width} <= {n}),
                     o -> struct(l AS len, i AS seg,
-                                substring({column}, {start} + o + 1, {width}) AS part)))))))
-        ELSE array() END""")
+                                substring({column}, {start} + o + 1, {width}) AS part))))))) END""")

@@ -4,15 +4,20 @@ A posting is dropped when an earlier kept posting of the same company and
 location, at most 14 days older, has a similar title. Which rows are kept
 depends on the order, so the decision runs in rounds, each a handful of joins:
 
-* Rows are compared by title, not by row. Copies of a title cost nothing, and
-  similar titles are found by an equality join inside the group.
+* Rows are compared by title, not by row: copies of a title cost nothing.
 * Time is cut into cells of 14 days. All rows of one title in one cell cover
   each other, so only the earliest open row of a cell can be kept next, and a
   cell is described by two values, its first and its last open row.
 * Per round, a first row without an earlier open similar row in reach is kept;
   rows it covers are dropped. Each row meets one coverage record.
 
-No step pairs rows of a group with each other or gathers a group in one task.
+Groups with very many distinct titles are thinned first: a row is kept as soon
+as no earlier open row shares any segment key with it, which one aggregate per
+key tells. A cloud of near copies then collapses onto its earliest row before
+any pair of its titles is formed.
+
+No step pairs the rows of a group with each other or gathers a group in one
+task.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions import similarity as sim
 from vacantia.functions.text import duplicate_note, location_key
-from vacantia.session import stash
+from vacantia.session import spread, stash
 
 GROUP = ["company_norm", "place"]
 TITLE = [*GROUP, "title_key"]
+KEY = ["len", "seg", "part"]
 # Up to this many distinct titles a group is compared directly; larger groups
 # use segment keys. Both ways are exact.
 DIRECT_TITLES = 256
@@ -54,61 +60,93 @@ def keyed(rows: DataFrame, window_days: int) -> DataFrame:
         F.call_function("div", micros - F.pmod(micros, width), width).alias("cell"))
 
 
-def similar_titles(titles: DataFrame, percent: int = fv.TITLE_THRESHOLD,
-                   direct: int = DIRECT_TITLES) -> DataFrame:
-    """Pairs of different similar titles inside a group, each pair once.
+def _sizes(titles: DataFrame) -> DataFrame:
+    return titles.groupBy(*GROUP).agg(F.count("*").alias("titles"))
+
+
+def _keyed_by(titles: DataFrame, name: str, keys: Column, *more: str) -> DataFrame:
+    """One row per segment key of a title, spread because keys outnumber titles."""
+    return (spread(titles, *TITLE)
+            .select(*GROUP, F.col("title_key").alias(name), *more, F.explode(keys).alias("k"))
+            .select(*GROUP, name, *more, "k.*"))
+
 
-    ``titles(company_norm, place, title_key)`` is distinct.
+def similar_titles(left: DataFrame, right: DataFrame | None = None,
+                   percent: int = fv.TITLE_THRESHOLD, direct: int = DIRECT_TITLES) -> DataFrame:
+    """Pairs ``(company_norm, place, a, b)`` of similar titles inside a group.
+
+    Both inputs hold distinct titles. Without ``right`` the titles of ``left``
+    meet each other, every pair once and no title itself.
     """
-    size = titles.groupBy(*GROUP).agg(F.count("*").alias("titles"))
-    sized = titles.join(size.filter("titles > 1"), GROUP)
     a, b = F.col("a"), F.col("b")
-
-    small = sized.filter(F.col("titles") <= direct)
-    near = (small.select(*GROUP, F.col("title_key").alias("a"))
-            .join(small.select(*GROUP, F.col("title_key").alias("b")), GROUP)
-            .filter((a < b) & sim.may_match(a, b, percent)))
-
-    large = sized.filter(F.col("titles") > direct)
-    probe = large.select(*GROUP, F.col("title_key").alias("a"),
-                         F.explode(sim.probe_keys("title_key", percent, not_longer=True)).alias("k"))
-    index = large.select(*GROUP, F.col("title_key").alias("b"),
-                         F.explode(sim.segment_keys("title_key", percent)).alias("k"))
-    apart = (F.length(a) > F.length(b)) | (a < b)
-    far = (probe.select(*GROUP, "a", "k.*").join(index.select(*GROUP, "b", "k.*"),
-                                                 [*GROUP, "len", "seg", "part"])
-           .filter(apart & sim.may_match(a, b, percent))
-           .select(*GROUP, "a", "b").distinct())
+    itself = right is None
+    other = left if itself else right
+    sizes = _sizes(left if itself else left.unionAll(right)).filter("titles > 1")
+    one, two = left.join(sizes, GROUP), other.join(sizes, GROUP)
+
+    small = F.col("titles") <= direct
+    near = (one.filter(small).select(*GROUP, F.col("title_key").alias("a"))
+            .join(two.filter(small).select(*GROUP, F.col("title_key").alias("b")), GROUP)
+            .filter((a < b) if itself else F.lit(True))
+            .filter(sim.may_match(a, b, percent)))
+
+    probe = _keyed_by(one.filter(~small), "a", sim.probe_keys("title_key", percent, itself))
+    index = _keyed_by(two.filter(~small), "b", sim.segment_keys("title_key", percent))
+    # From the longer title only shorter ones are met; equal lengths go by order.
+    once = ((F.length(a) > F.length(b)) | (a < b)) if itself else F.lit(True)
+    far = (probe.join(index, [*GROUP, *KEY]).filter(once & sim.may_match(a, b, percent))
+           .select(*GROUP, "a", "b"))
+    far = spread(far, *GROUP, "a", "b").dropDuplicates([*GROUP, "a", "b"])
     return near.unionByName(far).filter(sim.ratio_reached(a, b, percent))
 
 
+def _directed(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*GROUP, F.col("a").alias("title_key"), F.col("b").alias("other"))
+
+
 def _neighbours(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     """Both directions of every pair, and every title with itself."""
-    there = pairs.select(*GROUP, F.col("a").alias("title_key"), F.col("b").alias("other"))
     back = pairs.select(*GROUP, F.col("b").alias("title_key"), F.col("a").alias("other"))
     self_ = titles.select(*TITLE, F.col("title_key").alias("other"))
-    return there.unionByName(back).unionByName(self_)
+    return _directed(pairs).unionByName(back).unionByName(self_)
 
 
-def _next_kept(open_rows: DataFrame, neighbours: DataFrame, reach: int) -> DataFrame:
-    """First rows of cells that no earlier open similar row can cover."""
-    cells = open_rows.groupBy(*TITLE, "cell").agg(
+def _cells(open_rows: DataFrame) -> DataFrame:
+    return open_rows.groupBy(*TITLE, "cell").agg(
         F.min(F.struct("at", "id", "source")).alias("head"), F.max("at").alias("last"))
-    asks = (cells.join(neighbours, TITLE)
-            .select(*GROUP, "title_key", "other", F.col("cell").alias("own_cell"),
-                    F.col("head").alias("own"),
-                    F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell")))
-    met = cells.withColumnsRenamed({"title_key": "other", "head": "their_head"})
-    earlier = F.when(
-        F.col("cell") == F.col("own_cell"),
-        F.struct("their_head.at", "their_head.id") < F.struct("own.at", "own.id")
-    ).otherwise(F.col("last") >= F.col("own.at") - reach)
-    blocked = (asks.join(met, [*GROUP, "other", "cell"]).filter(earlier)
-               .select(*TITLE, F.col("own_cell").alias("cell")).distinct())
-    return (cells.join(blocked, [*TITLE, "cell"], "left_anti")
+
+
+def _asks(cells: DataFrame, *more: str) -> DataFrame:
+    """Each cell asks its own time cell and the one before."""
+    return cells.select(
+        *TITLE, *more, F.col("cell").alias("own_cell"),
+        F.struct("head.at", "head.id").alias("own"),
+        F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
+
+
+def _blocks(first: Column, last: Column, reach: int) -> Column:
+    """An open row lies before ``own`` and in reach, told from first and last."""
+    return (F.when(F.col("cell") == F.col("own_cell"), first < F.col("own"))
+            .otherwise(last >= F.col("own.at") - reach))
+
+
+def _unblocked(cells: DataFrame, blocked: DataFrame) -> DataFrame:
+    gone = blocked.select(*TITLE, F.col("own_cell").alias("cell")).distinct()
+    return (cells.join(gone, [*TITLE, "cell"], "left_anti")
             .select(*TITLE, "cell", "head.*"))
 
 
+def _next_kept(open_rows: DataFrame, neighbours: DataFrame, reach: int) -> DataFrame:
+    """First rows of cells that no earlier open similar row can cover."""
+    cells = _cells(open_rows)
+    met = cells.select(*GROUP, F.col("title_key").alias("other"), "cell",
+                       F.struct("head.at", "head.id").alias("first"), "last")
+    blocked = (_asks(cells.join(neighbours, TITLE), "other")
+               .join(met, [*GROUP, "other", "cell"])
+               .filter(_blocks(F.col("first"), F.col("last"), reach)))
+    return _unblocked(cells, blocked)
+
+
 def _covering(kept: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Kept rows placed into every title and cell they reach."""
     return (kept.join(neighbours, TITLE)
@@ -121,16 +159,56 @@ def _covering(kept: DataFrame, neighbours: DataFrame) -> DataFrame:
             .select(*TITLE, "to.cell", "to.same", "keeper"))
 
 
-def _still_open(open_rows: DataFrame, kept: DataFrame, neighbours: DataFrame,
-                reach: int) -> DataFrame:
-    """Open rows that this round neither keeps nor drops."""
+def _settle(open_rows: DataFrame, kept: DataFrame, neighbours: DataFrame,
+            reach: int) -> DataFrame:
+    """Open rows without the kept ones; ``dropped`` marks the covered ones."""
     cover = (_covering(kept, neighbours).groupBy(*TITLE, "cell").agg(
         F.min(F.when(F.col("same"), F.struct("keeper.at", "keeper.id"))).alias("since"),
         F.max(F.when(~F.col("same"), F.col("keeper.at"))).alias("before")))
-    settled = (F.coalesce(F.struct("at", "id") >= F.col("since"), F.lit(False))
+    own = F.struct("at", "id")
+    covered = (F.coalesce(own > F.col("since"), F.lit(False))
                | F.coalesce(F.col("at") <= F.col("before") + reach, F.lit(False)))
-    return (open_rows.join(cover, [*TITLE, "cell"], "left").filter(~settled)
-            .select(*open_rows.columns))
+    return (open_rows.join(cover, [*TITLE, "cell"], "left")
+            .filter(F.col("since").isNull() | (own != F.col("since")))
+            .select(*open_rows.columns, covered.alias("dropped")))
+
+
+def _thin(rows: DataFrame, percent: int, reach: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rounds on crowded groups that form no pairs among open titles.
+
+    Returns the rows still open and the dropped ones. Ends when a round
+    settles less than half of the open rows; the rest is sparse.
+    """
+    dropped, open_rows, left = [], rows, rows.count()
+    while left:
+        cells = stash(_cells(open_rows), "crowd-cells")
+        index = (_keyed_by(cells, "title", sim.segment_keys("title_key", percent),
+                           "cell", "head", "last")
+                 .groupBy(*GROUP, "cell", *KEY)
+                 .agg(F.min(F.struct("head.at", "head.id")).alias("first"),
+                      F.max("last").alias("last")))
+        asks = (spread(cells, *TITLE)
+                .withColumn("k", F.explode(sim.probe_keys("title_key", percent)))
+                .select(*TITLE, "cell", "head", "k.*"))
+        blocked = (_asks(asks, *KEY).join(index, [*GROUP, "cell", *KEY])
+                   .filter(_blocks(F.col("first"), F.col("last"), reach)))
+        kept = stash(_unblocked(cells, blocked), "crowd-kept")
+        titles = kept.select(*TITLE).distinct()
+        links = _directed(similar_titles(titles, cells.select(*TITLE).distinct(), percent))
+        settled = stash(_settle(open_rows, kept, links, reach), "crowd-settled")
+        dropped.append(settled.filter("dropped").drop("dropped"))
+        open_rows = settled.filter("NOT dropped").drop("dropped")
+        before, left = left, open_rows.count()
+        if left * 2 > before:
+            break
+    return open_rows, dropped
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS,
@@ -142,27 +220,46 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
     """
     reach = window_days * 86_400_000_000
     base = stash(keyed(rows, window_days), "dedup-rows")
-    counted = stash(base.groupBy(*TITLE).agg(F.count("*").alias("n")), "dedup-titles")
-    pairs = stash(similar_titles(counted.select(*TITLE), percent, direct), "dedup-pairs")
-    # A title with one row and no similar title cannot take part.
+    open_rows, dropped = base, []
+
+    crowded = stash(_sizes(base.select(*TITLE).distinct()).filter(F.col("titles") > direct)
+                    .select(*GROUP), "dedup-crowded")
+    if not crowded.isEmpty():
+        open_rows, dropped = _thin(base.join(crowded, GROUP, "left_semi"), percent, reach)
+        open_rows = base.join(crowded, GROUP, "left_anti").unionByName(open_rows)
+
+    counted = stash(open_rows.groupBy(*TITLE).agg(F.count("*").alias("n")), "dedup-titles")
+    pairs = stash(similar_titles(counted.select(*TITLE), None, percent, direct), "dedup-pairs")
+    # A title with one open row and no similar open title cannot take part.
     paired = pairs.select(*GROUP, "a").union(pairs.select(*GROUP, "b")).toDF(*TITLE)
-    active = stash(counted.filter("n > 1").select(*TITLE).union(paired).distinct(), "dedup-active")
+    active = counted.filter("n > 1").select(*TITLE).union(paired).distinct()
     neighbours = stash(_neighbours(pairs, active), "dedup-neighbours")
-    members = stash(base.join(active, TITLE, "left_semi"), "dedup-members")
-
-    kept, open_rows = None, members
+    taking_part = neighbours.filter("title_key = other").select(*TITLE)
+    open_rows = stash(open_rows.join(taking_part, TITLE, "left_semi"), "dedup-members")
     while not open_rows.isEmpty():
-        now = stash(_next_kept(open_rows, neighbours, reach), "dedup-kept")
-        kept = now if kept is None else kept.unionByName(now)
-        open_rows = stash(_still_open(open_rows, now, neighbours, reach), "dedup-open")
-
-    if kept is None:
-        return (members.select(F.col("id").alias("dup_id"), F.col("id").alias("kept_id"),
-                               duplicate_note(F.col("id"), F.col("source")).alias("note")))
-    at_id = F.struct("at", "id")
-    reached = (members.select(*TITLE, "cell", "at", "id")
-               .join(_covering(kept, neighbours), [*TITLE, "cell"])
-               .filter((F.struct("keeper.at", "keeper.id") < at_id)
+        kept = stash(_next_kept(open_rows, neighbours, reach), "dedup-kept")
+        settled = stash(_settle(open_rows, kept, neighbours, reach), "dedup-settled")
+        dropped.append(settled.filter("dropped").drop("dropped"))
+        open_rows = settled.filter("NOT dropped").drop("dropped")
+    return _keepers(base, _union(dropped or [open_rows]), percent, direct, reach)
+
+
+def _keepers(base: DataFrame, dropped: DataFrame, percent: int, direct: int,
+             reach: int) -> DataFrame:
+    """The earliest kept match of every dropped row.
+
+    Kept are the rows not dropped, at most one per title and cell; only their
+    titles meet the titles of dropped rows.
+    """
+    dropped = stash(dropped, "dedup-dropped")
+    groups = dropped.select(*GROUP).distinct()
+    kept = stash(base.join(groups, GROUP, "left_semi").join(dropped.select("id"), "id", "left_anti"),
+                 "dedup-keepers")
+    links = _directed(similar_titles(kept.select(*TITLE).distinct(),
+                                     dropped.select(*TITLE).distinct(), percent, direct))
+    reached = (dropped.select(*TITLE, "cell", "at", "id")
+               .join(_covering(kept, links), [*TITLE, "cell"])
+               .filter((F.struct("keeper.at", "keeper.id") < F.struct("at", "id"))
                        & (F.col("at") <= F.col("keeper.at") + reach)))
     first = reached.groupBy("id").agg(F.min("keeper").alias("keeper"))
     return first.select(F.col("id").alias("dup_id"), F.col("keeper.id").alias("kept_id"),
