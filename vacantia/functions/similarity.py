@@ -108,33 +108,30 @@ def ratio_reached(a: Column, b: Column, percent: int) -> Column:
 _EMPTY = "struct(0 AS len, 0 AS seg, '' AS part)"  # an empty string only meets another
 
 
-def _reach(length: str, p: int) -> str:
-    return f"(({length}) * {200 - p} div {p})"
+def _layout(lengths: str, p: int) -> str:
+    """Cut of each partner length: ``(len, segs)`` to ``(len, wide, cut)``.
 
-
-def _segments(length: str, p: int) -> str:
-    return f"(({length} + {_reach(length, p)}) * {100 - p} div 100 + 1)"
-
-
-def _start(length: str, i: str, p: int) -> str:
-    k = _segments(length, p)
-    return f"({i} * ({length} div {k}) + greatest(0, {i} - ({k} - {length} % {k})))"
+    Segments before ``cut`` have ``wide`` characters, the others one more.
+    """
+    segments = f"int((l + l * {200 - p} div {p}) * {100 - p} div 100) + 1"
+    return (f"transform(transform({lengths}, l -> struct(l AS len, {segments} AS segs)), c -> "
+            "struct(c.len AS len, c.segs AS segs, int(c.len div c.segs) AS wide, "
+            "c.segs - c.len % c.segs AS cut))")
 
 
-def _width(length: str, i: str, p: int) -> str:
-    k = _segments(length, p)
-    return f"({length} div {k} + int({i} >= {k} - {length} % {k}))"
+_START = "i * c.wide + greatest(0, i - c.cut)"
+_WIDTH = "c.wide + int(i >= c.cut)"
 
 
 def segment_keys(column: str, percent: int) -> Column:
     """Keys of the indexed side: ``(len, seg, part)`` for every segment."""
-    n = f"length({column})"
+    own = _layout(f"array(length({column}))", percent)
     return F.expr(f"""
-        CASE WHEN {n} = 0 THEN array({_EMPTY})
-        WHEN {n} > 0 THEN transform(sequence(0, int({_segments(n, percent)}) - 1), i ->
-            struct({n} AS len, i AS seg,
-                   substring({column}, int({_start(n, 'i', percent)}) + 1,
-                             int({_width(n, 'i', percent)})) AS part)) END""")
+        CASE WHEN length({column}) = 0 THEN array({_EMPTY})
+        WHEN length({column}) > 0 THEN flatten(transform({own}, c ->
+            transform(sequence(0, c.segs - 1), i ->
+                struct(c.len AS len, i AS seg,
+                       substring({column}, {_START} + 1, {_WIDTH}) AS part)))) END""")
 
 
 def probe_keys(column: str, percent: int, not_longer: bool = False) -> Column:
@@ -145,17 +142,18 @@ def probe_keys(column: str, percent: int, not_longer: bool = False) -> Column:
     """
     n = f"length({column})"
     shortest = f"int(ceil({n} * {percent} / {200 - percent}.0))"
-    longest = n if not_longer else f"int({_reach(n, percent)})"
-    most = f"int(({n} + l) * {100 - percent} div 100)"
-    low = f"greatest(-i, {n} - l - ({most} - i))"
-    high = f"least(i, {n} - l + ({most} - i))"
-    start, width = f"int({_start('l', 'i', percent)})", f"int({_width('l', 'i', percent)})"
+    longest = n if not_longer else f"int({n} * {200 - percent} div {percent})"
+    lengths = _layout(f"sequence({shortest}, {longest})", percent)
+    most = f"int(({n} + c.len) * {100 - percent} div 100)"
+    # Offsets: |o| <= i and |gap - o| <= most - i, in steps of two from -i or -i + 1.
+    low = f"greatest(-i, {n} - c.len - ({most} - i))"
+    low = f"({low} + abs(({low} - i) % 2))"
+    high = f"least(i, {n} - c.len + ({most} - i))"
     return F.expr(f"""
-        CASE WHEN {n} = 0 THEN array({_EMPTY}) WHEN {n} > 0 THEN array_distinct(flatten(transform(sequence({shortest}, {longest}), l ->
-            flatten(transform(sequence(0, {most}), i ->
-                transform(
-                    filter(CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END,
-                           o -> (o - i) % 2 = 0 AND {start} + o >= 0
-                                AND {start} + o + {width} <= {n}),
-                    o -> struct(l AS len, i AS seg,
-                                substring({column}, {start} + o + 1, {width}) AS part))))))) END""")
+        CASE WHEN {n} = 0 THEN array({_EMPTY})
+        WHEN {n} > 0 THEN array_distinct(flatten(transform({lengths}, c ->
+            flatten(transform(sequence(0, {most}), i -> transform(
+                filter(CASE WHEN {low} <= {high} THEN sequence({low}, {high}, 2) ELSE array() END,
+                       o -> {_START} + o >= 0 AND {_START} + o + {_WIDTH} <= {n}),
+                o -> struct(c.len AS len, i AS seg,
+                            substring({column}, {_START} + o + 1, {_WIDTH}) AS part))))))) END""")
