@@ -11,10 +11,11 @@ depends on the order, so the decision runs in rounds, each a handful of joins:
 * Per round, a first row without an earlier open similar row in reach is kept;
   rows it covers are dropped. Each row meets one coverage record.
 
-Groups with very many distinct titles are thinned first: a row is kept as soon
-as no earlier open row shares any segment key with it, which one aggregate per
-key tells. A cloud of near copies then collapses onto its earliest row before
-any pair of its titles is formed.
+Groups with very many distinct titles go in batches of doubling size, in time
+order: titles are paired inside a batch only, and what a batch keeps then
+covers all open rows. Near copies vanish with the first batches, so that later
+batches are sparse (the prefix scheme for greedy independent sets). Any batch
+gives the exact result, its size only steers the work.
 
 No step pairs the rows of a group with each other or gathers a group in one
 task.
@@ -36,6 +37,7 @@ KEY = ["len", "seg", "part"]
 # Up to this many distinct titles a group is compared directly; larger groups
 # use segment keys. Both ways are exact.
 DIRECT_TITLES = 256
+FIRST_BATCH = 1024
 
 
 def candidates(jobs: DataFrame, companies: DataFrame, as_of: Column | None,
@@ -116,35 +118,20 @@ def _cells(open_rows: DataFrame) -> DataFrame:
         F.min(F.struct("at", "id", "source")).alias("head"), F.max("at").alias("last"))
 
 
-def _asks(cells: DataFrame, *more: str) -> DataFrame:
-    """Each cell asks its own time cell and the one before."""
-    return cells.select(
-        *TITLE, *more, F.col("cell").alias("own_cell"),
-        F.struct("head.at", "head.id").alias("own"),
-        F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
-
-
-def _blocks(first: Column, last: Column, reach: int) -> Column:
-    """An open row lies before ``own`` and in reach, told from first and last."""
-    return (F.when(F.col("cell") == F.col("own_cell"), first < F.col("own"))
-            .otherwise(last >= F.col("own.at") - reach))
-
-
-def _unblocked(cells: DataFrame, blocked: DataFrame) -> DataFrame:
-    gone = blocked.select(*TITLE, F.col("own_cell").alias("cell")).distinct()
-    return (cells.join(gone, [*TITLE, "cell"], "left_anti")
-            .select(*TITLE, "cell", "head.*"))
-
-
-def _next_kept(open_rows: DataFrame, neighbours: DataFrame, reach: int) -> DataFrame:
-    """First rows of cells that no earlier open similar row can cover."""
-    cells = _cells(open_rows)
+def _next_kept(cells: DataFrame, neighbours: DataFrame, reach: int) -> DataFrame:
+    """First rows of cells that no earlier first row or open row can cover."""
     met = cells.select(*GROUP, F.col("title_key").alias("other"), "cell",
                        F.struct("head.at", "head.id").alias("first"), "last")
-    blocked = (_asks(cells.join(neighbours, TITLE), "other")
-               .join(met, [*GROUP, "other", "cell"])
-               .filter(_blocks(F.col("first"), F.col("last"), reach)))
-    return _unblocked(cells, blocked)
+    own = F.struct("head.at", "head.id")
+    asks = (cells.join(neighbours, TITLE)
+            .select(*TITLE, "other", F.col("cell").alias("own_cell"), own.alias("own"),
+                    F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell")))
+    earlier = (F.when(F.col("cell") == F.col("own_cell"), F.col("first") < F.col("own"))
+               .otherwise(F.col("last") >= F.col("own.at") - reach))
+    blocked = (asks.join(met, [*GROUP, "other", "cell"]).filter(earlier)
+               .select(*TITLE, F.col("own_cell").alias("cell")).distinct())
+    return (cells.join(blocked, [*TITLE, "cell"], "left_anti")
+            .select(*TITLE, "cell", "head.*"))
 
 
 def _covering(kept: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -173,35 +160,45 @@ def _settle(open_rows: DataFrame, kept: DataFrame, neighbours: DataFrame,
             .select(*open_rows.columns, covered.alias("dropped")))
 
 
-def _thin(rows: DataFrame, percent: int, reach: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Rounds on crowded groups that form no pairs among open titles.
+def _batch(cells: DataFrame, totals: DataFrame, first_batch: int) -> DataFrame:
+    """The earliest open titles of every time cell that can be decided now.
 
-    Returns the rows still open and the dropped ones. Ends when a round
-    settles less than half of the open rows; the rest is sparse.
+    Those are cells without an open row in the cell before. A batch is as large
+    as what the cell has settled so far; its end is an approximate quantile, so
+    no task sorts a whole cell.
     """
-    dropped, open_rows, left = [], rows, rows.count()
-    while left:
+    steps = [0.5 ** i for i in range(24)]
+    open_ = cells.groupBy(*GROUP, "cell").agg(
+        F.count("*").alias("open"), F.percentile_approx("head.at", steps, 10_000).alias("ends"))
+    waiting = open_.select(*GROUP, (F.col("cell") + 1).alias("cell"))
+    size = F.greatest(F.lit(first_batch), F.col("total") - F.col("open"))
+    halvings = F.floor(F.log2(F.col("open") / size)).cast("int")
+    ends = (open_.join(waiting, [*GROUP, "cell"], "left_anti").join(totals, [*GROUP, "cell"])
+            .select(*GROUP, "cell", F.get("ends", F.greatest(F.lit(0), F.least(halvings, F.lit(23))))
+                    .alias("end")))
+    return (cells.join(ends, [*GROUP, "cell"]).filter(F.col("head.at") <= F.col("end"))
+            .select(*cells.columns))
+
+
+def _settle_crowds(rows: DataFrame, percent: int, direct: int, first_batch: int,
+                   reach: int) -> list[DataFrame]:
+    """Decide crowded groups batch by batch; returns the dropped rows."""
+    dropped, open_rows, totals = [], rows, None
+    while not open_rows.isEmpty():
         cells = stash(_cells(open_rows), "crowd-cells")
-        index = (_keyed_by(cells, "title", sim.segment_keys("title_key", percent),
-                           "cell", "head", "last")
-                 .groupBy(*GROUP, "cell", *KEY)
-                 .agg(F.min(F.struct("head.at", "head.id")).alias("first"),
-                      F.max("last").alias("last")))
-        asks = (spread(cells, *TITLE)
-                .withColumn("k", F.explode(sim.probe_keys("title_key", percent)))
-                .select(*TITLE, "cell", "head", "k.*"))
-        blocked = (_asks(asks, *KEY).join(index, [*GROUP, "cell", *KEY])
-                   .filter(_blocks(F.col("first"), F.col("last"), reach)))
-        kept = stash(_unblocked(cells, blocked), "crowd-kept")
-        titles = kept.select(*TITLE).distinct()
-        links = _directed(similar_titles(titles, cells.select(*TITLE).distinct(), percent))
+        if totals is None:
+            totals = stash(cells.groupBy(*GROUP, "cell").agg(F.count("*").alias("total")),
+                           "crowd-totals")
+        batch = stash(_batch(cells, totals, first_batch), "crowd-batch")
+        titles = batch.select(*TITLE).distinct()
+        pairs = similar_titles(titles, None, percent, direct)
+        kept = stash(_next_kept(batch, _neighbours(pairs, titles), reach), "crowd-kept")
+        links = _directed(similar_titles(kept.select(*TITLE).distinct(),
+                                         cells.select(*TITLE).distinct(), percent, direct))
         settled = stash(_settle(open_rows, kept, links, reach), "crowd-settled")
         dropped.append(settled.filter("dropped").drop("dropped"))
         open_rows = settled.filter("NOT dropped").drop("dropped")
-        before, left = left, open_rows.count()
-        if left * 2 > before:
-            break
-    return open_rows, dropped
+    return dropped
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -212,7 +209,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS,
-                    percent: int = fv.TITLE_THRESHOLD, direct: int = DIRECT_TITLES) -> DataFrame:
+                    percent: int = fv.TITLE_THRESHOLD, direct: int = DIRECT_TITLES,
+                    first_batch: int = FIRST_BATCH) -> DataFrame:
     """Decisions ``(dup_id, kept_id, note)``; ``kept_id`` is the earliest kept match.
 
     ``rows(id, company_norm, title, location, source, first_seen_at)``. Ties on
@@ -225,8 +223,9 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
     crowded = stash(_sizes(base.select(*TITLE).distinct()).filter(F.col("titles") > direct)
                     .select(*GROUP), "dedup-crowded")
     if not crowded.isEmpty():
-        open_rows, dropped = _thin(base.join(crowded, GROUP, "left_semi"), percent, reach)
-        open_rows = base.join(crowded, GROUP, "left_anti").unionByName(open_rows)
+        dropped = _settle_crowds(base.join(crowded, GROUP, "left_semi"), percent, direct,
+                                 first_batch, reach)
+        open_rows = base.join(crowded, GROUP, "left_anti")
 
     counted = stash(open_rows.groupBy(*TITLE).agg(F.count("*").alias("n")), "dedup-titles")
     pairs = stash(similar_titles(counted.select(*TITLE), None, percent, direct), "dedup-pairs")
@@ -237,7 +236,7 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
     taking_part = neighbours.filter("title_key = other").select(*TITLE)
     open_rows = stash(open_rows.join(taking_part, TITLE, "left_semi"), "dedup-members")
     while not open_rows.isEmpty():
-        kept = stash(_next_kept(open_rows, neighbours, reach), "dedup-kept")
+        kept = stash(_next_kept(_cells(open_rows), neighbours, reach), "dedup-kept")
         settled = stash(_settle(open_rows, kept, neighbours, reach), "dedup-settled")
         dropped.append(settled.filter("dropped").drop("dropped"))
         open_rows = settled.filter("NOT dropped").drop("dropped")
