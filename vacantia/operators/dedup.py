@@ -36,8 +36,8 @@ TITLE = [*GROUP, "title_key"]
 KEY = ["len", "seg", "part"]
 # Up to this many distinct titles a group is compared directly; larger groups
 # use segment keys. Both ways are exact.
-DIRECT_TITLES = 256
-FIRST_BATCH = 1024
+DIRECT_TITLES = 512
+FIRST_BATCH = 256
 
 
 def candidates(jobs: DataFrame, companies: DataFrame, as_of: Column | None,
