@@ -136,6 +136,10 @@ def test_reviews_over_buckets_and_a_hot_key(spark):
         want.append((at, before, at + wait))
         before = at
     assert got == want
+    undated = spark.createDataFrame([(1, "a", "solved", None), (2, None, "failed", NOW)],
+                                    "id int, ref string, result string, done_at timestamp")
+    assert {r.id: r.next_review_at for r in followups.next_reviews(undated).collect()} == {
+        1: None, 2: NOW + timedelta(days=1)}
 
 
 def test_close_answered(spark):

@@ -88,11 +88,13 @@ def previous_value(df: DataFrame, key: str, at: str, bucket: Column, tie: str) -
     rows = df.withColumn("bucket", bucket)
     lagged = rows.withColumn("previous", F.lag(at).over(inside))
     ends = rows.groupBy(key, "bucket").agg(F.max(at).alias("last"))
-    before = ends.select(key, "bucket", F.lag("last").over(
-        Window.partitionBy(key).orderBy("bucket")).alias("carried"))
-    return (lagged.join(before, [key, "bucket"])
+    before = ends.select(F.col(key).alias("end_key"), F.col("bucket").alias("end_bucket"),
+                         F.lag("last").over(Window.partitionBy(key).orderBy("bucket"))
+                         .alias("carried"))
+    same = F.col(key).eqNullSafe(F.col("end_key")) & F.col("bucket").eqNullSafe(F.col("end_bucket"))
+    return (lagged.join(before, same, "left")
             .withColumn("previous", F.coalesce("previous", "carried"))
-            .drop("carried", "bucket"))
+            .select(*df.columns, "previous"))
 
 
 def next_reviews(prep_log: DataFrame) -> DataFrame:

@@ -29,18 +29,18 @@ def insert_if_absent(arrivals: DataFrame, stored: DataFrame, order_by: list[str]
                      keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
     """The arrivals to add: unknown keys only, the first arrival per key.
 
-    Arrivals already stored leave before the de-duplication, which then runs as
-    a map-side combined aggregate, so copies of one key never meet in one task.
-    Rows with a NULL key conflict with nothing and all pass.
+    The de-duplication comes first: it combines copies of a key before the
+    shuffle, so a key that holds most of a batch never meets in one task, and
+    the anti join reuses its partitioning. Rows with a NULL key conflict with
+    nothing and all pass.
     """
     keyless = " OR ".join(f"{k} IS NULL" for k in keys)
     rest = [c for c in arrivals.columns if c not in keys]
-    fresh = (arrivals.filter(f"NOT ({keyless})")
-             .join(stored.select(*keys), list(keys), "left_anti"))
-    first = (fresh.groupBy(*keys)
+    first = (arrivals.filter(f"NOT ({keyless})").groupBy(*keys)
              .agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r"))
              .select(*keys, "r.*"))
-    return first.select(*arrivals.columns).unionByName(arrivals.filter(keyless))
+    fresh = first.join(stored.select(*keys), list(keys), "left_anti")
+    return fresh.select(*arrivals.columns).unionByName(arrivals.filter(keyless))
 
 
 def upsert_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -92,28 +92,28 @@ _DETAIL_TEXT = """concat_ws(chr(10)||chr(10), CASE WHEN o_orderkey%3=0 THEN o_or
 
 
 def _details(t: Tables) -> DataFrame:
-    """Detail responses for two providers; every third posting has none."""
+    """Detail responses for two providers; low-priority postings have none."""
     text_body = f"""to_json(named_struct('id', CAST(o_orderkey AS STRING),
         'postingUrl', CASE WHEN o_orderkey%2=0 THEN concat('https://exact.example.com/', o_orderkey) END,
         'jobAd', named_struct('sections', {_SECTIONS})))"""
     plain_body = """to_json(named_struct('id', CAST(o_orderkey AS STRING),
         'content', CASE WHEN o_orderkey%2=0 THEN '' ELSE 'Entry level role' END))"""
     base = t.spark.sql(f"""SELECT CAST(o_orderkey AS STRING) AS external_id, {text_body} AS paged, {plain_body} AS plain
-        FROM {{orders}} WHERE o_custkey%3<>0""", orders=t.orders)
+        FROM {{orders}} WHERE o_orderpriority<>'5-LOW'""", orders=t.orders)
     paged = payloads.smartrecruiters_details(base.select("external_id", F.col("paged").alias("body")))
     green = payloads.greenhouse_details(base.select("external_id", F.col("plain").alias("body")))
     return paged.unionByName(green)
 
 
 @query("detail_text", f"""
-SELECT CAST(o_orderkey AS STRING) AS external_id, {_DETAIL_TEXT} AS description FROM orders WHERE o_custkey%3<>0""")
+SELECT CAST(o_orderkey AS STRING) AS external_id, {_DETAIL_TEXT} AS description FROM orders WHERE o_orderpriority<>'5-LOW'""")
 def _(t):
     return _details(t).filter("source = 'smartrec'").select("external_id", "description")
 
 
 @query("detail_update", f"""
 WITH d AS (SELECT o_orderkey, {_DETAIL_TEXT} AS paged, CASE WHEN o_orderkey%2=0 THEN '' ELSE 'Entry level role' END AS plain,
-    CASE WHEN o_orderkey%2=0 THEN 'https://exact.example.com/'||o_orderkey END AS exact FROM orders WHERE o_custkey%3<>0),
+    CASE WHEN o_orderkey%2=0 THEN 'https://exact.example.com/'||o_orderkey END AS exact FROM orders WHERE o_orderpriority<>'5-LOW'),
 x AS (SELECT j.*, CASE WHEN d.o_orderkey IS NOT NULL AND (j.source='smartrec' OR (j.source='greenhouse' AND d.plain<>'')) THEN 1 ELSE 0 END AS hit,
     CASE j.source WHEN 'smartrec' THEN d.paged ELSE d.plain END AS fresh, CASE WHEN j.source='smartrec' THEN d.exact END AS exact
   FROM jobs_v j LEFT JOIN d ON d.o_orderkey=j.id),
