@@ -66,31 +66,36 @@ def _sizes(titles: DataFrame) -> DataFrame:
     return titles.groupBy(*GROUP).agg(F.count("*").alias("titles"))
 
 
-def _keyed_by(titles: DataFrame, name: str, keys: Column, *more: str) -> DataFrame:
+def _keyed_by(titles: DataFrame, name: str, keys: Column) -> DataFrame:
     """One row per segment key of a title, spread because keys outnumber titles."""
     return (spread(titles, *TITLE)
-            .select(*GROUP, F.col("title_key").alias(name), *more, F.explode(keys).alias("k"))
-            .select(*GROUP, name, *more, "k.*"))
+            .select(*GROUP, F.col("title_key").alias(name), F.explode(keys).alias("k"))
+            .select(*GROUP, name, "k.*"))
 
 
 def similar_titles(left: DataFrame, right: DataFrame | None = None,
-                   percent: int = fv.TITLE_THRESHOLD, direct: int = DIRECT_TITLES) -> DataFrame:
+                   percent: int = fv.TITLE_THRESHOLD,
+                   direct: int | None = DIRECT_TITLES) -> DataFrame:
     """Pairs ``(company_norm, place, a, b)`` of similar titles inside a group.
 
     Both inputs hold distinct titles. Without ``right`` the titles of ``left``
-    meet each other, every pair once and no title itself.
+    meet each other, every pair once and no title itself. Groups above
+    ``direct`` titles use segment keys; None says that there are none.
     """
     a, b = F.col("a"), F.col("b")
     itself = right is None
-    other = left if itself else right
-    sizes = _sizes(left if itself else left.unionAll(right)).filter("titles > 1")
-    one, two = left.join(sizes, GROUP), other.join(sizes, GROUP)
+    one, two = left.select(*TITLE), (left if itself else right).select(*TITLE)
+    small = F.lit(True)
+    if direct is not None:
+        sizes = _sizes(one if itself else one.unionAll(two)).filter("titles > 1")
+        one, two, small = one.join(sizes, GROUP), two.join(sizes, GROUP), F.col("titles") <= direct
 
-    small = F.col("titles") <= direct
     near = (one.filter(small).select(*GROUP, F.col("title_key").alias("a"))
             .join(two.filter(small).select(*GROUP, F.col("title_key").alias("b")), GROUP)
             .filter((a < b) if itself else F.lit(True))
             .filter(sim.may_match(a, b, percent)))
+    if direct is None:
+        return near.filter(sim.ratio_reached(a, b, percent))
 
     probe = _keyed_by(one.filter(~small), "a", sim.probe_keys("title_key", percent, itself))
     index = _keyed_by(two.filter(~small), "b", sim.segment_keys("title_key", percent))
@@ -222,13 +227,14 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
 
     crowded = stash(_sizes(base.select(*TITLE).distinct()).filter(F.col("titles") > direct)
                     .select(*GROUP), "dedup-crowded")
-    if not crowded.isEmpty():
+    any_crowd = not crowded.isEmpty()
+    if any_crowd:
         dropped = _settle_crowds(base.join(crowded, GROUP, "left_semi"), percent, direct,
                                  first_batch, reach)
         open_rows = base.join(crowded, GROUP, "left_anti")
 
     counted = stash(open_rows.groupBy(*TITLE).agg(F.count("*").alias("n")), "dedup-titles")
-    pairs = stash(similar_titles(counted.select(*TITLE), None, percent, direct), "dedup-pairs")
+    pairs = stash(similar_titles(counted, None, percent, None), "dedup-pairs")
     # A title with one open row and no similar open title cannot take part.
     paired = pairs.select(*GROUP, "a").union(pairs.select(*GROUP, "b")).toDF(*TITLE)
     active = counted.filter("n > 1").select(*TITLE).union(paired).distinct()
@@ -240,10 +246,11 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
         settled = stash(_settle(open_rows, kept, neighbours, reach), "dedup-settled")
         dropped.append(settled.filter("dropped").drop("dropped"))
         open_rows = settled.filter("NOT dropped").drop("dropped")
-    return _keepers(base, _union(dropped or [open_rows]), percent, direct, reach)
+    return _keepers(base, _union(dropped or [open_rows]), percent,
+                    direct if any_crowd else None, reach)
 
 
-def _keepers(base: DataFrame, dropped: DataFrame, percent: int, direct: int,
+def _keepers(base: DataFrame, dropped: DataFrame, percent: int, direct: int | None,
              reach: int) -> DataFrame:
     """The earliest kept match of every dropped row.
 
