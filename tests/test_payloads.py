@@ -1,7 +1,6 @@
 """Payload readers over landing files of every provider shape."""
 
 import json
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F

@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from vacantia.operators import alerts, load, runlog
 from vacantia.session import stash
