@@ -6,8 +6,8 @@ with the probability that is left. The cube method rounds these probabilities:
 it moves them along vectors that keep both the document total and the word total
 (the null space of the two constraints, found on three open documents at a time)
 until one becomes 0 or 1. A block of documents ends with at most two open ones;
-blocks are merged level by level, and the two or fewer that a source has left in
-the end are landed on the choice nearest to the target.
+blocks are merged level by level. In the end a source has its smallest documents and
+at most two others left, which are landed on the choice nearest to the target.
 
 Blocks depend on a hash of the document, not on the physical partitioning, so
 reruns agree and a hot source is split into as many blocks as it needs.
@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from vacantia.llm.common import prepare, save
 
 BLOCK = 20_000          # documents in a block of the first level
+LAND = 10               # smallest documents of a source that are left to its landing
 FAN_IN = 2_000          # blocks merged into one at a later level: at most two open rows each
 WEIGHTS = (5.0, 2.0, 1.0)
 ITEM = "doc_id long, source string, copy long, size long, block long, chance double, taken_more int"
@@ -98,14 +99,13 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray) -> np.ndarray
 
 
 def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decide at most two open documents: the choice nearest to the expected words, then documents."""
+    """Decide the few open documents: the choice nearest to the expected words, then documents."""
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    words_, count = (size[open_] * chance[open_]).sum(), chance[open_].sum()
-    best = min(range(1 << len(open_)), key=lambda m: (
-        abs(sum(size[j] for k, j in enumerate(open_) if m >> k & 1) - words_), abs(m.bit_count() - count), m))
+    pick = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    words_ = np.abs(pick @ size[open_] - (size[open_] * chance[open_]).sum())
+    best = np.lexsort((np.abs(pick.sum(1) - chance[open_].sum()), np.round(words_, 6)))[0]
     out = chance.copy()
-    for k, j in enumerate(open_):
-        out[j] = best >> k & 1
+    out[open_] = pick[best]
     return out
 
 
@@ -114,9 +114,11 @@ def _fly(last: bool):
         # large documents first: what stays open is small
         pdf = pdf.sort_values(["size", "doc_id", "copy"], ascending=[False, True, True], na_position="last")
         draw = pdf["draw"].to_numpy()
-        p = flight(pdf["size"].to_numpy(), pdf["chance"].to_numpy(), draw)
+        size, p = pdf["size"].to_numpy(), pdf["chance"].to_numpy(copy=True)
+        fly = max(0, len(p) - LAND) if last else len(p)
+        p[:fly] = flight(size[:fly], p[:fly], draw[:fly])
         if last:
-            p = landing(pdf["size"].to_numpy(), p)
+            p = landing(size, p)
         done = (p == 0) | (p == 1)
         return pdf.assign(chance=p, taken_more=np.where(done, p, -1).astype(np.int32))[
             ["doc_id", "source", "copy", "size", "block", "chance", "taken_more"]]
