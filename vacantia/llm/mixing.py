@@ -6,8 +6,8 @@ with the probability that is left. The cube method rounds these probabilities:
 it moves them along vectors that keep both the document total and the word total
 (the null space of the two constraints, found on three open documents at a time)
 until one becomes 0 or 1. A block of documents ends with at most two open ones;
-blocks are merged level by level. In the end a source has its smallest documents and
-at most two others left, which are landed on the choice nearest to the target.
+blocks are merged level by level. In the end a source has a dozen documents of all
+sizes and at most two others left, landed on the choice nearest to the target.
 
 Blocks depend on a hash of the document, not on the physical partitioning, so
 reruns agree and a hot source is split into as many blocks as it needs.
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from vacantia.llm.common import prepare, save
 
 BLOCK = 20_000          # documents in a block of the first level
-LAND = 10               # smallest documents of a source that are left to its landing
+LAND = 12               # documents of a source, small to large, that are left to its landing
 FAN_IN = 2_000          # blocks merged into one at a later level: at most two open rows each
 WEIGHTS = (5.0, 2.0, 1.0)
 ITEM = "doc_id long, source string, copy long, size long, block long, chance double, taken_more int"
@@ -115,8 +115,10 @@ def _fly(last: bool):
         pdf = pdf.sort_values(["size", "doc_id", "copy"], ascending=[False, True, True], na_position="last")
         draw = pdf["draw"].to_numpy()
         size, p = pdf["size"].to_numpy(), pdf["chance"].to_numpy(copy=True)
-        fly = max(0, len(p) - LAND) if last else len(p)
-        p[:fly] = flight(size[:fly], p[:fly], draw[:fly])
+        fly = np.ones(len(p), bool)
+        if last:
+            fly[np.linspace(0, len(p) - 1, LAND).round().astype(int)] = False
+        p[fly] = flight(size[fly], p[fly], draw[fly])
         if last:
             p = landing(size, p)
         done = (p == 0) | (p == 1)
