@@ -189,7 +189,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketch = save(sketches(docs, size, percent / 100), "jaccard-sketches")
     known = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = save(known.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct(),
+    member = save(known.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep"),
                   "jaccard-classes")
 
     # bands that two or more representatives share
