@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 INSIDE_SPACE = re.compile(r"\s (?=\s|\Z)")
-CACHED_BYTES = 48_000_000   # of pieces kept per worker; only speed depends on it
+CACHED_BYTES = 100_000_000   # of pieces kept per worker and generation; only speed depends on it
 LONG_PIECE = 200            # longer pieces are not kept
 
 
@@ -39,30 +39,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
-        self.spaced: set[str] = set()  # pieces that are empty or begin with white space
+        self.older: dict[str, bytes] = {}  # the generation before: pieces in use move on, others go
         self.held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in out]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space inside, in one call: a newline between two is a word of its own."""
+        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, dtype=self.dtype)
+        ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
+        if len(ends) != len(pieces) - 1:  # the vocabulary has no such newline
+            return self._whole(pieces)
+        flat, width = ids.tobytes(), ids.itemsize
+        cuts = (np.array([-1, *ends, len(ids)]) * width).tolist()
+        return [flat[a + width:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _learn(self, pieces: set[str], once: dict[str, bytes]) -> None:
         """Encode pieces; a key that begins with a space is a text's first piece."""
-        todo = list(pieces - self.known.keys())
-        ids = self._whole([p[1:] if p[:1] == " " else " " + p for p in todo])
-        for p, b in zip(todo, ids, strict=True):
-            if len(p) > LONG_PIECE:
-                once[p] = b
-                continue
-            self.known[p] = b
-            self.held += 2 * len(p) + len(b) + 150
-            if p[:1] != " " and (not p or p[0].isspace()):
-                self.spaced.add(p)
+        todo = pieces - self.known.keys()
+        moved = {p: b for p in todo if (b := self.older.get(p)) is not None} if self.older else {}
+        todo -= moved.keys()
+        # printable: no white space inside but the mark of a first piece
+        plain = [p for p in todo if p.isprintable() and 0 < len(p) <= LONG_PIECE and p != " "]
+        other = list(todo.difference(plain))
+        new = dict(zip(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]), strict=True)) if plain else {}
+        for p, b in zip(other, self._whole([p[1:] if p[:1] == " " else " " + p for p in other]), strict=True):
+            (once if len(p) > LONG_PIECE else new)[p] = b
+        new.update(moved)
+        self.known.update(new)
+        self.held += sum(map(len, new)) * 2 + sum(map(len, new.values())) + 150 * len(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHED_BYTES:
-            self.known, self.spaced, self.held = {}, set(), 0
+            self.older, self.known, self.held = self.known, {}, 0
         cut, pieces = [], set()
         for t in texts:
             p = t.split(" ")
@@ -72,7 +85,8 @@ class Encoder:
         once: dict[str, bytes] = {}
         self._learn(pieces, once)
         get = self.known.__getitem__ if not once else (lambda p: once.get(p) or self.known[p])
-        spaced = self.spaced & pieces
+        # pieces that are empty or begin with white space: only texts with one need a closer look
+        spaced = {p for p in pieces if not p or p[0] != " " and p[0].isspace()}
         return [self._whole([t])[0] if spaced and not spaced.isdisjoint(p) and INSIDE_SPACE.search(t)
                 else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
 
