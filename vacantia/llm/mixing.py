@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from vacantia.llm.common import prepare, save
 
-BLOCK = 20_000          # documents in a block of the first level
+BLOCK = 2_000           # documents in a block of the first level
 LAND = 12               # documents of a source, small to large, that are left to its landing
 FAN_IN = 2_000          # blocks merged into one at a later level: at most two open rows each
 WEIGHTS = (5.0, 2.0, 1.0)
