@@ -50,7 +50,7 @@ HEADINGS = {f"h{i}" for i in range(1, 7)}
 ALIGN_TO = 40   # columns wider than this are not padded further
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_STYLE = re.compile(r"display\s*:\s*none|(visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
 class Node:
@@ -224,7 +224,10 @@ def render(root: Node) -> str:
     def enter(node: Node) -> None:
         page, tag = pages[-1], node.tag
         if tag == "br":
-            page._flush(True) if page.line else page.end_line()
+            if page.line:
+                page._flush(True)
+            else:
+                page.blank = True
         elif tag == "table":
             page.end_line(True)
             tables.append([])
@@ -291,6 +294,8 @@ def render(root: Node) -> str:
         for kid in kids:
             if isinstance(kid, str):
                 pages[-1].text(kid)
+            elif kid.tag in BLOCKS and (style := kid.attrs.get("style")) and (m := _STYLE.search(style)) and m[1]:
+                pages[-1].end_line(kid.tag in SPACED)  # unseen, but it keeps its place
             elif shown(kid) and not (node.tag == "details" and "open" not in node.attrs and kid.tag != "summary"):
                 enter(kid)
                 stack.append((kid, iter(kid.kids)))

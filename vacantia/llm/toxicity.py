@@ -71,14 +71,21 @@ def _table() -> dict:
 
 
 def _letters_for(m: re.Match) -> str:
-    """Signs as letters where they stand inside a word, or digits, @ and $ at its edge."""
+    """Signs as letters, where they stand in a word of two letters or more.
+
+    At a word's edge only digits and a single @ or $ do.
+    """
     text, a, b = m.string, m.start(), m.end()
-    before, after = text[max(0, a - 2):a], text[b:b + 2]
-    inside = before[-1:].isalpha() and after[:1].isalpha()
-    edge = not set(m[0]) & {"!", "|"} and (
-        (after.isalpha() and len(after) == 2 and not before[-1:].isalnum())
-        or (before.isalpha() and len(before) == 2 and not after[:1].isalnum()))
-    return "".join(SIGNS.get(c, c) for c in m[0]) if inside or edge else m[0]
+    lo, hi = a, b
+    while lo > 0 and a - lo < 40 and (text[lo - 1].isalnum() or text[lo - 1] in SIGNS):
+        lo -= 1
+    while hi < len(text) and hi - b < 40 and (text[hi].isalnum() or text[hi] in SIGNS):
+        hi += 1
+    inside = text[lo:a].strip("@$!|") and text[b:hi].strip("@$!|")
+    letters = sum(c.isalpha() for c in text[lo:hi])
+    if letters < 2 or not inside and not (m[0].isdigit() or m[0] in ("@", "$")):
+        return m[0]
+    return "".join(SIGNS.get(c, c) for c in m[0])
 
 
 def fold(text: str) -> str:
