@@ -75,6 +75,18 @@ def test_details_follow_each_provider(spark):
                    "4": ("", "exact", False), "5": ("new grad", "u", True), "6": ("old", "u", False)}
 
 
+def test_newest_readable_detail_counts(spark):
+    jobs = spark.createDataFrame([("smartrec", "4", "SWE", "old", "u", True), ("smartrec", "5", "SWE", "old", "u", True)],
+                                 "source string, external_id string, title string, description string, url string, is_new_grad boolean")
+    body = '{"jobAd": {"sections": {"a": {"text": "%s"}}}}'
+    answers = spark.createDataFrame([
+        ("4", body % "first", datetime(2026, 1, 1), 200), ("4", body % "second", datetime(2026, 1, 2), 200),
+        ("4", "<html>", datetime(2026, 1, 3), 200), ("4", body % "third", datetime(2026, 1, 4), 500), ("5", "<html>", datetime(2026, 1, 1), 200)],
+        "external_id string, body string, fetched_at timestamp, status int")
+    got = load.apply_details(jobs, payloads.smartrecruiters_details(answers)).orderBy("external_id").collect()
+    assert [(r.external_id, r.description) for r in got] == [("4", "second"), ("5", "old")]
+
+
 def test_detail_selection_caps_and_order(spark):
     start = datetime(2026, 1, 1)
     rows = [(s, "b", str(i), None if i == 99 else start + timedelta(days=i), start, i)

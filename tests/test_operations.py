@@ -85,12 +85,16 @@ def test_shards_split_the_watchlist(spark):
 
 
 def test_run_summary_and_freshness(spark):
-    status = spark.createDataFrame([("lever", "ok"), ("lever", "failed"), ("ashby", "missing"), ("ashby", "ok")],
-                                   "ats string, outcome string")
+    status = spark.createDataFrame([("lever", "x", "ok"), ("lever", "y", "ok"), ("lever", "y", "failed"),
+                                    ("ashby", "x", "missing"), ("ashby", "y", "ok")],
+                                   "ats string, token string, outcome string")
     new = spark.createDataFrame([("lever",), ("lever",)], "ats string")
     rows = {r.source: (r.ok, r.detail) for r in
             runlog.poll_summary(status, new, seconds=F.lit(3.6), ran_at=now()).collect()}
     assert rows == {"lever": (False, "1/2 boards, 2 new, 4s"), "ashby": (True, "2/2 boards, 0 new, 4s")}
+    watch = spark.createDataFrame([("lever", "x"), ("lever", "silent")], "ats string, token string")
+    watched = {r.source: (r.boards_ok, r.boards) for r in runlog.poll_summary(status, new, watchlist=watch).collect()}
+    assert watched == {"lever": (1, 3), "ashby": (2, 2)}
     log = spark.createDataFrame([("a", True, ago(minutes=60)), ("b", True, ago(minutes=61)),
                                  ("b", False, NOW), ("c", False, NOW)],
                                 "source string, ok boolean, ran_at timestamp")
@@ -168,10 +172,11 @@ def test_mail_class(spark):
 
 def test_job_links(spark):
     html = ('<a class="x" href="https://l.com/jobs/view/1?trk=mail&amp;x=1"><b>SWE</b> I</a>'
-            "<A HREF='https://a.myworkdayjobs.com/2'>Two</A><a href=\"/about\">no</a><a name='job'>no</a>")
+            "<A HREF='https://a.myworkdayjobs.com/2'>Two</A><a href=https://l.com/job/3&amp;trk=m1>R&amp;D</a><a href=\"/about\">no</a><a name='job'>no</a>")
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     got = [(r.url, r.title) for r in triage.job_links(df).collect()]
-    assert got == [("https://l.com/jobs/view/1", "SWE I"), ("https://a.myworkdayjobs.com/2", "Two")]
+    assert got == [("https://l.com/jobs/view/1", "SWE I"), ("https://a.myworkdayjobs.com/2", "Two"),
+                   ("https://l.com/job/3", "R&D")]
 
 
 def test_tokens_and_keywords(spark):

@@ -92,7 +92,14 @@ def new_job_rows(postings: DataFrame, seen_at: Column) -> DataFrame:
         "posted_at", seen_at.alias("first_seen_at"), "raw",
         is_new_grad(F.col("title"), F.col("description")).alias("is_new_grad"),
         F.lit("new").alias("status"), F.lit(None).cast("string").alias("note"),
-        "ats", "token", "fetched_at", "position")
+        "ats", "token", "fetched_at", "page", "position", _insert_rank().alias("insert_rank"))
+
+
+def _insert_rank() -> Column:
+    """Insert order of a board: newest first for the paged provider, undated last, else as listed."""
+    paged = F.col("source") == "smartrec"
+    newest = F.coalesce(-F.unix_micros("posted_at"), F.lit(2**62))
+    return F.when(paged, newest).otherwise(F.lit(0))
 
 
 def detail_selection(new_jobs: DataFrame) -> DataFrame:
@@ -115,12 +122,16 @@ def detail_selection(new_jobs: DataFrame) -> DataFrame:
 def apply_details(jobs: DataFrame, details: DataFrame) -> DataFrame:
     """Set description, URL and the new-grad flag from detail rows.
 
-    ``details(source, external_id, description, url)``. One provider writes
-    only non-empty text, the other writes whatever came, and a posting URL
-    replaces the constructed one. Jobs without a detail stay as they are.
+    ``details(source, external_id, description, url[, fetched_at])``. One
+    provider writes only non-empty text, the other writes whatever came, and a
+    posting URL replaces the constructed one. The newest detail of a posting
+    counts, so no job is repeated; jobs without a detail stay as they are.
     """
-    d = details.select(*JOB_KEY, F.col("description").alias("new_description"),
-                       F.col("url").alias("new_url"), F.lit(True).alias("has_detail"))
+    at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(None).cast("timestamp")
+    newest = F.max_by(F.struct("description", "url"), F.struct(at, "description", "url"))
+    d = (details.groupBy(*JOB_KEY).agg(newest.alias("d"))
+         .select(*JOB_KEY, F.col("d.description").alias("new_description"),
+                 F.col("d.url").alias("new_url"), F.lit(True).alias("has_detail")))
     text = F.col("new_description")
     hit = (F.coalesce(F.col("has_detail"), F.lit(False))
            & ((F.col("source") == "smartrec") | non_empty(text).isNotNull()))

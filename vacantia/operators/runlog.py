@@ -9,14 +9,19 @@ from vacantia import fixed_values as fv
 
 
 def poll_summary(status: DataFrame, new_jobs: DataFrame, seconds: Column | None = None,
-                 ran_at: Column | None = None) -> DataFrame:
+                 ran_at: Column | None = None, watchlist: DataFrame | None = None) -> DataFrame:
     """One run-log row per provider: boards ok of all, new rows, seconds.
 
-    ``status(ats, outcome)`` has one row per polled board, ``new_jobs(ats)``
-    one per inserted posting. A run is ok when no board failed.
+    ``status(ats, token, outcome)`` has one row per response, ``new_jobs(ats)``
+    one per inserted posting. A board fails if any of its pages does, or, with a
+    ``watchlist(ats, token)``, if it never answered. A run is ok when no board failed.
     """
-    boards = status.groupBy("ats").agg(
-        F.count("*").alias("boards"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    per_board = status.groupBy("ats", "token").agg(F.max(F.col("outcome") == "failed").alias("failed"))
+    if watchlist is not None:
+        per_board = (watchlist.select("ats", "token").distinct().join(per_board, ["ats", "token"], "full")
+                     .withColumn("failed", F.coalesce("failed", F.lit(True))))
+    boards = per_board.groupBy("ats").agg(
+        F.count("*").alias("boards"), F.count_if("failed").alias("failed"))
     added = new_jobs.groupBy("ats").agg(F.count("*").alias("added"))
     counted = boards.join(added, "ats", "left").select(
         F.col("ats").alias("source"), (F.col("failed") == 0).alias("ok"),

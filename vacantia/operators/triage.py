@@ -59,17 +59,28 @@ def triage(jobs: DataFrame, companies: DataFrame, freshness: Column) -> DataFram
             .withColumn("priority", F.when(~skip & queue, priority)))
 
 
+def decoded(text: Column) -> Column:
+    """Text with the common character references replaced; the ampersand comes last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def job_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Job links of a page: ``(…, url, title, external_id)``, the id from the URL."""
-    anchor = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1))
+    """Job links of a page: ``(…, url, title, external_id)``, the id from the URL.
+
+    Quoted and unquoted addresses count, with their entities decoded.
+    """
+    anchor = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
+    hrefs = F.transform(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1)),
+                        lambda h: decoded(F.regexp_replace(h, "^[\"']|[\"']$", "")))
     texts = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(2))
     keep = [c for c in pages.columns if c not in (html, "url")]
     found = pages.select(*keep, F.explode(F.arrays_zip(hrefs.alias("href"), texts.alias("text")))
                          .alias("a"))
     job = any_of([F.contains(F.col("a.href"), F.lit(m)) for m in fv.LINK_MARKERS])
     url = F.regexp_replace(F.col("a.href"), r"[?&]trk=.*$", "")
-    title = F.trim(F.regexp_replace(F.col("a.text"), r"<[^>]*>", ""))
+    title = F.trim(decoded(F.regexp_replace(F.col("a.text"), r"<[^>]*>", "")))
     return (found.filter(job)
             .select(*keep, url.alias("url"), title.alias("title"))
             .withColumn("external_id", F.sha1("url")))

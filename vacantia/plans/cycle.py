@@ -20,12 +20,16 @@ class Cycle(NamedTuple):
 
 
 def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame, as_of: Column,
-         notified: DataFrame | None = None) -> Cycle:
-    """Parse, name, upsert, look up, classify, insert, select alerts, count.
+         notified: DataFrame | None = None, details: DataFrame | None = None,
+         watchlist: DataFrame | None = None) -> Cycle:
+    """Parse, name, upsert, look up, classify, insert, add details, select alerts, count.
 
     ``job_keys(source, external_id)`` are the stored postings. The landing
     table is read and parsed once; its typed rows are written to the scratch
-    folder, and the later steps read the columns they need.
+    folder, and the later steps read the columns they need. ``details`` (see
+    ``load.apply_details``) are taken for the new rows that ``detail_selection``
+    chooses, before the alerts look at the flag. Boards of ``watchlist`` that
+    did not answer count as failed.
     """
     typed = stash(payloads.typed(landing), "cycle-typed")
     boards = stash(payloads.board_companies(typed), "cycle-boards")
@@ -33,8 +37,13 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame, as_of: C
                   "cycle-companies")
     named = payloads.with_company_name(payloads.postings(typed), boards)
     rows = load.new_job_rows(load.with_company_id(named, state), as_of)
-    new_jobs = stash(load.insert_if_absent(rows, job_keys, POSTING_ORDER), "cycle-new")
+    new_jobs = load.insert_if_absent(rows, job_keys, POSTING_ORDER)
+    if details is not None:
+        new_jobs = stash(new_jobs, "cycle-inserted")
+        chosen = load.detail_selection(new_jobs).select(*load.JOB_KEY)
+        new_jobs = load.apply_details(new_jobs, details.join(chosen, list(load.JOB_KEY), "left_semi"))
+    new_jobs = stash(new_jobs, "cycle-new")
     sent = alerts.select_alerts(new_jobs, state, run=("source",), notified=notified,
-                                insert_order=("fetched_at", "token", "position", "id"))
-    log = runlog.poll_summary(payloads.board_status(typed), new_jobs, ran_at=as_of)
+                                insert_order=("token", "insert_rank", "fetched_at", "page", "position", "id"))
+    log = runlog.poll_summary(payloads.board_status(typed), new_jobs, ran_at=as_of, watchlist=watchlist)
     return Cycle(state, new_jobs, sent, log)

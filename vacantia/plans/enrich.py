@@ -81,17 +81,15 @@ def _(t):
 
 
 @query("token_sort_ratio", f"""
-SELECT s_suppkey, p, a, b, 200.0::DOUBLE*{o.lcs('a', 'b')}/(length(a)+length(b)) AS ratio
-FROM (SELECT s_suppkey, p_partkey AS p, {o.tokens('s_name')} AS a, {o.tokens("p_name||' '||p_type")} AS b
-      FROM supplier JOIN part ON p_partkey = s_suppkey)""")
+SELECT p, a, b, 200.0::DOUBLE*{o.lcs('a', 'b')}/(length(a)+length(b)) AS ratio
+FROM (SELECT p_partkey AS p, {o.tokens('p_name')} AS a, {o.tokens("p_brand||' '||p_type")} AS b FROM part)""")
 def _(t):
     key = similarity.sorted_tokens
-    pairs = (t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey"))
-             .select("s_suppkey", F.col("p_partkey").alias("p"), key(F.col("s_name")).alias("a"),
-                     key(F.concat("p_name", F.lit(" "), "p_type")).alias("b")))
+    pairs = t.part.select(F.col("p_partkey").alias("p"), key(F.col("p_name")).alias("a"),
+                          key(F.concat("p_brand", F.lit(" "), "p_type")).alias("b"))
     n = F.length("a") + F.length("b")
     return (pairs.withColumn("lcs", similarity.lcs_length("a", "b"))
-            .select("s_suppkey", "p", "a", "b", (F.col("lcs") * F.lit(200.0) / n).alias("ratio")))
+            .select("p", "a", "b", (F.col("lcs") * F.lit(200.0) / n).alias("ratio")))
 
 
 @query("trigram_similarity", f"""
@@ -374,11 +372,11 @@ def _(t):
 
 
 @query("retention_summary", f"""
-WITH n AS (SELECT (SELECT count(*) FROM jobs_v j WHERE {_STALE}) AS jobs_pruned,
-  (SELECT count(*) FROM run_log_v WHERE ran_at < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 30 DAY) AS run_log_pruned)
+WITH n AS (SELECT (SELECT count(*) FROM jobs_v j WHERE {_STALE.replace(ORDERS_AS_OF, EVENTS_AS_OF)}) AS jobs_pruned,
+  (SELECT count(*) FROM run_log_v WHERE ran_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 30 DAY) AS run_log_pruned)
 SELECT *, CAST(jobs_pruned AS STRING)||' jobs, '||CAST(run_log_pruned AS STRING)||' heartbeats pruned' AS detail FROM n""")
 def _(t):
-    return retention.retention_counts(jobs(t), t.applications_v, t.resumes_v, t.run_log_v, at(ORDERS_AS_OF))
+    return retention.retention_counts(jobs(t), t.applications_v, t.resumes_v, t.run_log_v, at(EVENTS_AS_OF))
 
 
 @query("unreferenced_jobs", """

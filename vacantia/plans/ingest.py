@@ -9,7 +9,7 @@ from vacantia.operators import checks, health, load, runlog
 from vacantia.plans import cycle
 from vacantia.plans import oracle_parts as o
 from vacantia.plans.enrich import ORDERS_AS_OF, at, companies, jobs
-from vacantia.plans.landing import BODIES, EXPECTED, EXPECTED_ALL, NAME, OK, landing
+from vacantia.plans.landing import ANSWERED, BAD_TIME, BODIES, CUT, EXPECTED, EXPECTED_ALL, NAME, landing, ok
 from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import VIEWS
 from vacantia.session import scratch_path, stash
@@ -47,23 +47,27 @@ def _(t):
 
 @query("posting_company", f"SELECT source, external_id, company FROM ({EXPECTED_ALL})")
 def _(t):
-    rows = payloads.typed(landing(t))
+    rows = stash(payloads.typed(landing(t)).drop("raw", "description"), "named-typed")
     named = payloads.with_company_name(payloads.postings(rows), payloads.board_companies(rows))
     return named.select("source", "external_id", F.col("name").alias("company"))
 
 
 @query("board_companies", f"""
-SELECT 'greenhouse' AS ats, 'board'||o_orderkey AS token, CASE WHEN o_orderkey%4<2 THEN 'board'||o_orderkey ELSE {NAME} END AS name FROM orders WHERE {OK}
-UNION ALL SELECT a, 'board'||o_orderkey, 'board'||o_orderkey FROM orders, (VALUES ('lever'),('ashby')) x(a) WHERE {OK}
+SELECT 'greenhouse' AS ats, 'board'||o_orderkey AS token, CASE WHEN o_orderkey%4<2 THEN 'board'||o_orderkey ELSE {NAME} END AS name FROM orders WHERE {ok('greenhouse')}
+UNION ALL SELECT 'lever', 'board'||o_orderkey, 'board'||o_orderkey FROM orders WHERE {ok('lever')}
+UNION ALL SELECT 'ashby', 'board'||o_orderkey, 'board'||o_orderkey FROM orders WHERE {ok('ashby')}
 UNION ALL SELECT 'smartrecruiters', 'c'||o_custkey, CASE WHEN o_custkey%3=0 THEN 'c'||o_custkey ELSE {NAME}||' '||min(o_orderkey) END
-  FROM orders WHERE {OK} AND o_orderkey%9<>0 GROUP BY o_custkey, o_orderdate""")
+  FROM orders WHERE {ok('smartrecruiters')} AND o_orderkey%9<>0 GROUP BY o_custkey, o_orderdate""")
 def _(t):
     return payloads.board_companies(payloads.typed(landing(t))).select("ats", "token", "name")
 
 
-@query("board_status", """
-SELECT ats, CASE o_orderpriority WHEN '1-URGENT' THEN CASE WHEN ats IN ('greenhouse','lever','ashby') THEN 'missing' ELSE 'failed' END
-  WHEN '2-HIGH' THEN 'failed' ELSE 'ok' END AS outcome, CAST(count(*) AS BIGINT) AS responses
+_LOST = f"({CUT} OR CASE ats {' '.join(f"WHEN '{a}' THEN {c}" for a, c in BAD_TIME.items())} END)"
+
+
+@query("board_status", f"""
+SELECT ats, CASE WHEN o_orderpriority='1-URGENT' THEN CASE WHEN ats IN ('greenhouse','lever','ashby') THEN 'missing' ELSE 'failed' END
+  WHEN o_orderpriority='2-HIGH' OR {_LOST} THEN 'failed' ELSE 'ok' END AS outcome, CAST(count(*) AS BIGINT) AS responses
 FROM orders, (VALUES ('greenhouse'),('lever'),('ashby'),('smartrecruiters'),('github_repos')) x(ats) GROUP BY ALL""")
 def _(t):
     return (payloads.board_status(payloads.typed(landing(t))).groupBy("ats", "outcome")
@@ -71,14 +75,16 @@ def _(t):
 
 
 @query("run_summary", f"""
-WITH b AS (SELECT ats, count(*) AS boards, count(*) FILTER (WHERE o_orderpriority='2-HIGH' OR (o_orderpriority='1-URGENT' AND ats IN ('smartrecruiters','github_repos'))) AS failed
-  FROM orders, (VALUES ('greenhouse','greenhouse'),('lever','lever'),('ashby','ashby'),('smartrecruiters','smartrec'),('github_repos','github_repo')) x(ats, src) GROUP BY 1),
+WITH p AS (SELECT ats, CASE ats WHEN 'smartrecruiters' THEN 'c'||o_custkey WHEN 'github_repos' THEN 'listings' ELSE 'board'||o_orderkey END AS token,
+  bool_or(o_orderpriority='2-HIGH' OR (o_orderpriority='1-URGENT' AND ats IN ('smartrecruiters','github_repos')) OR ({ANSWERED} AND {_LOST})) AS failed
+  FROM orders, (VALUES ('greenhouse'),('lever'),('ashby'),('smartrecruiters'),('github_repos')) x(ats) GROUP BY 1, 2),
+b AS (SELECT ats, count(*) AS boards, count(*) FILTER (WHERE failed) AS failed FROM p GROUP BY 1),
 n AS (SELECT CASE source WHEN 'smartrec' THEN 'smartrecruiters' WHEN 'github_repo' THEN 'github_repos' ELSE source END AS ats, count(*) AS added FROM ({EXPECTED_ALL}) GROUP BY 1)
 SELECT b.ats AS source, failed=0 AS ok, boards-failed AS boards_ok, boards, coalesce(added,0) AS new_rows,
   (boards-failed)||'/'||boards||CASE WHEN b.ats='github_repos' THEN ' repos, ' ELSE ' boards, ' END||coalesce(added,0)||' new' AS detail
 FROM b LEFT JOIN n USING (ats)""")
 def _(t):
-    rows = payloads.typed(landing(t))
+    rows = stash(payloads.typed(landing(t)).drop("raw", "description"), "summary-typed")
     return runlog.poll_summary(payloads.board_status(rows), payloads.postings(rows))
 
 
@@ -91,24 +97,36 @@ _DETAIL_TEXT = """concat_ws(chr(10)||chr(10), CASE WHEN o_orderkey%3=0 THEN o_or
   CASE WHEN o_orderkey%5=0 THEN NULL WHEN o_orderkey%5=1 THEN 'We hire new grad engineers' ELSE 'more' END)"""
 
 
-def _details(t: Tables) -> DataFrame:
-    """Detail responses for two providers; low-priority postings have none."""
+def _details(t: Tables, which: str = "WHERE o_orderpriority<>'5-LOW'") -> DataFrame:
+    """Detail responses for two providers; low-priority postings have none by default."""
     text_body = f"""to_json(named_struct('id', CAST(o_orderkey AS STRING),
         'postingUrl', CASE WHEN o_orderkey%2=0 THEN concat('https://exact.example.com/', o_orderkey) END,
         'jobAd', named_struct('sections', {_SECTIONS})))"""
     plain_body = """to_json(named_struct('id', CAST(o_orderkey AS STRING),
         'content', CASE WHEN o_orderkey%2=0 THEN '' ELSE 'Entry level role' END))"""
     base = t.spark.sql(f"""SELECT CAST(o_orderkey AS STRING) AS external_id, {text_body} AS paged, {plain_body} AS plain
-        FROM {{orders}} WHERE o_orderpriority<>'5-LOW'""", orders=t.orders)
-    paged = payloads.smartrecruiters_details(base.select("external_id", F.col("paged").alias("body")))
-    green = payloads.greenhouse_details(base.select("external_id", F.col("plain").alias("body")))
+        FROM {{orders}} {which}""", orders=t.orders)
+
+    def answers(body: str) -> DataFrame:
+        """Each answer, an older one of other content, and a newer one that is an error page."""
+        row = base.select("external_id", F.col(body).alias("body"))
+        kinds = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("kind")
+        other = F.replace("body", F.lit("e"), F.lit("o"))
+        return row.select("*", kinds).select(
+            "external_id", F.when(F.col("kind") == 1, row.body).when(F.col("kind") == 0, other).otherwise("<html>busy</html>").alias("body"),
+            F.timestamp_seconds(F.col("kind")).alias("fetched_at"))
+
+    paged = payloads.smartrecruiters_details(answers("paged"))
+    green = payloads.greenhouse_details(answers("plain"))
     return paged.unionByName(green)
 
 
 @query("detail_text", f"""
-SELECT CAST(o_orderkey AS STRING) AS external_id, {_DETAIL_TEXT} AS description FROM orders WHERE o_orderpriority<>'5-LOW'""")
+SELECT CAST(o_orderkey AS STRING) AS external_id, {_DETAIL_TEXT} AS description FROM orders""")
 def _(t):
-    return _details(t).filter("source = 'smartrec'").select("external_id", "description")
+    # the newest readable answers; the older ones were fetched at second 0
+    newest = F.col("fetched_at") == F.timestamp_seconds(F.lit(1))
+    return _details(t, "").filter("source = 'smartrec'").filter(newest).select("external_id", "description")
 
 
 @query("detail_update", f"""
@@ -230,10 +248,12 @@ def _(t):
 
 
 @query("insert_twice", """
-SELECT source, CAST(count(DISTINCT external_id) AS BIGINT) AS stored, CAST(0 AS BIGINT) AS added_again
-FROM arrivals_v WHERE external_id IS NOT NULL GROUP BY 1""")
+SELECT source, CAST(count(DISTINCT external_id) + count(*) FILTER (WHERE external_id IS NULL) AS BIGINT) AS stored,
+  CAST(count(*) FILTER (WHERE external_id IS NULL) AS BIGINT) AS added_again
+FROM arrivals_v GROUP BY 1""")
 def _(t):
-    rows = t.arrivals_v.filter("external_id IS NOT NULL")
+    # rows without a key conflict with nothing, so a second load adds them again
+    rows = t.arrivals_v
     first = stash(load.insert_if_absent(rows, rows.limit(0), ORDER), "insert-first")
     again = load.insert_if_absent(rows, first, ORDER)
     counted = (first.select("source", F.lit(0).alias("again"))
@@ -290,18 +310,19 @@ def _(t):
 
 
 _CYCLE = f"""WITH x AS ({EXPECTED_ALL}), y AS (
-SELECT source, external_id, {o.norm('company')} AS company, {o.grad('title', 'description')} AS is_new_grad, 'new' AS status FROM x)"""
+SELECT source, external_id, {o.norm('company')} AS company, {o.grad('title', 'description')} AS is_new_grad, 'new' AS status, token, posted_at, seen, ord, pos FROM x)"""
 
 
-def _cycle(t: Tables) -> cycle.Cycle:
-    """A first poll: nothing stored yet."""
+def _cycle(t: Tables, keys: DataFrame | None = None, details: DataFrame | None = None) -> cycle.Cycle:
+    """A poll; by default the first one, with nothing stored yet."""
     none = t.spark.createDataFrame([], "id string, name string, name_normalized string, ats_type string, "
                                        "ats_token string, sponsor_score decimal(4,3), sponsor_status string")
-    keys = t.spark.createDataFrame([], "source string, external_id string")
-    return cycle.poll(landing(t), none, keys, F.lit(ORDERS_AS_OF).cast("timestamp"))
+    if keys is None:
+        keys = t.spark.createDataFrame([], "source string, external_id string")
+    return cycle.poll(landing(t), none, keys, F.lit(ORDERS_AS_OF).cast("timestamp"), details=details)
 
 
-@query("poll_cycle", f"{_CYCLE} SELECT * FROM y")
+@query("poll_cycle", f"{_CYCLE} SELECT source, external_id, company, is_new_grad, status FROM y")
 def _(t):
     done = _cycle(t)
     names = done.companies.select(F.col("id").alias("company_id"), F.col("name_normalized").alias("company"))
@@ -310,9 +331,36 @@ def _(t):
 
 
 @query("poll_cycle_alerts", f"""{_CYCLE}
-SELECT source, CAST(least(15, count(*) FILTER (WHERE is_new_grad)) AS BIGINT) AS alerts FROM y GROUP BY 1""")
+SELECT source, external_id, alert_no FROM (SELECT source, external_id, CAST(row_number() OVER (PARTITION BY source ORDER BY token,
+    CASE WHEN source='smartrec' THEN posted_at END DESC NULLS LAST, seen, CASE WHEN source='smartrec' THEN ord ELSE 0 END, pos,
+    sha256(source||chr(0)||external_id)) AS INT) AS alert_no FROM y WHERE is_new_grad) WHERE alert_no<=15""")
+def _(t):
+    return _cycle(t).alerts.select("source", "external_id", "alert_no")
+
+
+_PREFIXES = {"greenhouse": "", "lever": "l", "ashby": "a", "smartrec": "s", "github_repo": "r"}
+
+
+def _posting_ids(t: Tables, sources: dict[str, str], where: str) -> DataFrame:
+    """``source, external_id`` of the two postings of each order."""
+    pairs = ", ".join(f"('{s}', '{p}')" for s, p in sources.items())
+    return t.spark.sql(f"""SELECT source, concat(prefix, CAST(2*o_orderkey+i AS STRING)) AS external_id, o_orderkey
+        FROM {{orders}}, VALUES {pairs} AS s(source, prefix), VALUES (0), (1) AS v(i) WHERE {where}""", orders=t.orders)
+
+
+@query("poll_cycle_repoll", f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY source, token ORDER BY
+    CASE WHEN source='smartrec' THEN posted_at END DESC NULLS LAST, seen, pos, external_id) AS rank FROM ({EXPECTED_ALL}) WHERE ord%2<>0),
+d AS (SELECT *, source='smartrec' AND rank<=40 OR source='greenhouse' AND rank<=25 AS hit FROM x),
+y AS (SELECT source, external_id, title, CASE WHEN hit THEN CASE WHEN ord%3=0 THEN 'An entry level role' ELSE 'A role' END ELSE description END AS description FROM d)
+SELECT source, external_id, description, {o.grad('title', 'description')} AS is_new_grad FROM y""")
 def _(t):
-    return _cycle(t).alerts.groupBy("source").agg(F.count("*").alias("alerts"))
+    # half of the postings are stored; two providers give details for any posting
+    stored = _posting_ids(t, _PREFIXES, "o_orderkey%2=0").select("source", "external_id")
+    some = {s: _PREFIXES[s] for s in ("greenhouse", "smartrec")}
+    details = _posting_ids(t, some, "true").select("source", "external_id", F.expr(
+        "CASE WHEN o_orderkey%3=0 THEN 'An entry level role' ELSE 'A role' END").alias("description"),
+        F.lit(None).cast("string").alias("url"))
+    return _cycle(t, stored, details).new_jobs.select("source", "external_id", "description", "is_new_grad")
 
 
 # --- boards ---------------------------------------------------------------------
@@ -323,20 +371,21 @@ _HEALTH_STATUS = "CASE WHEN o_orderkey%7=0 THEN 404 WHEN o_orderkey%7=1 THEN 503
 def _health_landing(t: Tables) -> DataFrame:
     """Responses per watched board, several per board, in the provider shapes."""
     n = "CAST(o_orderkey%4 AS INT)"
+    cut = "o_orderkey%13=0"  # answers that cannot be read
     jobs_ = f"CASE WHEN {n}=0 THEN array() ELSE transform(sequence(1, {n}), i -> named_struct('id', i)) END"
     body = f"""CASE o_custkey%4 WHEN 1 THEN to_json({jobs_}) WHEN 3 THEN to_json(named_struct('totalFound', {n}))
         ELSE to_json(named_struct('jobs', {jobs_})) END"""
     return t.spark.sql(f"""SELECT split_part('greenhouse,lever,ashby,smartrecruiters',',',CAST(o_custkey%4+1 AS INT)) AS ats,
         concat('Board', o_custkey) AS token, o_orderdate + make_dt_interval(0,0,0,o_orderkey) AS fetched_at,
-        {_HEALTH_STATUS} AS status, {body} AS body FROM {{orders}}""", orders=t.orders)
+        {_HEALTH_STATUS} AS status, CASE WHEN {cut} THEN '<html>' ELSE {body} END AS body FROM {{orders}}""", orders=t.orders)
 
 
-_HEALTH = f"""WITH l AS (SELECT o_custkey, o_orderkey%4 AS n, {_HEALTH_STATUS} AS status,
+_HEALTH = f"""WITH l AS (SELECT o_custkey, CASE WHEN o_orderkey%13<>0 THEN o_orderkey%4 END AS n, {_HEALTH_STATUS} AS status,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate + to_seconds(o_orderkey) DESC) AS rn FROM orders),
-h AS (SELECT w.ats, w.token, coalesce(l.status=200 AND NOT (w.ats='smartrecruiters' AND n=0), false) AS alive,
+h AS (SELECT w.ats, w.token, coalesce(l.status=200 AND n IS NOT NULL AND NOT (w.ats='smartrecruiters' AND n=0), false) AS alive,
   CASE WHEN l.status=200 THEN n END AS postings,
   CASE WHEN l.status IS NULL THEN 'no response' WHEN l.status=404 THEN '404' WHEN l.status<>200 THEN 'HTTP '||l.status
-    WHEN w.ats='smartrecruiters' AND n=0 THEN '0 postings (token likely wrong — SR never 404s)' ELSE n||' postings' END AS detail
+    WHEN n IS NULL THEN 'unreadable answer' WHEN w.ats='smartrecruiters' AND n=0 THEN '0 postings (token likely wrong — SR never 404s)' ELSE n||' postings' END AS detail
   FROM watchlist_v w LEFT JOIN l ON l.o_custkey=w.board AND rn=1)"""
 
 

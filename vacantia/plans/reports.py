@@ -140,26 +140,28 @@ def _(t):
 
 
 @query("html_job_links", r"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href,
-  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS txt FROM pages)
-SELECT page_id, regexp_replace(href,'[?&]trk=.*$','') AS url, trim(regexp_replace(txt,'<[^>]*>','','g')) AS title,
-  sha1(regexp_replace(href,'[?&]trk=.*$','')) AS external_id FROM a
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>(.*?)</a>', 1)) AS quoted,
+  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>(.*?)</a>', 2)) AS txt FROM pages),
+b AS (SELECT *, replace(replace(replace(replace(replace(replace(trim(quoted, '"'''),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&') AS href FROM a)
+SELECT page_id, regexp_replace(href,'[?&]trk=.*$','') AS url, trim(replace(replace(replace(replace(replace(replace(regexp_replace(txt,'<[^>]*>','','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&')) AS title,
+  sha1(regexp_replace(href,'[?&]trk=.*$','')) AS external_id FROM b
 WHERE contains(href,'/jobs/view/') OR contains(href,'myworkdayjobs.com') OR contains(href,'/job/')""")
 def _(t):
     return triage.job_links(t.pages).select("page_id", "url", "title", "external_id")
 
 
 @query("mail_job_links", r"""
-WITH p AS (SELECT page_id, replace(replace(html, 'href="/', 'href="https://x.myworkdayjobs.com/'), '">', '&trk=' || page_id || '">') AS html FROM pages),
-a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href,
-  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS txt FROM p)
-SELECT page_id, regexp_replace(href,'[?&]trk=.*$','') AS url, trim(regexp_replace(txt,'<[^>]*>','','g')) AS title,
-  sha1(regexp_replace(href,'[?&]trk=.*$','')) AS external_id FROM a
+WITH p AS (SELECT page_id, replace(replace(html, 'href="/', 'href="https://x.myworkdayjobs.com/'), '">', '&amp;trk=' || page_id || '">') AS html FROM pages),
+a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>(.*?)</a>', 1)) AS quoted,
+  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>(.*?)</a>', 2)) AS txt FROM p),
+b AS (SELECT *, replace(replace(replace(replace(replace(replace(trim(quoted, '"'''),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&') AS href FROM a)
+SELECT page_id, regexp_replace(href,'[?&]trk=.*$','') AS url, trim(replace(replace(replace(replace(replace(replace(regexp_replace(txt,'<[^>]*>','','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&')) AS title,
+  sha1(regexp_replace(href,'[?&]trk=.*$','')) AS external_id FROM b
 WHERE contains(href,'/jobs/view/') OR contains(href,'myworkdayjobs.com') OR contains(href,'/job/')""")
 def _(t):
     # The pages table has no job links, so its own links are turned into some.
     linked = F.replace(F.col("html"), F.lit('href="/'), F.lit('href="https://x.myworkdayjobs.com/'))
-    tracked = F.replace(linked, F.lit('">'), F.concat(F.lit("&trk="), F.col("page_id"), F.lit('">')))
+    tracked = F.replace(linked, F.lit('">'), F.concat(F.lit("&amp;trk="), F.col("page_id"), F.lit('">')))
     return (triage.job_links(t.pages.withColumn("html", tracked))
             .select("page_id", "url", "title", "external_id"))
 

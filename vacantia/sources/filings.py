@@ -35,7 +35,7 @@ def normalize_filings(raw: DataFrame, src: str = "uscis_hub") -> DataFrame:
     employer = stripped(pick(raw, fv.EMPLOYER_HEADERS))
     year = F.nullif(tolerant_int(pick(raw, fv.FISCAL_YEAR_HEADERS)), F.lit(0))
     return raw.select(
-        F.lit(src).alias("src"), year.cast("int").alias("fiscal_year"),
+        F.lit(src).alias("src"), year.try_cast("int").alias("fiscal_year"),
         employer.alias("employer_raw"), normalize_company(employer).alias("employer_norm"),
         tolerant_int(pick(raw, fv.INITIAL_APPROVAL_HEADERS)).alias("initial_approvals"),
         tolerant_int(pick(raw, fv.INITIAL_DENIAL_HEADERS)).alias("initial_denials"),

@@ -21,6 +21,9 @@ SOURCE_OF = {"greenhouse": "greenhouse", "lever": "lever", "ashby": "ashby",
              "smartrecruiters": "smartrec", "github_repos": "github_repo"}
 MISSING_BOARD_ALLOWED = ("greenhouse", "lever", "ashby")
 
+# seconds of the first day of year 1 and the last of year 9999
+EPOCH_FIRST, EPOCH_LAST = -62_135_596_800, 253_402_300_799
+
 _JOBS = "struct<jobs:array<variant>,_corrupt_record:string>"
 _PAGE = "struct<totalFound:bigint,offset:bigint,content:array<variant>,_corrupt_record:string>"
 _ROWS = "array<variant>"
@@ -45,7 +48,13 @@ def switched_on(raw: Column, path: str) -> Column:
 
 def instant(text: Column) -> Column:
     """ISO-8601 text with offset or Z to an instant; empty text is NULL."""
-    return non_empty(text).cast("timestamp")
+    return non_empty(text).try_cast("timestamp")
+
+
+def epoch(raw: Column, path: str, per_second: int) -> Column:
+    """A non-zero epoch number; what lies outside of the calendar is NULL."""
+    value = F.nullif(F.try_variant_get(raw, path, "bigint"), F.lit(0))
+    return F.when(value.between(EPOCH_FIRST * per_second, EPOCH_LAST * per_second), value)
 
 
 def answered(status: Column) -> Column:
@@ -56,7 +65,8 @@ def parsed(landing: DataFrame) -> DataFrame:
     """Landing rows with their parsed parts.
 
     ``elements`` holds the postings, ``total`` and ``page`` the paging fields,
-    ``readable`` tells whether an answered body parses.
+    ``readable`` tells whether an answered body parses and all its times are
+    times. One that does not is lost with all its elements; others go on.
     """
     in_jobs, in_page = F.col("ats").isin("greenhouse", "ashby"), F.col("ats") == "smartrecruiters"
     ok, none = answered(F.col("status")), F.array().cast(_ROWS)
@@ -69,13 +79,31 @@ def parsed(landing: DataFrame) -> DataFrame:
               .otherwise(F.col("rows").isNotNull()))
     elements = (F.when(in_jobs, F.col("jobs.jobs")).when(in_page, F.col("paged.content"))
                 .otherwise(F.col("rows")))
+    listed = F.coalesce(elements, none)
+    readable = ok & intact & F.forall(listed, lambda e: F.coalesce(_timed(e), F.lit(True)))
     return shapes.select(
-        "ats", "token", "fetched_at", "status", (ok & intact).alias("readable"),
-        F.coalesce(elements, none).alias("elements"),
+        "ats", "token", "fetched_at", "status", readable.alias("readable"),
+        F.when(readable, listed).otherwise(none).alias("elements"),
         F.coalesce("paged.totalFound", F.lit(0)).alias("total"),
         F.coalesce("paged.offset", F.lit(0)).alias("page"))
 
 
+def _timed(raw: Column) -> Column:
+    """Whether the posting time of an element is missing or a time."""
+    def iso(text: Column) -> Column:
+        return non_empty(text).isNull() | instant(text).isNotNull()
+
+    def number(path: str, per_second: int) -> Column:
+        value = F.coalesce(F.try_variant_get(raw, path, "bigint"), F.lit(0))
+        return (value == 0) | epoch(raw, path, per_second).isNotNull()
+
+    return _by_provider({
+        "greenhouse": iso(first_non_empty(text_at(raw, "$.first_published"), text_at(raw, "$.updated_at"))),
+        "lever": number("$.createdAt", 1000), "ashby": iso(text_at(raw, "$.publishedAt")),
+        "smartrecruiters": iso(text_at(raw, "$.releasedDate")),
+        "github_repos": number("$.date_posted", 1)})
+
+
 # --- fields per provider ----------------------------------------------------------
 
 def _greenhouse(raw: Column) -> dict[str, Column]:
@@ -88,13 +116,12 @@ def _greenhouse(raw: Column) -> dict[str, Column]:
 
 
 def _lever(raw: Column) -> dict[str, Column]:
-    created = F.nullif(F.try_variant_get(raw, "$.createdAt", "bigint"), F.lit(0))
     return {
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.text"),
         "location": text_at(raw, "$.categories.location"), "url": text_at(raw, "$.hostedUrl"),
         "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
                                   text_at(raw, "$.description")),
-        "posted_at": F.timestamp_millis(created)}
+        "posted_at": F.timestamp_millis(epoch(raw, "$.createdAt", 1000))}
 
 
 def _ashby(raw: Column) -> dict[str, Column]:
@@ -120,11 +147,10 @@ def _smartrecruiters(raw: Column) -> dict[str, Column]:
 
 def _listing(raw: Column) -> dict[str, Column]:
     places = F.try_variant_get(raw, "$.locations", "array<string>")
-    posted = F.nullif(F.try_variant_get(raw, "$.date_posted", "bigint"), F.lit(0))
     return {
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
         "location": non_empty(F.array_join(places, ", ")), "url": text_at(raw, "$.url"),
-        "description": F.lit(None).cast("string"), "posted_at": F.timestamp_seconds(posted)}
+        "description": F.lit(None).cast("string"), "posted_at": F.timestamp_seconds(epoch(raw, "$.date_posted", 1))}
 
 
 FIELDS = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby,
@@ -172,12 +198,12 @@ def typed(landing: DataFrame) -> DataFrame:
 
 def postings(rows: DataFrame) -> DataFrame:
     """The postings among typed rows."""
-    return rows.filter("shown").drop("status", "readable", "page", "shown")
+    return rows.filter("shown").drop("status", "readable", "shown")
 
 
 def all_postings(landing: DataFrame) -> DataFrame:
     """Every provider in one shape."""
-    return postings(typed(landing)).drop("company")
+    return postings(typed(landing)).drop("company", "page")
 
 
 def postings_of(landing: DataFrame, ats: str) -> DataFrame:
@@ -243,18 +269,29 @@ def board_status(rows: DataFrame) -> DataFrame:
 
 # --- details ------------------------------------------------------------------------
 
+def _readable_details(detail: DataFrame, schema: str) -> DataFrame:
+    """Details ``d`` whose body parses and, where a status is given, whose request was answered.
+
+    ``fetched_at`` is kept, or NULL where the input has none.
+    """
+    ok = answered(F.col("status")) if "status" in detail.columns else F.lit(True)
+    at = F.col("fetched_at") if "fetched_at" in detail.columns else F.lit(None)
+    with_rest = schema[:-1] + ",_corrupt_record:string>"
+    return (detail.filter(ok).select("external_id", at.cast("timestamp").alias("fetched_at"),
+                                     F.from_json("body", with_rest).alias("d"))
+            .filter("d IS NOT NULL AND d._corrupt_record IS NULL"))
+
+
 def smartrecruiters_details(detail: DataFrame) -> DataFrame:
-    """Detail payloads ``(external_id, body)`` to text and exact URL."""
-    d = F.from_json("body", schemas.SMARTRECRUITERS_DETAIL)
-    return (detail.select("external_id", d.alias("d"))
+    """Detail payloads ``(external_id, body[, fetched_at, status])`` to text and exact URL."""
+    return (_readable_details(detail, schemas.SMARTRECRUITERS_DETAIL)
             .select(F.lit("smartrec").alias("source"), "external_id",
                     section_text(F.col("d.jobAd.sections")).alias("description"),
-                    F.col("d.postingUrl").alias("url")))
+                    F.col("d.postingUrl").alias("url"), "fetched_at"))
 
 
 def greenhouse_details(detail: DataFrame) -> DataFrame:
-    d = F.from_json("body", schemas.GREENHOUSE_DETAIL)
-    return (detail.select("external_id", d.alias("d"))
+    return (_readable_details(detail, schemas.GREENHOUSE_DETAIL)
             .select(F.lit("greenhouse").alias("source"), "external_id",
                     F.col("d.content").alias("description"),
-                    F.lit(None).cast("string").alias("url")))
+                    F.lit(None).cast("string").alias("url"), "fetched_at"))
