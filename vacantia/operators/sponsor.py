@@ -95,7 +95,9 @@ def score_companies(companies: DataFrame, filings: DataFrame, as_of: Column) ->
     milli = score_milli(F.col("approvals"), F.col("denials"), F.col("latest_year"),
                         fiscal_year(as_of))
     matched = F.col("employer_norm").isNotNull()
-    return (todo.join(best, "name_normalized", "left").join(totals, "employer_norm", "left")
+    # matches meet their totals first, so unmatched companies bring no NULL key to that join
+    known = best.join(totals, "employer_norm")
+    return (todo.join(known, "name_normalized", "left")
             .select("id", "name_normalized", "employer_norm",
                     F.when(matched, score_value(milli))
                     .otherwise(F.lit(0).cast("decimal(4,3)")).alias("sponsor_score"),
@@ -134,7 +136,7 @@ def scoring_run(companies: DataFrame, filings: DataFrame,
         row = spark.range(1).select(F.lit("no sponsor data").alias("detail"))
         scores, ok = None, False
     else:
-        scores = score_companies(companies, filings, as_of)
+        scores = stash(score_companies(companies, filings, as_of), "sponsor-scores")  # written back and logged
         row, ok = run_detail(scores), True
     return scores, row.select(F.lit("sponsor_match").alias("source"), F.lit(ok).alias("ok"),
                               as_of.alias("ran_at"), "detail")
