@@ -176,3 +176,26 @@ def test_hot_key_in_one_batch(spark, hot):
                                    F.col("id").cast("int").alias("n"), F.lit("t").alias("title"))
     row, = load.insert_if_absent(rows, rows.limit(0), ["n"]).collect()
     assert row.n == 0
+
+
+def test_poll_of_a_response_landed_twice(spark, tmp_path):
+    """Copies of a response, an id on two boards and postings without an id."""
+    loose = json.dumps([{"text": "SWE New Grad", "hostedUrl": "https://l/x"}])
+    for name in ("1.json", "2.json"):
+        drop(tmp_path, name, "2026-01-01T00:00:00Z", ("acme", lever_body("1", "2")), ("loose", loose))
+    drop(tmp_path, "3.json", "2026-01-02T00:00:00Z", ("other", lever_body("2", "3")))
+    landing = payloads.read_landing(spark, str(tmp_path))
+    none = spark.createDataFrame([], COMPANIES + ", sponsor_score decimal(4,3)")
+    keys = spark.createDataFrame([("lever", "1")], "source string, external_id string")
+    now = F.lit("2026-01-03").cast("timestamp")
+    rows = cycle.poll(landing, none, keys, now).new_jobs.collect()
+    got = sorted((r.external_id or "-", r.token) for r in rows)
+    assert got == [("-", "loose"), ("-", "loose"), ("2", "acme"), ("3", "other")]
+
+
+def test_one_per_key(spark):
+    rows = spark.createDataFrame([("lever", "1", 2, "late"), ("lever", "1", 1, "early"), ("lever", "2", 3, "only"),
+                                  ("lever", None, 4, "a"), ("lever", None, 4, "a")], ROWS)
+    got = sorted((r.n, r.title) for r in load.one_per_key(rows, ["n"]).collect())
+    assert got == [(1, "early"), (3, "only"), (4, "a"), (4, "a")]
+    assert load.one_per_key(rows.limit(0), ["n"]).count() == 0

@@ -43,6 +43,20 @@ def insert_if_absent(arrivals: DataFrame, stored: DataFrame, order_by: list[str]
     return fresh.select(*arrivals.columns).unionByName(arrivals.filter(keyless))
 
 
+def one_per_key(rows: DataFrame, order_by: list[str], keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
+    """The first row per key, for wide rows whose keys rarely repeat.
+
+    Repeated keys are found on the key columns alone; only their rows are
+    combined, all others pass as they are. NULL keys all pass.
+    """
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    rest = [c for c in rows.columns if c not in keys]
+    first = (rows.join(repeated, list(keys), "left_semi").groupBy(*keys)
+             .agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r")).select(*keys, "r.*"))
+    return (rows.join(repeated, list(keys), "left_anti").select(*rows.columns)
+            .unionByName(first.select(*rows.columns)))
+
+
 def upsert_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """New company state from ``incoming(name, ats_type, ats_token, seq)``.
 

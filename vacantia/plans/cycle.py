@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from vacantia.operators import alerts, load, runlog
 from vacantia.session import stash
 from vacantia.sources import payloads
-from vacantia.streaming.ingest import POSTING_ORDER
+
+ORDER = ["fetched_at", "ats", "token", "page", "position"]
+_RESPONSE = ["ats", "token", "fetched_at"]
+# what tells a new posting from others; several responses may share token and time
+_POSTING = [*_RESPONSE, "page", "position", "external_id", "said"]
 
 
 class Cycle(NamedTuple):
@@ -24,26 +31,42 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame, as_of: C
          watchlist: DataFrame | None = None) -> Cycle:
     """Parse, name, upsert, look up, classify, insert, add details, select alerts, count.
 
-    ``job_keys(source, external_id)`` are the stored postings. The landing
-    table is read and parsed once; its typed rows are written to the scratch
-    folder, and the later steps read the columns they need. ``details`` (see
+    ``job_keys(source, external_id)`` are the stored postings. Keys come first:
+    one parse of the landing table saves keys, order and place of each posting,
+    without its payload, and new keys are found there. Only responses that hold
+    a new posting are parsed again for the payload; while these are few, no
+    payload is shuffled or saved but that of the new rows. ``details`` (see
     ``load.apply_details``) are taken for the new rows that ``detail_selection``
     chooses, before the alerts look at the flag. Boards of ``watchlist`` that
     did not answer count as failed.
     """
-    typed = stash(payloads.typed(landing), "cycle-typed")
-    boards = stash(payloads.board_companies(typed), "cycle-boards")
-    state = stash(load.upsert_companies(companies, payloads.company_sightings(typed, boards)),
+    rows = stash(payloads.typed(landing).select(*payloads.KEYS), "cycle-rows")
+    boards = stash(payloads.board_companies(rows), "cycle-boards")
+    state = stash(load.upsert_companies(companies, payloads.company_sightings(rows, boards)),
                   "cycle-companies")
-    named = payloads.with_company_name(payloads.postings(typed), boards)
-    rows = load.new_job_rows(load.with_company_id(named, state), as_of)
-    new_jobs = load.insert_if_absent(rows, job_keys, POSTING_ORDER)
+    arrivals = payloads.postings(rows).filter(payloads.has_company())
+    fresh = stash(load.insert_if_absent(arrivals, job_keys, ORDER), "cycle-fresh")
+    named = payloads.with_company_name(fresh.withColumn("said", F.col("company")), boards)
+    chosen = stash(load.with_company_id(named, state).select(*_POSTING, "company_id").distinct(), "cycle-chosen")
+    inserted = stash(load.new_job_rows(_payloads_of(chosen, landing), as_of), "cycle-inserted")
+    new_jobs = load.one_per_key(inserted, ORDER)
     if details is not None:
-        new_jobs = stash(new_jobs, "cycle-inserted")
-        chosen = load.detail_selection(new_jobs).select(*load.JOB_KEY)
-        new_jobs = load.apply_details(new_jobs, details.join(chosen, list(load.JOB_KEY), "left_semi"))
+        wanted = load.detail_selection(new_jobs).select(*load.JOB_KEY)
+        new_jobs = load.apply_details(new_jobs, details.join(wanted, list(load.JOB_KEY), "left_semi"))
     new_jobs = stash(new_jobs, "cycle-new")
     sent = alerts.select_alerts(new_jobs, state, run=("source",), notified=notified,
                                 insert_order=("token", "insert_rank", "fetched_at", "page", "position", "id"))
-    log = runlog.poll_summary(payloads.board_status(typed), new_jobs, ran_at=as_of, watchlist=watchlist)
+    log = runlog.poll_summary(payloads.board_status(rows), new_jobs, ran_at=as_of, watchlist=watchlist)
     return Cycle(state, new_jobs, sent, log)
+
+
+def _payloads_of(chosen: DataFrame, landing: DataFrame) -> DataFrame:
+    """The chosen postings with their payload; a response that landed twice gives both copies."""
+    def joined(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+        named = right.withColumnsRenamed({c: f"chosen_{c}" for c in columns})
+        on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"chosen_{c}")) for c in columns])
+        return left.join(named, on, how)
+
+    landed = joined(landing, chosen.select(*_RESPONSE).distinct(), _RESPONSE, "left_semi")
+    found = payloads.postings(payloads.typed(landed)).withColumnRenamed("company", "said")
+    return joined(found, chosen, _POSTING, "inner").select(*found.columns, "company_id")

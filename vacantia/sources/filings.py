@@ -25,7 +25,7 @@ def pick(df: DataFrame, headers: tuple[str, ...]) -> Column:
     """The first header variant with a non-empty value, compared trimmed and folded."""
     present: dict[str, str] = {}
     for name in df.columns:
-        present[name.strip().lower()] = name
+        present[name.lstrip("\ufeff").strip().lower()] = name
     found = [F.col(f"`{present[h]}`").cast("string") for h in headers if h in present]
     return first_non_empty(*found) if found else F.lit(None).cast("string")
 

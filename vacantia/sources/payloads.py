@@ -21,6 +21,10 @@ SOURCE_OF = {"greenhouse": "greenhouse", "lever": "lever", "ashby": "ashby",
              "smartrecruiters": "smartrec", "github_repos": "github_repo"}
 MISSING_BOARD_ALLOWED = ("greenhouse", "lever", "ashby")
 
+# what is known of an element without its payload
+KEYS = ["source", "external_id", "ats", "token", "fetched_at", "page", "position", "company", "status", "readable",
+        "shown"]
+
 # seconds of the first day of year 1 and the last of year 9999
 EPOCH_FIRST, EPOCH_LAST = -62_135_596_800, 253_402_300_799
 
@@ -235,13 +239,21 @@ def board_companies(rows: DataFrame) -> DataFrame:
                     first_non_empty(F.col("first.own"), F.col("token")).alias("name")))
 
 
+def has_company() -> Column:
+    """Whether a posting can be given a company: listings name it, boards have a token."""
+    return (F.when(F.col("ats") == "github_repos", F.col("company").isNotNull())
+            .otherwise(F.col("token").isNotNull() & F.col("fetched_at").isNotNull()))
+
+
 def with_company_name(rows: DataFrame, boards: DataFrame) -> DataFrame:
-    """Attach the company name each posting belongs to."""
-    board = boards.withColumnRenamed("name", "board_name")
-    per_row = F.when(F.col("ats") == "github_repos", F.col("company"))
-    return (rows.join(board, ["ats", "token", "fetched_at"], "left")
-            .withColumn("name", F.coalesce(per_row, "board_name"))
-            .drop("board_name", "company"))
+    """Attach the company name each posting belongs to.
+
+    Listings name their company themselves and stay out of the join, where all
+    rows of a listing file would meet under one key.
+    """
+    listing = F.coalesce(F.col("ats") == "github_repos", F.lit(False))
+    of_boards = rows.filter(~listing).drop("company").join(boards, ["ats", "token", "fetched_at"], "left")
+    return of_boards.unionByName(rows.filter(listing).withColumnRenamed("company", "name"))
 
 
 def company_sightings(rows: DataFrame, boards: DataFrame) -> DataFrame:

@@ -41,10 +41,12 @@ def insert_stream(stream: DataFrame, to_rows: Callable[[DataFrame], DataFrame],
      .write.mode("ignore").parquet(f"{table}/batch_id=-1"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = to_rows(batch)
+        # Rows with and without a key are two branches; the batch is parsed for both at once.
+        rows = to_rows(batch).persist()
         known = stored_before(batch.sparkSession, table, batch_id)
         (insert_if_absent(rows, known, order_by, keys)
          .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
+        rows.unpersist()
 
     return (stream.writeStream.foreachBatch(load).trigger(availableNow=True)
             .option("checkpointLocation", checkpoint).start())
