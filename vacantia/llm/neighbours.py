@@ -60,7 +60,8 @@ def tile_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     open_ = ~own & (near - slack <= bound[:, None])
     for i in range(len(q)):
         at = np.flatnonzero(open_[i])
-        exact = np.sqrt(((c[at] - q[i]) ** 2).sum(1))
+        # summed component by component, so that the score does not depend on the shape of the tile
+        exact = np.sqrt(np.cumsum((c[at] - q[i]) ** 2, axis=1)[:, -1])
         order = np.lexsort((cid[at], exact))[:k]
         yield int(qid[i]), [(float(exact[o]), int(cid[at[o]])) for o in order]
 

@@ -1,10 +1,11 @@
-"""Registered queries of this subpackage: one for each operator, and the pipeline's stages in ``corpus_pipeline``."""
+"""Registered queries of this subpackage: one for each operator, with SQL forms where SQL can express them."""
 
 from __future__ import annotations
 
 from vacantia.llm import (html_text, lattice, mixing, neighbours, packing, pseudonyms, records, token_groups,
                           toxicity, warc)
 from vacantia.llm.common import table
+from vacantia.llm.oracles import ORACLES
 
 
 def op1_toxicity(spark, sf_dir):
@@ -48,7 +49,8 @@ def op10_html_text(spark, sf_dir):
     return html_text.text_digest(table(spark, sf_dir, "pages"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_embedding_near_dedup, op3_pii, op4_ngram_jaccard, op5_token_records, op6_warc, op7_source_mix,
     op8_nearest_neighbours, op9_packing, op10_html_text)}
-ORACLES: dict[str, str] = {}
