@@ -320,6 +320,12 @@ def _(t):
     return dedup.find_duplicates(_new_jobs(t))
 
 
+@query("dedup_decisions_crowded", f"WITH RECURSIVE {_DECISIONS} SELECT dup_id, kept_id, note FROM decisions")
+def _(t):
+    """Groups of more than four titles take the way of crowded groups: segment keys, batch by batch."""
+    return dedup.find_duplicates(_new_jobs(t), direct=4, first_batch=8)
+
+
 @query("dedup_apply", f"""WITH RECURSIVE {_DECISIONS}
 SELECT j.id, CASE WHEN d.dup_id IS NOT NULL THEN 'skipped' ELSE j.status END AS status, d.note
 FROM jobs_v j LEFT JOIN decisions d ON d.dup_id=j.id""")
