@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime
 import math
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -29,7 +30,7 @@ from vacantia.llm.common import prepare
 
 KEY = b"change this key"
 ROUNDS = 8
-KINDS = ("mail", "secret", "iban", "date", "address", "card", "ssn", "phone")
+KINDS = ("mail", "secret", "iban", "date", "address", "ssn", "card", "phone")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -216,27 +217,70 @@ PATTERNS = {
 }
 MAKE = {"mail": mail, "secret": secret, "iban": iban, "date": date, "address": address, "card": card, "ssn": ssn, "phone": phone}
 _DIGIT = re.compile("[0-9]")
+# the forms of a phone number whose length is fixed, so that a number beside them is none of theirs
+_FIXED_PHONE = re.compile(r"(?<![\w.-])(?P<value>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|"
+                          r"(?:1[ .-])?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])")
+
+
+class Spans:
+    """Taken spans of a text, ordered and apart."""
+
+    def __init__(self):
+        self.all: list[tuple[int, int, str, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.all, (b,))
+        return not k or self.all[k - 1][1] <= a
+
+    def add(self, a: int, b: int, kind: str, new: str) -> None:
+        insort(self.all, (a, b, kind, new))
+
+
+def _shorter(kind: str, text: str, spans: Spans, make) -> None:
+    """Values of a pattern of open length: where the longest match fails or is taken in part,
+    those that end at an earlier group border, and then those that start later."""
+    pattern, at = PATTERNS[kind], 0
+    while m := pattern.search(text, at):
+        a, b = m.span("value")
+        ends = [b, *(e for e in range(b - 1, a, -1) if not text[e].isalnum() and text[e - 1] not in " .-(")]
+        at = a + 1
+        for e in ends:
+            if spans.free(a, e) and (e == b or pattern.fullmatch(text, a, e)) and (new := make(kind, text[a:e])):
+                spans.add(a, e, kind, new)
+                at = e
+                break
+
+
+def _plain(kind: str, text: str, spans: Spans, make, pattern: re.Pattern | None = None) -> None:
+    for m in (pattern or PATTERNS[kind]).finditer(text):
+        a, b = m.span("value")
+        if spans.free(a, b) and (new := make(kind, m["value"])):
+            spans.add(a, b, kind, new)
 
 
 def found(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
-    """``start, end, kind, pseudonym`` of every validated value; earlier kinds win overlaps."""
-    digit, spans = _DIGIT.search(text), []
+    """``start, end, kind, pseudonym`` of every validated value; earlier kinds win overlaps.
+
+    Phone numbers of fixed length go before cards, those of open length come last.
+    """
+    spans, make = Spans(), _maker(key)
+    digit = _DIGIT.search(text)
     if not digit and "@" not in text:
         return []
-    make = _maker(key)
     for kind in KINDS:
         if kind == "mail":
             if "@" not in text:
                 continue
         elif not digit:
             continue
-        for m in PATTERNS[kind].finditer(text):
-            a, b = m.span("value")
-            if any(a < d and c < b for c, d, *_ in spans):
-                continue
-            if new := make(kind, m["value"]):
-                spans.append((a, b, kind, new))
-    return sorted(spans)
+        if kind == "card":
+            _plain("phone", text, spans, make, _FIXED_PHONE)
+            _plain(kind, text, spans, make)
+        elif kind == "phone":
+            _shorter(kind, text, spans, make)
+        else:
+            _plain(kind, text, spans, make)
+    return spans.all
 
 
 @lru_cache(maxsize=4)
