@@ -7,6 +7,9 @@ country codes and check digits stay valid, and equal values get equal pseudonyms
 every document. A Feistel network permutes the index of a value among the values of its
 format; it walks on while the result lies outside of the format.
 
+A card or account may stand beside other short numbers or words: shorter runs of its groups
+are tried, so a row of plain numbers that holds a valid card number is replaced as one.
+
 Defined results: null and empty texts stay as they are; text outside of the matches
 is untouched; rows come out one for one with every column of the input; the key is a
 parameter, and the default serves tests only.
@@ -243,6 +246,8 @@ def _shorter(kind: str, text: str, spans: Spans, make) -> None:
     while m := pattern.search(text, at):
         a, b = m.span("value")
         ends = [b, *(e for e in range(b - 1, a, -1) if not text[e].isalnum() and text[e - 1] not in " .-(")]
+        if kind == "iban":  # the registered length of the country before all others
+            ends.sort(key=lambda e: e - a - text.count(" ", a, e) != IBAN_LENGTHS.get(text[a:a + 2]))
         at = a + 1
         for e in ends:
             if spans.free(a, e) and (e == b or pattern.fullmatch(text, a, e)) and (new := make(kind, text[a:e])):
@@ -251,6 +256,44 @@ def _shorter(kind: str, text: str, spans: Spans, make) -> None:
                 break
 
 
+def _cards(kind: str, text: str, spans: Spans, make) -> None:
+    """Cards among neighbouring groups of digits: all runs of 13 to 19 digits between group borders are tried.
+
+    Usual layouts come first, then longer runs. Another layout needs an issuer's prefix and length,
+    unless it is all of the neighbouring groups."""
+    for m in _GROUPS.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+        good = []
+        for i, (a, _) in enumerate(groups):
+            n = 0
+            for j in range(i, len(groups)):
+                b = groups[j][1]
+                n += b - groups[j][0]
+                if n > 19:
+                    break
+                if n < 13 or not spans.free(a, b):
+                    continue
+                usual = _USUAL.fullmatch(text, a, b) is not None
+                whole = j - i + 1 == len(groups)
+                if (usual or whole or _ISSUED.fullmatch(re.sub("[ -]", "", text[a:b]))) and (new := make(kind, text[a:b])):
+                    good.append((not usual, -n, a, b, new))
+        for _, _, a, b, new in sorted(good):
+            if spans.free(a, b):
+                spans.add(a, b, kind, new)
+
+
+_DIGITS = re.compile("[0-9]+")
+_GROUPS = re.compile(r"(?<![\w-])[0-9]+(?:[ -][0-9]+)*(?![\w-])")
+_USUAL = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{6}\1[0-9]{4,5})")
+_ISSUED = re.compile(r"1[0-9]{14}|4[0-9]{12}|3[068][0-9]{12}|3[47][0-9]{13}|(?:5[06-9]|6[0-9])[0-9]{11,17}|(?:2[0-7]|[3-6][0-9])[0-9]{14,17}")
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 "
+    "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 "
+    "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+
+
 def _plain(kind: str, text: str, spans: Spans, make, pattern: re.Pattern | None = None) -> None:
     for m in (pattern or PATTERNS[kind]).finditer(text):
         a, b = m.span("value")
@@ -275,8 +318,8 @@ def found(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
             continue
         if kind == "card":
             _plain("phone", text, spans, make, _FIXED_PHONE)
-            _plain(kind, text, spans, make)
-        elif kind == "phone":
+            _cards(kind, text, spans, make)
+        elif kind in ("iban", "phone"):
             _shorter(kind, text, spans, make)
         else:
             _plain(kind, text, spans, make)
