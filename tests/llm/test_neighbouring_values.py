@@ -49,6 +49,11 @@ def test_two_values_side_by_side(first, second, between):
     assert spans(f"see {VALUES[first]}{between}{VALUES[second]} here") == {(VALUES[first], first), (VALUES[second], second)}
 
 
+@pytest.mark.parametrize("after", ["", " 7", " jo@example.com"])
+def test_a_secret_needs_no_digit_elsewhere(after):
+    assert ("correcthorsebatterystaple", "secret") in spans("password: correcthorsebatterystaple" + after)
+
+
 def test_no_phone_of_the_table_is_left(spark):
     shape = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}")
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
