@@ -125,6 +125,12 @@ class TreeBuilder(HTMLParser):
         elif not self._end({tag}, {"table"} if tag in TABLE_PARTS - {"table"} else CELLS - {tag}) and tag == "p":
             self.path[-1].kids.append(Node("p", {}))
 
+    def parse_html_declaration(self, i):
+        """``<![...>`` is a comment up to the next ``>`` or the end; HTMLParser itself refuses some of them."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def handle_data(self, data):
         if self.open["head"] and self.path[-1].tag == "head" and data.strip():
             self._end({"head"}, set())
