@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from vacantia.llm import html_text
 
-PIECES = "<![foo[x]]> <![ <![if !IE]> <![endif]> <![CDATA[ ]]> <![foo[ <!x <!doctype <? </ > <p> </p> <table> <td> word <!-- --> <svg> </svg>".split()
+PIECES = "<![foo[x]]> <![ <![if !IE]> <![endif]> <![CDATA[ ]]> <![foo[ <!x <!doctype <? </ > <p> </p> <table> <td> word <!-- --> <svg> </svg> <text> <text/> <math> <mi> </math> <foreignObject> <annotation> <li> </li> <tr> <title>".split()
 
 
 @pytest.mark.parametrize("html, text", [
@@ -16,6 +16,21 @@ def test_marked_sections_are_comments(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then", "if x=2 then"),
+    ("<math><semantics><mi>y</mi><annotation>tex</annotation><annotation-xml>z</annotation-xml></semantics></math>", "y"),
+    ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><style>.a{}</style>raw<g><text>A <tspan>B</tspan></text></g></svg>", "A B"),
+    ("a<svg><path d='x'/><defs/><text>L</text><text>M</text></svg>b", "a\nL\nM\nb"),
+    ("a<svg/>b<p>c", "ab\n\nc"), ("<svg><path><p>out", "out"), ("<svg><defs>x</defs><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ("<svg><text><![CDATA[a>b]]></text></svg>c", "a>b\nc"), ("<svg><text display='none'>n</text></svg>m", "m"),
+    ("<table><tr><td><svg><text>A</text></svg><td>b</table>", "A  b"), ("<text>t</text><desc>d</desc>", "td"),
+    ("<svg><g hidden><text>h</text></g></svg>", "h"),
+    ("<a><svg><a><text>l</text></a></svg></a> k", "l\nk")])
+def test_formulas_and_labels_are_shown(html, text):
+    assert html_text.visible_text(html) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=25), st.sampled_from(["", " "]))
 def test_any_declaration_is_read(parts, between):

@@ -2,7 +2,7 @@
 
 A tree builder supplies the end tags that HTML lets authors leave out; the renderer
 walks the tree without recursion, leaves out what a browser would not show, and
-keeps block spacing, list markers with nesting, preformatted text, and table cells
+keeps the text of formulas and the labels of drawings, block spacing, list markers with nesting, preformatted text, and table cells
 aligned in columns.
 
 Defined results: null and empty html give an empty text; malformed markup is
@@ -31,8 +31,14 @@ SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure hr fields
 BLOCKS = SPACED | set(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html "
     "legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
-HIDDEN = set("head title script style template noscript iframe object embed audio video canvas svg math datalist "
+HIDDEN = set("head title script style template noscript iframe object embed audio video canvas datalist "
              "noframes noembed param source track meta link base".split())
+# elements of SVG and MathML that hold HTML, what is unseen in each, and the HTML start tags that end both
+HOLDS_HTML = {"svg": {"foreignobject", "desc", "title"}, "math": {"mi", "mo", "mn", "ms", "mtext", "annotation-xml"}}
+UNSEEN = {"svg": set("title desc metadata defs style script symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
+          "math": {"annotation", "annotation-xml"}}
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol "
+                 "p pre ruby s small span strong strike sub sup table tt u ul var".split())
 IN_HEAD = set("title script style template noscript meta link base".split())
 # start tag: elements it ends, and the elements beyond which it ends nothing
 ENDS: dict[str, tuple[set[str], set[str]]] = {
@@ -54,10 +60,16 @@ _STYLE = re.compile(r"display\s*:\s*none|(visibility\s*:\s*(?:hidden|collapse))"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "space", "drawn")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
+    def __init__(self, tag: str, attrs: dict[str, str | None], space: str = "", drawn: bool = True):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.space = space   # svg, math or, for HTML, nothing
+        self.drawn = drawn   # text right inside is shown: in SVG only that of <text>
+
+    def within(self) -> str:
+        """``space`` of what the element holds."""
+        return "" if not self.space or self.tag in HOLDS_HTML[self.space] else self.space
 
 
 class TreeBuilder(HTMLParser):
@@ -90,7 +102,24 @@ class TreeBuilder(HTMLParser):
             self._pop()
         return True
 
-    def handle_starttag(self, tag, attrs):
+    def _foreign(self, tag, attrs, closed: bool) -> None:
+        """An element of SVG or MathML; ``closed`` if it ends at once."""
+        above = self.path[-1]
+        space = above.within() or tag
+        drawn = space == "math" or tag in ("text", "foreignobject") or above.space == "svg" and above.within() == "svg" and above.drawn
+        node = Node(tag, dict(attrs), space, drawn)
+        above.kids.append(node)
+        if not closed:
+            self.path.append(node)
+            self.open[tag] += 1
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        if self.path[-1].within():
+            if tag not in BREAKS_OUT:
+                self._foreign(tag, attrs, closed)
+                return
+            while self.path[-1].within():
+                self._pop()
         if tag in ("html", "body"):
             self._end({"head"}, set())
             for name, value in attrs:
@@ -108,6 +137,9 @@ class TreeBuilder(HTMLParser):
             pass
         elif tag not in ("colgroup", "col", "script", "style", "template", "form", "input"):
             self.handle_starttag("td" if self.path[-1].tag == "tr" else "caption", [])  # stray content in a table
+        if tag in ("svg", "math"):
+            self._foreign(tag, attrs, closed)
+            return
         node = Node(tag, dict(attrs))
         self.path[-1].kids.append(node)
         if tag not in VOID:
@@ -115,7 +147,7 @@ class TreeBuilder(HTMLParser):
             self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, True)
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
@@ -129,6 +161,10 @@ class TreeBuilder(HTMLParser):
         """``<![...>`` is a comment up to the next ``>`` or the end; HTMLParser itself refuses some of them."""
         if not self.rawdata.startswith("<![", i):
             return super().parse_html_declaration(i)
+        if self.path[-1].within() and self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            self.handle_data(self.rawdata[i + 9:end if end >= 0 else len(self.rawdata)])
+            return end + 3 if end >= 0 else len(self.rawdata)
         return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
     def handle_data(self, data):
@@ -147,6 +183,9 @@ def parse(html: str) -> Node:
 def shown(node: Node) -> bool:
     """Whether a browser would show the element."""
     attrs = node.attrs
+    if node.space:
+        unseen = node.space == "svg" and (attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"))
+        return not (unseen or attrs.get("style") and _STYLE.search(attrs["style"]))
     if node.tag in HIDDEN or "hidden" in attrs:
         return False
     if node.tag == "dialog" and "open" not in attrs:
@@ -154,6 +193,11 @@ def shown(node: Node) -> bool:
     return not (attrs.get("style") and _STYLE.search(attrs["style"]))
 
 
+def _own_line(node: Node) -> bool:
+    """Labels of a drawing and displayed formulas."""
+    return node.space == "svg" and node.tag in ("text", "foreignobject") or node.tag == "math" and node.attrs.get("display") == "block"
+
+
 class Page:
     """Lines of text with pending spacing; a table cell has a page of its own."""
 
@@ -229,7 +273,10 @@ def render(root: Node) -> str:
 
     def enter(node: Node) -> None:
         page, tag = pages[-1], node.tag
-        if tag == "br":
+        if node.space:
+            if _own_line(node):
+                page.end_line()
+        elif tag == "br":
             if page.line:
                 page._flush(True)
             else:
@@ -266,7 +313,12 @@ def render(root: Node) -> str:
 
     def leave(node: Node) -> None:
         page, tag = pages[-1], node.tag
-        if tag == "table":
+        if node.space:
+            if _own_line(node):
+                page.end_line()
+            elif tag in ("mtd", "mtr") or stack[-1][0].tag == "mfrac":
+                page.space = True
+        elif tag == "table":
             lines = _aligned([r for r in tables.pop() if any(r)])
             for line in lines:
                 page._put(line)
@@ -299,7 +351,13 @@ def render(root: Node) -> str:
         node, kids = stack[-1]
         for kid in kids:
             if isinstance(kid, str):
-                pages[-1].text(kid)
+                if node.drawn:
+                    pages[-1].text(kid)
+            elif kid.space:
+                if shown(kid) and kid.tag not in UNSEEN.get(node.within(), ()):
+                    enter(kid)
+                    stack.append((kid, iter(kid.kids)))
+                    break
             elif kid.tag in BLOCKS and (style := kid.attrs.get("style")) and (m := _STYLE.search(style)) and m[1]:
                 pages[-1].end_line(kid.tag in SPACED)  # unseen, but it keeps its place
             elif shown(kid) and not (node.tag == "details" and "open" not in node.attrs and kid.tag != "summary"):
