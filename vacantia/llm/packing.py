@@ -30,12 +30,12 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 OUT = 2048  # pieces per Arrow batch
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Pass one: ids of every document with its place in its partition."""
     path = tokenizer or default_path()
 
     def run(batches):
-        enc, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         for batch in batches:
             all_ids = [with_end(b, enc.dtype, end_id) for b in enc.encode(batch.column("text").to_pylist())]
             counts = [len(b) // enc.dtype.itemsize for b in all_ids]
@@ -52,10 +52,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> Da
 
 
 def pack(docs: DataFrame, window: int = 1024, tokenizer: str | None = None, end_id: int = 0,
-         keep_ids: bool = True) -> DataFrame:
+         keep_ids: bool = True, special_as_text: bool = False) -> DataFrame:
     """Pieces of all documents; with ``keep_ids`` their ids as ``u32`` bytes."""
     prepare(docs.sparkSession)
-    encoded = save(encode(docs, tokenizer, end_id), "packing-ids")
+    encoded = save(encode(docs, tokenizer, end_id, special_as_text), "packing-ids")
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     base = with_base(totals, "part", "tokens", "base")  # one row per partition of the first pass
 

@@ -58,7 +58,8 @@ def unframe(stream) -> Iterator[bytes]:
         yield body[:n]
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0,
+                  special_as_text: bool = False) -> DataFrame:
     """Tokenize ``docs`` and write its shards and indexes; returns the manifest, one row per shard."""
     spark, path = prepare(docs.sparkSession), tokenizer or default_path()
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -66,7 +67,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             .sortWithinPartitions("doc_id", F.xxhash64("text")))
 
     def write(batches):
-        enc, shard = encoder(path), TaskContext.get().partitionId()
+        enc, shard = encoder(path, special_as_text), TaskContext.get().partitionId()
         name, data, records, tokens = f"shard-{shard:05d}", None, 0, 0
         for batch in batches:
             if data is None:

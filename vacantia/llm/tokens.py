@@ -3,7 +3,7 @@
 The byte-level pattern of the vocabulary starts a new word at every space that
 follows a non-space or precedes one. So a text may be cut at its spaces and its
 pieces encoded one by one, unless a space stands between two white-space
-characters (or between one and the end); such texts are encoded whole. Pieces
+characters (or between one and the end); such texts, and those that hold an added token, are encoded whole. Pieces
 repeat far more than texts do, so each worker encodes a piece once.
 """
 
@@ -29,15 +29,18 @@ def default_path() -> str:
 class Encoder:
     """Ids as little-endian bytes of ``dtype``: two bytes each if the vocabulary allows.
 
-    Special tokens are never added, and their strings in a text are ordinary text.
+    Special tokens are never added. A text that holds the string of an added token gets its id there,
+    unless ``special_as_text`` makes such strings ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(added)) if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
@@ -78,6 +81,9 @@ class Encoder:
             self.older, self.known, self.held = self.known, {}, 0
         cut, pieces = [], set()
         for t in texts:
+            if self.added and self.added.search(t):  # no cutting at spaces: the string ends words
+                cut.append(None)
+                continue
             p = t.split(" ")
             p[0] = " " + p[0]
             pieces.update(p)
@@ -87,14 +93,14 @@ class Encoder:
         get = self.known.__getitem__ if not once else (lambda p: once.get(p) or self.known[p])
         # pieces that are empty or begin with white space: only texts with one need a closer look
         spaced = {p for p in pieces if not p or p[0] != " " and p[0].isspace()}
-        return [self._whole([t])[0] if spaced and not spaced.isdisjoint(p) and INSIDE_SPACE.search(t)
+        return [self._whole([t])[0] if p is None or spaced and not spaced.isdisjoint(p) and INSIDE_SPACE.search(t)
                 else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The encoder of this worker process."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def with_end(ids: bytes, dtype: np.dtype, end_id: int) -> bytes:
