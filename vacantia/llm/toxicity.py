@@ -148,14 +148,16 @@ def candidates(text: str) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn_from, rows: int) -> DataFrame:
-    """``text, toxic`` of at most about ``rows`` labelled rows, chosen by hash."""
+    """``text, toxic`` of at most about ``rows`` labelled ids, chosen by hash; one row per id."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(learn_from(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, rows / max(1, n))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # bounded by ``rows``: two numbers each
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # an id that repeats gives one row, whatever the order of its rows
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True),
