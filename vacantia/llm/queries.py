@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vacantia.llm import (html_text, lattice, mixing, neighbours, packing, pseudonyms, records, token_groups,
-                          toxicity, warc)
+from vacantia.llm import (html_text, lattice, mixing, neighbours, packing, passages, prefix_trie, pseudonyms, records,
+                          spelling, token_groups, toxicity, warc)
 from vacantia.llm.common import table
 from vacantia.llm.oracles import ORACLES
 
@@ -49,8 +49,20 @@ def op10_html_text(spark, sf_dir):
     return html_text.text_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_suffix_dedup(spark, sf_dir):
+    return passages.passages_digest(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_embedding_near_dedup, op3_pii, op4_ngram_jaccard, op5_token_records, op6_warc, op7_source_mix,
-    op8_nearest_neighbours, op9_packing, op10_html_text)}
+    op8_nearest_neighbours, op9_packing, op10_html_text, op11_spelling_variants, op12_prefix_trie, op13_suffix_dedup)}
