@@ -26,12 +26,22 @@ def test_scan_of_a_sorted_list_finds_every_near_word():
     for letters in ("ab", "abc", "aé"):
         for _ in range(60):
             words = sorted({"".join(draw.choice(letters) for _ in range(draw.randint(1, 8))) for _ in range(50)})
+            shared = spelling.adjacent_shared(words)
             for word in words:
                 for known in range(min(len(word), 4)):
-                    found = [words[i] for i in spelling.one_edit(word, words, known)]
+                    found = [words[i] for i in spelling.one_edit(word, words, shared, known)]
                     assert found == [v for v in words if one_apart(word, v) and v[:known] == word[:known]]
 
 
+def test_no_block_with_a_near_word_is_skipped():
+    draw = random.Random(2)
+    for _ in range(4000):
+        a, b = ("".join(draw.choice("ab") for _ in range(draw.randint(1, 7))) for _ in range(2))
+        if one_apart(a, b):
+            assert all(spelling.may_lead(a[:k], b) for k in range(len(a) + 1))
+    assert not spelling.may_lead("abcd", "axyd") and not spelling.may_lead("abcdef", "abcd")
+
+
 @pytest.mark.parametrize("block", [1, 3, 1000])
 def test_variants_equal_brute_force_for_any_block_size(spark, block):
     draw = random.Random(block)

@@ -3,7 +3,8 @@
 The vocabulary is sorted twice, by the words and by the reversed words, and cut into
 blocks of consecutive entries. Two words one edit apart agree in the first or in the
 second half of the shorter one, so they share a prefix of that length in one of the two
-lists, and a word visits only the blocks that can hold its half. Inside a block its banded
+lists, and a word visits only the blocks that can hold its half and whose own shared
+prefix is not more than one edit away. Inside a block its banded
 edit matrix has one row per code point of the entry; consecutive entries reuse the rows
 of their common prefix, and once every cell of a row exceeds one edit all entries
 with that prefix are skipped.
@@ -67,7 +68,21 @@ def least_shared(length: int, reverse: bool) -> int:
     return length // 2 if reverse else (length - 1) // 2
 
 
-def one_edit(word: str, entries: list[str], known: int) -> Iterator[int]:
+def may_lead(shared: str, word: str) -> bool:
+    """Whether a word that begins with ``shared`` can be one edit from ``word``."""
+    c = shared_length(shared, word)
+    rest = shared[c + 1:]
+    return (c == len(shared) or word.startswith(rest, c + 1)   # another code point here
+            or word.startswith(rest, c)                        # one more in the entry
+            or word.startswith(shared[c:], c + 1))             # one more in the word
+
+
+def adjacent_shared(entries: list[str]) -> list[int]:
+    """Length of the prefix that each entry shares with the one before, and a closing zero."""
+    return [0, *(shared_length(a, b) for a, b in zip(entries, entries[1:], strict=False)), 0]
+
+
+def one_edit(word: str, entries: list[str], shared: list[int], known: int) -> Iterator[int]:
     """Positions in the sorted ``entries`` that are exactly one edit from ``word`` and share its first ``known`` code points.
 
     ``rows[d]`` holds the matrix cells of columns d-1, d and d+1 after d code points of an entry.
@@ -78,29 +93,29 @@ def one_edit(word: str, entries: list[str], known: int) -> Iterator[int]:
     length = len(word)
     text = word + "\0\0\0"
     rows = [(1, 0, 1)] * (known + 1)  # a shared prefix costs nothing on the diagonal
-    before, depth = prefix, known     # rows up to ``depth`` hold for the first ``depth`` points of ``before``
+    d = known                         # rows up to ``d`` hold for the entry
     while i < end:
         entry = entries[i]
-        d = min(depth, shared_length(before, entry))
-        del rows[d + 1:]
         left, mid, right = rows[d]
-        dead = False
-        while d < len(entry):
+        del rows[d + 1:]
+        size = min(len(entry), length + 1)
+        while d < size:
             c = entry[d]
-            new_left = min(mid + 1, left + (text[d - 1] != c) if d else 2)
-            new_mid = min(mid + (text[d] != c), right + 1, new_left + 1)
-            new_right = min(right + (text[d + 1] != c), new_mid + 1) if d + 1 <= length else 2
-            left, mid, right = new_left, new_mid, new_right
+            left = min(mid + 1, left + (text[d - 1] != c)) if d else mid + 1
+            mid = min(mid + (text[d] != c), right + 1, left + 1)
+            right = min(right + (text[d + 1] != c), mid + 1)
             d += 1
             rows.append((left, mid, right))
-            if left > 1 and mid > 1 and right > 1 or d > length:
-                dead = d <= length or right > 1 and mid > 1
+            if left > 1 and mid > 1 and right > 1:
                 break
-        before, depth = entry, d
-        if d == len(entry) and abs(length - d) <= 1 and (left, mid, right)[length - d + 1] == 1:
+        if d == len(entry) and -1 <= length - d <= 1 and (left, mid, right)[length - d + 1] == 1:
             yield i
-        # every entry that begins with a dead prefix is too far
-        i = bisect_right(entries, entry[:d] + AFTER, lo=i + 1, hi=end) if dead or d > length else i + 1
+        i += 1
+        # every entry that begins with these points is too far, or too long
+        if shared[i] >= d and (d > length or left > 1 and mid > 1 and right > 1):
+            i = bisect_right(entries, entry[:d] + AFTER, lo=i, hi=end)
+        # entries between share more with the last one, so this holds for a jump, too
+        d = min(d, shared[i])
 
 
 def sorted_blocks(vocab: DataFrame, block: int) -> DataFrame:
@@ -139,34 +154,39 @@ def near_words(vocab: DataFrame, block: int | None = None) -> DataFrame:
     # at most MOST_BLOCKS rows (and one more per partition) of two short strings
     borders = sorted(tuple(r) for r in lists.select(
         "reversed", F.substring(F.element_at("words", 1), 1, BORDER), F.substring(F.element_at("words", -1), 1, BORDER), "block").collect())
-    routes = {side: [list(c) for c in zip(*(b[1:] for b in borders if b[0] == side), strict=True)] or [[], [], []] for side in (False, True)}
+    routes = {}
+    for side in (False, True):
+        firsts, lasts, ids = [list(c) for c in zip(*(b[1:] for b in borders if b[0] == side), strict=True)] or [[], [], []]
+        routes[side] = firsts, lasts, ids, [a[:shared_length(a, b)] for a, b in zip(firsts, lasts, strict=True)]
 
     def route(batches):
         for batch in batches:
             blocks, sides, words = [], [], []
             for word in batch.column("word").to_pylist():
                 for side in (False, True):
-                    firsts, lasts, ids = routes[side]
-                    prefix = (word[::-1] if side else word)[:least_shared(len(word), side)][:BORDER]
+                    firsts, lasts, ids, shared = routes[side]
+                    key = word[::-1] if side else word
+                    prefix = key[:least_shared(len(word), side)][:BORDER]
                     a = bisect_left(lasts, prefix)
-                    for b in ids[a:max(a, bisect_right(firsts, prefix + AFTER))]:
-                        blocks.append(b)
-                        sides.append(side)
-                        words.append(word)
+                    for b in range(a, max(a, bisect_right(firsts, prefix + AFTER))):
+                        if may_lead(shared[b], key):
+                            blocks.append(ids[b])
+                            sides.append(side)
+                            words.append(word)
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(sides, pa.bool_()), pa.array(words, pa.string())],
                                              names=["block", "reversed", "word"])
 
     def scan(batches):
-        entries = counts = None
+        entries = counts = shared = None
         for batch in batches:
             found, near, best = [], [], []
             for side, word, words, ns in zip(*(batch.column(c).to_pylist() for c in ("reversed", "word", "words", "counts")), strict=True):
                 if words is not None:
-                    entries, counts = words, ns
+                    entries, counts, shared = words, ns, adjacent_shared(words)
                     continue
                 key = word[::-1] if side else word
                 hits, top = 0, None
-                for i in one_edit(key, entries, least_shared(len(key), side)):
+                for i in one_edit(key, entries, shared, least_shared(len(key), side)):
                     other = entries[i][::-1] if side else entries[i]
                     half = min(len(word), len(other)) // 2
                     if side and word[:half] == other[:half]:
