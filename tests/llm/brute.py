@@ -99,7 +99,6 @@ def encoded(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in docs}
 
 

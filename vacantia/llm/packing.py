@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import prepare, save, with_base
-from vacantia.llm.tokens import default_path, encoder, with_end
+from vacantia.llm.tokens import default_path, encoder, gathered, with_end
 
 ENCODED = "part int, doc_id long, start_in_part long, n_tokens long, width int, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -36,7 +36,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, speci
 
     def run(batches):
         enc, part, start = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches):
             all_ids = [with_end(b, enc.dtype, end_id) for b in enc.encode(batch.column("text").to_pylist())]
             counts = [len(b) // enc.dtype.itemsize for b in all_ids]
             starts = start + np.cumsum([0, *counts], dtype=np.int64)

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import Committed, parts, prepare, read_shared, save, shared_fs, with_base
-from vacantia.llm.tokens import as_u32, default_path, encoder, with_end
+from vacantia.llm.common import Committed, deal_by, exact_borders, parts, prepare, read_shared, save, shared_fs, with_base
+from vacantia.llm.tokens import as_u32, default_path, encoder, gathered, with_end
 from vacantia.session import scratch_path
 
 MASK = 0xA282EAD8
@@ -59,17 +59,21 @@ def unframe(stream) -> Iterator[bytes]:
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0,
-                  special_as_text: bool = False) -> DataFrame:
-    """Tokenize ``docs`` and write its shards and indexes; returns the manifest, one row per shard."""
+                  special_as_text: bool = False, shards: int | None = None) -> DataFrame:
+    """Tokenize ``docs`` and write its shards and indexes; returns the manifest, one row per shard.
+
+    The ranges follow from the ids alone, so a rerun writes the same files.
+    """
     spark, path = prepare(docs.sparkSession), tokenizer or default_path()
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .repartitionByRange(parts(spark), "doc_id")
-            .sortWithinPartitions("doc_id", F.xxhash64("text")))
+    n = shards or parts(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = (deal_by(rows, "doc_id", exact_borders(docs.select("doc_id"), "doc_id", n), n)
+            .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
 
     def write(batches):
         enc, shard = encoder(path, special_as_text), TaskContext.get().partitionId()
         name, data, records, tokens = f"shard-{shard:05d}", None, 0, 0
-        for batch in batches:
+        for batch in gathered(batches):
             if data is None:
                 data, index = Committed(folder, f"{name}.bin"), Committed(folder, f"{name}.idx")
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()

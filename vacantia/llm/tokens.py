@@ -2,20 +2,26 @@
 
 The byte-level pattern of the vocabulary starts a new word at every space that
 follows a non-space or precedes one. So a text may be cut at its spaces and its
-pieces encoded one by one, unless a space stands between two white-space
+pieces encoded apart, unless a space stands between two white-space
 characters (or between one and the end); such texts, and those that hold an added token, are encoded whole. Pieces
-repeat far more than texts do, so each worker encodes a piece once.
+repeat far more than texts do: a batch is cut and its different pieces are found by Arrow, each worker encodes
+a piece once, and Arrow lays out the ids of all texts by the pieces' numbers. A word and the
+punctuation after it are words of their own, so they are encoded apart, too.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 INSIDE_SPACE = re.compile(r"\s (?=\s|\Z)")
+CLOSED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]+)")
 CACHED_BYTES = 100_000_000   # of pieces kept per worker and generation; only speed depends on it
 LONG_PIECE = 200            # longer pieces are not kept
 
@@ -53,7 +59,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without white space inside, in one call: a newline between two is a word of its own."""
-        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, dtype=self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
         if len(ends) != len(pieces) - 1:  # the vocabulary has no such newline
             return self._whole(pieces)
@@ -61,40 +67,86 @@ class Encoder:
         cuts = (np.array([-1, *ends, len(ids)]) * width).tolist()
         return [flat[a + width:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, pieces: set[str], once: dict[str, bytes]) -> None:
-        """Encode pieces; a key that begins with a space is a text's first piece."""
-        todo = pieces - self.known.keys()
-        moved = {p: b for p in todo if (b := self.older.get(p)) is not None} if self.older else {}
-        todo -= moved.keys()
+    def _keep(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(pieces, ids, strict=True))
+        self.held += 2 * sum(map(len, pieces)) + sum(map(len, ids)) + 150 * len(pieces)
+
+    def _learn(self, todo: list[str]) -> dict[str, bytes]:
+        """Make new pieces known but for long ones, whose ids are returned; a key that begins with a space is a text's first piece."""
+        known, older = self.known, self.older
+        if older:
+            moved = [p for p in todo if p in older]
+            self._keep(moved, [older[p] for p in moved])
+            todo = [p for p in todo if p not in known]
+        closed = [(p, m) for p in todo if (m := CLOSED_WORD.fullmatch(p))]
+        # words and their punctuation first; both end where the pattern ends a word
+        halves = {m[1] for _, m in closed} | {" " + m[2] for _, m in closed}
+        todo = list((set(todo).difference(p for p, _ in closed) | halves).difference(known))
         # printable: no white space inside but the mark of a first piece
-        plain = [p for p in todo if p.isprintable() and 0 < len(p) <= LONG_PIECE and p != " "]
-        other = list(todo.difference(plain))
-        new = dict(zip(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]), strict=True)) if plain else {}
-        for p, b in zip(other, self._whole([p[1:] if p[:1] == " " else " " + p for p in other]), strict=True):
-            (once if len(p) > LONG_PIECE else new)[p] = b
-        new.update(moved)
-        self.known.update(new)
-        self.held += sum(map(len, new)) * 2 + sum(map(len, new.values())) + 150 * len(new)
+        plain = [p for p in todo if 0 < len(p) <= LONG_PIECE and p.isprintable() and p != " "]
+        if plain:
+            self._keep(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]))
+        once = {}
+        if other := list(set(todo).difference(plain)):
+            ids = self._whole([p[1:] if p[:1] == " " else " " + p for p in other])
+            once = {p: b for p, b in zip(other, ids, strict=True) if len(p) > LONG_PIECE}
+            self._keep([p for p in other if len(p) <= LONG_PIECE], [b for p, b in zip(other, ids, strict=True) if len(p) <= LONG_PIECE])
+        for p, m in closed:
+            ids = (once.get(m[1]) or known[m[1]]) + (once.get(" " + m[2]) or known[" " + m[2]])
+            if len(p) > LONG_PIECE:
+                once[p] = ids
+            else:
+                self._keep([p], [ids])
+        return once
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHED_BYTES:
             self.older, self.known, self.held = self.known, {}, 0
-        cut, pieces = [], set()
-        for t in texts:
-            if self.added and self.added.search(t):  # no cutting at spaces: the string ends words
-                cut.append(None)
-                continue
-            p = t.split(" ")
-            p[0] = " " + p[0]
-            pieces.update(p)
-            cut.append(p)
-        once: dict[str, bytes] = {}
-        self._learn(pieces, once)
-        get = self.known.__getitem__ if not once else (lambda p: once.get(p) or self.known[p])
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        flat = cut.flatten().dictionary_encode()
+        number = flat.indices.to_numpy(zero_copy_only=False)
+        pieces = flat.dictionary.to_pylist()
+        # the first piece of a text has no space before it and is numbered apart
+        begins = ends[:-1]
+        firsts, back = np.unique(number[begins], return_inverse=True)
+        opening = [" " + pieces[k] for k in firsts.tolist()]
+        number = number.astype(np.int64)
+        number[begins] = len(pieces) + back
+        pieces += opening
+        ids = list(map(self.known.get, pieces))
+        if new := [k for k, b in enumerate(ids) if b is None]:
+            once = self._learn([pieces[k] for k in new])
+            for k in new:
+                ids[k] = once[pieces[k]] if pieces[k] in once else self.known[pieces[k]]
+        laid = pa.array(ids, pa.large_binary()).take(pa.array(number))
+        at = np.frombuffer(laid.buffers()[1], np.int64)[ends].tolist()
+        data = laid.buffers()[2].to_pybytes() if laid.buffers()[2] is not None else b""
+        out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
         # pieces that are empty or begin with white space: only texts with one need a closer look
-        spaced = {p for p in pieces if not p or p[0] != " " and p[0].isspace()}
-        return [self._whole([t])[0] if p is None or spaced and not spaced.isdisjoint(p) and INSIDE_SPACE.search(t)
-                else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+        head = pc.utf8_slice_codeunits(flat.dictionary, 0, 1)
+        spaced = pc.or_(pc.utf8_is_space(head), pc.equal(head, "")).to_numpy(zero_copy_only=False)
+        look = np.logical_or.reduceat(np.append(spaced, spaced[firsts])[number], begins)
+        for k, text in enumerate(texts):
+            if look[k] and INSIDE_SPACE.search(text) or self.added and self.added.search(text):
+                out[k] = self._whole([text])[0]
+        return out
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``size`` bytes of ``column``, in which pieces repeat more often."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from table.to_batches()
 
 
 @lru_cache(maxsize=2)

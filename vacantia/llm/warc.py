@@ -1,6 +1,6 @@
 """WARC output: a deterministic sharded writer and its reader.
 
-Records are sorted by range of ``page_id``; every range is one task that rolls its
+Records are sorted by range of ``page_id``, with borders that follow from the ids alone; every range is one task that rolls its
 files by compressed size. Headers, record ids, dates and digests are made anew from
 the page alone, so a rerun writes the same bytes. A file is written under a
 temporary name and moved when whole; the table of moved files is the manifest, and
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import Committed, parts, prepare, read_shared, save
+from vacantia.llm.common import Committed, deal_by, exact_borders, parts, prepare, read_shared, save
 from vacantia.session import scratch_path
 
 ROLL_BYTES = 64 << 20
@@ -80,9 +80,10 @@ def decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             .select("page_id", "digest", "response_id", "known"))
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
     """Write all pages; returns the manifest, one row per file."""
     spark = prepare(pages.sparkSession)
+    n = shards or parts(spark)
     body = F.coalesce(F.col("html"), F.lit(""))
     chosen = save(decisions(pages, min_bytes), "warc-decisions")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body.cast("binary")).alias("digest"), F.lit(1).alias("kind"),
@@ -90,7 +91,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: in
     facts = chosen.filter("known").distinct().select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
                           F.lit(None).cast("string").alias("html"), "response_id")
     # a decision sorts right before the pages it is for
-    ordered = (rows.unionByName(facts).repartitionByRange(parts(spark), "page_id")
+    ordered = (deal_by(rows.unionByName(facts), "page_id", exact_borders(pages.select("page_id"), "page_id", n), n)
                .sortWithinPartitions("page_id", "digest", "kind", "url"))
 
     def write(batches):
