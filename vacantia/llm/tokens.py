@@ -11,6 +11,7 @@ punctuation after it are words of their own, so they are encoded apart, too.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 
 INSIDE_SPACE = re.compile(r"\s (?=\s|\Z)")
 CLOSED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]+)")
-CACHED_BYTES = 100_000_000   # of pieces kept per worker and generation; only speed depends on it
+CACHED_BYTES = 130_000_000   # of pieces kept per worker and generation; only speed depends on it
 LONG_PIECE = 200            # longer pieces are not kept
 
 
@@ -32,6 +33,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def closed(piece: str) -> list[str]:
+    """A piece, or its word and the punctuation after it; a leading space says that none stands before the piece."""
+    first = piece[:1] == " "
+    m = CLOSED_WORD.fullmatch(piece, first)
+    return [" " * first + m[1], " " + m[2]] if m else [piece]
+
+
 class Encoder:
     """Ids as little-endian bytes of ``dtype``: two bytes each if the vocabulary allows.
 
@@ -48,7 +56,7 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = re.compile("|".join(added)) if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids  # one id: a word of its own
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before: pieces in use move on, others go
         self.held = 0
@@ -67,37 +75,42 @@ class Encoder:
         cuts = (np.array([-1, *ends, len(ids)]) * width).tolist()
         return [flat[a + width:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _keep(self, pieces: list[str], ids: list[bytes]) -> None:
-        self.known.update(zip(pieces, ids, strict=True))
-        self.held += 2 * sum(map(len, pieces)) + sum(map(len, ids)) + 150 * len(pieces)
-
-    def _learn(self, todo: list[str]) -> dict[str, bytes]:
-        """Make new pieces known but for long ones, whose ids are returned; a key that begins with a space is a text's first piece."""
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces that are not known, kept but for long ones; a key that begins with a space is a text's first piece."""
         known, older = self.known, self.older
-        if older:
-            moved = [p for p in todo if p in older]
-            self._keep(moved, [older[p] for p in moved])
-            todo = [p for p in todo if p not in known]
-        closed = [(p, m) for p in todo if (m := CLOSED_WORD.fullmatch(p))]
-        # words and their punctuation first; both end where the pattern ends a word
-        halves = {m[1] for _, m in closed} | {" " + m[2] for _, m in closed}
-        todo = list((set(todo).difference(p for p, _ in closed) | halves).difference(known))
+        found: dict[str, bytes] = {}
+        # words, their punctuation and lines are words of their own wherever they stand
+        parts: dict[str, list[str | None]] = {}  # None stands for a line break
+        ask: set[str | None] = set()
+        for p in new:
+            if older and (b := older.get(p)) is not None:
+                found[p] = b
+            elif "\n" in p and len(self.newline) == 1 and all(map(str.isprintable, lines := p.split("\n"))) and all(lines) and lines[0] != " ":
+                parts[p] = [x for k, line in enumerate(lines) for x in ([None, *closed(" " + line)] if k else closed(line))]
+            elif len(some := closed(p)) > 1:
+                parts[p] = some
+            else:
+                ask.add(p)
+        for some in parts.values():
+            ask.update(some)
+        ask.discard(None)
+        ask.difference_update([p for p in ask if p in known or p in found])
         # printable: no white space inside but the mark of a first piece
-        plain = [p for p in todo if 0 < len(p) <= LONG_PIECE and p.isprintable() and p != " "]
+        plain = [p for p in ask if p.isprintable() and 0 < len(p) <= LONG_PIECE and p != " "]
         if plain:
-            self._keep(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]))
-        once = {}
-        if other := list(set(todo).difference(plain)):
-            ids = self._whole([p[1:] if p[:1] == " " else " " + p for p in other])
-            once = {p: b for p, b in zip(other, ids, strict=True) if len(p) > LONG_PIECE}
-            self._keep([p for p in other if len(p) <= LONG_PIECE], [b for p, b in zip(other, ids, strict=True) if len(p) <= LONG_PIECE])
-        for p, m in closed:
-            ids = (once.get(m[1]) or known[m[1]]) + (once.get(" " + m[2]) or known[" " + m[2]])
-            if len(p) > LONG_PIECE:
-                once[p] = ids
-            else:
-                self._keep([p], [ids])
-        return once
+            found.update(zip(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]), strict=True))
+        if other := list(ask.difference(plain)):
+            found.update(zip(other, self._whole([p[1:] if p[:1] == " " else " " + p for p in other]), strict=True))
+        if parts:
+            line = np.array(self.newline, self.dtype).tobytes()
+            for p, some in parts.items():
+                found[p] = b"".join([line if x is None else found.get(x) or known[x] for x in some])
+        out = [found[p] for p in new]
+        if any(len(p) > LONG_PIECE for p in found):
+            found = {p: b for p, b in found.items() if len(p) <= LONG_PIECE}
+        known.update(found)
+        self.held += 2 * sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHED_BYTES:
@@ -113,14 +126,17 @@ class Encoder:
         begins = ends[:-1]
         firsts, back = np.unique(number[begins], return_inverse=True)
         opening = [" " + pieces[k] for k in firsts.tolist()]
-        number = number.astype(np.int64)
+        number = number.astype(np.int32)
         number[begins] = len(pieces) + back
         pieces += opening
         ids = list(map(self.known.get, pieces))
         if new := [k for k, b in enumerate(ids) if b is None]:
-            once = self._learn([pieces[k] for k in new])
-            for k in new:
-                ids[k] = once[pieces[k]] if pieces[k] in once else self.known[pieces[k]]
+            gc.disable()  # many new objects and no cycles: nothing to look for
+            try:
+                for k, b in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+                    ids[k] = b
+            finally:
+                gc.enable()
         laid = pa.array(ids, pa.large_binary()).take(pa.array(number))
         at = np.frombuffer(laid.buffers()[1], np.int64)[ends].tolist()
         data = laid.buffers()[2].to_pybytes() if laid.buffers()[2] is not None else b""
@@ -135,7 +151,7 @@ class Encoder:
         return out
 
 
-def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Batches joined to about ``size`` bytes of ``column``, in which pieces repeat more often."""
     held, n = [], 0
     for batch in batches:
