@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import load
 from vacantia.plans import cycle
 from vacantia.sources import payloads
+from vacantia import schemas
 from vacantia.streaming import ingest
 
 ROWS = "source string, external_id string, n int, title string"
@@ -131,13 +132,42 @@ def test_stream_of_overlapping_drops_equals_one_load(spark, tmp_path):
 
 
 def test_replayed_batch_overwrites_itself(spark, tmp_path):
-    rows = spark.createDataFrame([("lever", "1", 1, "t"), ("lever", "2", 2, "t")], ROWS)
-    table = str(tmp_path / "t")
-    rows.filter("n = 1").write.parquet(f"{table}/batch_id=0")
-    for _ in range(2):  # the second time as after a lost commit
-        known = ingest.stored_before(spark, table, 1)
-        load.insert_if_absent(rows, known, ["n"]).write.mode("overwrite").parquet(f"{table}/batch_id=1")
-    assert sorted(r.external_id for r in spark.read.parquet(table).collect()) == ["1", "2"]
+    landing, table, marks = tmp_path / "in", str(tmp_path / "t"), tmp_path / "marks"
+    landing.mkdir()
+
+    def run():
+        ingest.ingest_postings(spark, str(landing), table, str(marks), files_per_batch=1).awaitTermination()
+        return sorted((r.external_id, r.batch_id) for r in spark.read.parquet(table).collect())
+
+    drop(landing, "1.json", "2026-01-01T00:00:00Z", ("a", lever_body("1", "2")))
+    run()
+    drop(landing, "2.json", "2026-01-02T00:00:00Z", ("a", lever_body("2", "3")))
+    first = run()
+    assert first == [("1", 0), ("2", 0), ("3", 1)]
+    # as if the run had ended after the table was written and before the batch counted as done
+    for name in ("1", ".1.crc"):
+        (marks / "commits" / name).unlink()
+    assert run() == first
+
+
+def test_a_batch_scans_only_its_own_files(spark, tmp_path):
+    landing, table, marks = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "marks")
+    landing.mkdir()
+    reads = []
+
+    def read_files(files):
+        reads.append([f.rsplit("/", 1)[1] for f in files])
+        return spark.read.schema(schemas.LANDING).json(files)
+
+    for k, ids in enumerate((("1", "2"), ("2", "1"), ("2", "3"))):
+        drop(landing, f"{k} +.json", f"2026-01-0{k + 1}T00:00:00Z", ("a", lever_body(*ids)))
+        ingest.insert_stream(ingest.landing_stream(spark, str(landing)), read_files, payloads.all_postings,
+                             table, marks, ingest.POSTING_ORDER).awaitTermination()
+    # the second file brings nothing new and is not read again
+    assert reads == [["0 +.json"], ["2 +.json"]]
+    stream = ingest.first_seen(payloads.all_postings(ingest.landing_stream(spark, str(landing))), ingest.POSTING_ORDER)
+    assert stream.isStreaming
+    assert sorted(r.external_id for r in spark.read.parquet(table).collect()) == ["1", "2", "3"]
 
 
 def test_poll_cycle_twice(spark, tmp_path):

@@ -1,13 +1,20 @@
 """File-stream form of the load: landing files in, new postings out.
 
-Each micro-batch writes its own ``batch_id=n`` folder and looks only at the
-folders before it. A replayed batch therefore overwrites its own output with
-the same rows, and a restart adds nothing.
+What is known of earlier batches is keyed state, not a table: for each key the
+times of the first and last batch that brought it and the place of its first row.
+A batch reads only its own files, first for the keys, then, where a file holds the
+first row of a new key, for the whole rows; it reads nothing that an earlier batch
+wrote. State holds keys, not payloads, and lies in RocksDB, partitioned by key.
+
+Each micro-batch writes its own ``batch_id=n`` folder. A replayed batch starts from the
+state before it and has the same time, so it overwrites its own output with the
+same rows, and a restart adds nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +25,8 @@ from vacantia.operators.load import JOB_KEY, insert_if_absent
 from vacantia.sources.payloads import all_postings
 
 POSTING_ORDER = ["fetched_at", "ats", "token", "position"]
+STATE = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,33 +36,65 @@ def landing_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.json(path)
 
 
-def stored_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(table).filter(F.col("batch_id") < batch_id)
-
-
-def insert_stream(stream: DataFrame, to_rows: Callable[[DataFrame], DataFrame], table: str,
-                  checkpoint: str, order_by: list[str],
-                  keys: tuple[str, ...] = JOB_KEY) -> StreamingQuery:
-    """Run all available input through insert-if-absent into ``table``."""
+def first_seen(rows: DataFrame, order_by: list[str], keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
+    """``keys, file`` of the keys that come for the first time, as a stream in update mode.
+
+    State per key is narrow: batch times and the order and file of its first row.
+    Rows with a NULL key conflict with nothing; one entry per file stands for them. A key is new if
+    all its batches have the present time, so clocks that go back add nothing.
+    """
+    keyless = F.expr(" OR ".join(f"{k} IS NULL" for k in keys))
+    now = F.current_timestamp()
+    at_file = rows.withColumns({"file": F.input_file_name(), "came": now})
+    per_key = (at_file.withColumns({"keyless_in": F.when(keyless, F.col("file")),
+                                    **{k: F.when(~keyless, F.col(k)) for k in keys}})
+               .groupBy(*keys, "keyless_in")
+               .agg(F.min("came").alias("began"), F.max("came").alias("last"),
+                    F.min(F.struct(*order_by, "file")).alias("first")))
+    return (per_key.withColumn("now", now).filter("began = last AND last = now")
+            .select(*keys, F.col("first.file").alias("file")))
+
+
+def insert_stream(stream: DataFrame, read_files: Callable[[list[str]], DataFrame],
+                  to_rows: Callable[[DataFrame], DataFrame], table: str, checkpoint: str,
+                  order_by: list[str], keys: tuple[str, ...] = JOB_KEY) -> StreamingQuery:
+    """Run all available files of ``stream`` through insert-if-absent into ``table``.
+
+    ``read_files`` reads some of its files as a table; ``to_rows`` works row by
+    row and is applied to the stream and to these.
+    """
     spark = stream.sparkSession
+    rows_of_stream = to_rows(stream)
     # Batch -1 holds no rows; it gives the table a schema before the first batch.
-    (spark.createDataFrame([], to_rows(stream).schema)
-     .write.mode("ignore").parquet(f"{table}/batch_id=-1"))
+    none = spark.createDataFrame([], rows_of_stream.schema)
+    none.write.mode("ignore").parquet(f"{table}/batch_id=-1")
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        # Rows with and without a key are two branches; the batch is parsed for both at once.
-        rows = to_rows(batch).persist()
-        known = stored_before(batch.sparkSession, table, batch_id)
-        (insert_if_absent(rows, known, order_by, keys)
+        seen = batch.persist()
+        # at most the files of one batch
+        files = [unquote(r.file) for r in seen.select("file").distinct().collect()]
+        arrived = to_rows(read_files(files)) if files else none
+        fresh = seen.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*keys).distinct()
+        keyless = " OR ".join(f"{k} IS NULL" for k in keys)
+        wanted = arrived.join(fresh, list(keys), "left_semi").unionByName(arrived.filter(keyless))
+        (insert_if_absent(wanted.select(*arrived.columns), none, order_by, keys)
          .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
-        rows.unpersist()
+        seen.unpersist()
 
-    return (stream.writeStream.foreachBatch(load).trigger(availableNow=True)
-            .option("checkpointLocation", checkpoint).start())
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:  # a query keeps the settings it starts with
+        return (first_seen(rows_of_stream, order_by, keys).writeStream.foreachBatch(load).outputMode("update")
+                .trigger(availableNow=True).option("checkpointLocation", checkpoint).start())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest_postings(spark: SparkSession, landing: str, table: str, checkpoint: str,
                     files_per_batch: int | None = None) -> StreamingQuery:
     """Landing files of all providers to a postings table."""
-    return insert_stream(landing_stream(spark, landing, files_per_batch), all_postings,
+    return insert_stream(landing_stream(spark, landing, files_per_batch),
+                         lambda files: spark.read.schema(schemas.LANDING).json(files), all_postings,
                          table, checkpoint, POSTING_ORDER)
