@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.functions.text import is_new_grad, non_empty, normalize_company
+from vacantia.operators.keystore import KeyStore
 
 JOB_KEY = ("source", "external_id")
+KEY_TYPES = {"source": "string", "external_id": "string"}
 
 
 def job_id(source: Column, external_id: Column, *otherwise: Column) -> Column:
@@ -25,21 +27,22 @@ def company_id(name_normalized: Column) -> Column:
     return F.sha2(name_normalized, 256)
 
 
-def insert_if_absent(arrivals: DataFrame, stored: DataFrame, order_by: list[str],
+def insert_if_absent(arrivals: DataFrame, stored: DataFrame | KeyStore, order_by: list[str],
                      keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
     """The arrivals to add: unknown keys only, the first arrival per key.
 
     The de-duplication comes first: it combines copies of a key before the
     shuffle, so a key that holds most of a batch never meets in one task, and
-    the anti join reuses its partitioning. Rows with a NULL key conflict with
-    nothing and all pass.
+    the anti join reuses its partitioning. A ``KeyStore`` is asked through its
+    filter and is not shuffled. Rows with a NULL key conflict with nothing and all pass.
     """
     keyless = " OR ".join(f"{k} IS NULL" for k in keys)
     rest = [c for c in arrivals.columns if c not in keys]
     first = (arrivals.filter(f"NOT ({keyless})").groupBy(*keys)
              .agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r"))
              .select(*keys, "r.*"))
-    fresh = first.join(stored.select(*keys), list(keys), "left_anti")
+    fresh = (stored.absent(first) if isinstance(stored, KeyStore)
+             else first.join(stored.select(*keys), list(keys), "left_anti"))
     return fresh.select(*arrivals.columns).unionByName(arrivals.filter(keyless))
 
 

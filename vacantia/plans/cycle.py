@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.operators import alerts, load, runlog
+from vacantia.operators.keystore import KeyStore
 from vacantia.session import stash
 from vacantia.sources import payloads
 
@@ -26,12 +27,13 @@ class Cycle(NamedTuple):
     run_log: DataFrame
 
 
-def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame, as_of: Column,
+def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame | KeyStore, as_of: Column,
          notified: DataFrame | None = None, details: DataFrame | None = None,
          watchlist: DataFrame | None = None) -> Cycle:
     """Parse, name, upsert, look up, classify, insert, add details, select alerts, count.
 
-    ``job_keys(source, external_id)`` are the stored postings. Keys come first:
+    ``job_keys(source, external_id)`` are the stored postings, as a table or as a
+    ``KeyStore``, to which the caller adds the new rows when they are written. Keys come first:
     one parse of the landing table saves keys, order and place of each posting,
     without its payload, and new keys are found there. Only responses that hold
     a new posting are parsed again for the payload; while these are few, no

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.operators import checks, health, load, runlog
+from vacantia.operators.keystore import KeyStore
 from vacantia.plans import cycle
 from vacantia.plans import oracle_parts as o
 from vacantia.plans.enrich import ORDERS_AS_OF, at, companies, jobs
@@ -243,16 +244,29 @@ def _stored_and_new(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.arrivals_v.filter(old), t.arrivals_v.filter(~old)
 
 
-@query("insert_if_absent", f"""
+_INSERT = f"""
 WITH fresh AS (SELECT * FROM arrivals_v a WHERE posted_at>={_SPLIT} AND (external_id IS NULL OR NOT EXISTS (
     SELECT 1 FROM arrivals_v s WHERE s.posted_at<{_SPLIT} AND s.source=a.source AND s.external_id=a.external_id))),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY {_ORDER}) AS rn FROM fresh)
-SELECT source, external_id, {_ORDER} FROM ranked WHERE rn=1 OR external_id IS NULL""")
+SELECT source, external_id, {_ORDER} FROM ranked WHERE rn=1 OR external_id IS NULL"""
+
+
+@query("insert_if_absent", _INSERT)
 def _(t):
     stored, new = _stored_and_new(t)
     return load.insert_if_absent(new, stored, ORDER).select("source", "external_id", *ORDER)
 
 
+# as a store that was filled by two additions
+@query("insert_bucketed", _INSERT)
+def _(t):
+    stored, new = _stored_and_new(t)
+    store = KeyStore(t.spark, scratch_path(t.spark, "insert-store"), load.KEY_TYPES, buckets=8, expected=100_000)
+    for part in range(2):
+        store.add(stored.filter(F.pmod(F.xxhash64("external_id"), F.lit(2)) == part))
+    return load.insert_if_absent(new, store, ORDER).select("source", "external_id", *ORDER)
+
+
 @query("insert_twice", """
 SELECT source, CAST(count(DISTINCT external_id) + count(*) FILTER (WHERE external_id IS NULL) AS BIGINT) AS stored,
   CAST(count(*) FILTER (WHERE external_id IS NULL) AS BIGINT) AS added_again
@@ -323,7 +337,7 @@ _CYCLE = f"""WITH x AS ({EXPECTED_ALL}), y AS (
 SELECT source, external_id, {o.norm('company')} AS company, {o.grad('title', 'description')} AS is_new_grad, 'new' AS status, token, posted_at, seen, ord, pos FROM x)"""
 
 
-def _cycle(t: Tables, keys: DataFrame | None = None, details: DataFrame | None = None) -> cycle.Cycle:
+def _cycle(t: Tables, keys: DataFrame | KeyStore | None = None, details: DataFrame | None = None) -> cycle.Cycle:
     """A poll; by default the first one, with nothing stored yet."""
     none = t.spark.createDataFrame([], "id string, name string, name_normalized string, ats_type string, "
                                        "ats_token string, sponsor_score decimal(4,3), sponsor_status string")
@@ -370,7 +384,9 @@ def _(t):
     details = _posting_ids(t, some, "true").select("source", "external_id", F.expr(
         "CASE WHEN o_orderkey%3=0 THEN 'An entry level role' ELSE 'A role' END").alias("description"),
         F.lit(None).cast("string").alias("url"))
-    return _cycle(t, stored, details).new_jobs.select("source", "external_id", "description", "is_new_grad")
+    store = KeyStore(t.spark, scratch_path(t.spark, "cycle-store"), load.KEY_TYPES, buckets=8, expected=100_000)
+    store.add(stored)
+    return _cycle(t, store, details).new_jobs.select("source", "external_id", "description", "is_new_grad")
 
 
 # --- boards ---------------------------------------------------------------------
