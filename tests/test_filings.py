@@ -1,10 +1,14 @@
 """Filings from CSV files with varying headers."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import load
-from vacantia.sources import filings
+from vacantia.sources import filings, quoted_csv
 
 MODERN = ("Fiscal Year,Employer (Petitioner) Name,Initial Approval,Initial Denial,Continuing Approval\n"
           '2025,"STRIPE, INC.",12,1,30\n'
@@ -46,11 +50,64 @@ def test_tolerant_int(spark, text, want):
 
 
 def test_first_header_with_a_value_wins(spark):
-    df = spark.createDataFrame([("", "B"), ("A", "B")], "employer string, `Employer Name` string")
-    got = [r.x for r in df.select(filings.pick(df, ("employer", "employer name")).alias("x")).collect()]
+    df = spark.createDataFrame([("", "B"), ("A", "B")], "c0 string, c1 string")
+    got = [r.x for r in df.select(filings.pick(["Employer", " EMPLOYER NAME"], ("employer", "employer name")).alias("x")).collect()]
     assert got == ["B", "A"]
 
 
+@pytest.fixture
+def small_blocks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_of_files_cut_into_blocks(spark, tmp_path, small_blocks, seed):
+    draw, folder = random.Random(seed), tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for k in range(3):
+        end = draw.choice(["\n", "\r\n"])
+        text = io.StringIO(newline="")
+        out = csv.writer(text, lineterminator=end)
+        for _ in range(draw.choice([1, 60])):
+            out.writerow([draw.choice(["", "a", 'say "x"', "one\ntwo", "long\n\n\nfield " * draw.randint(1, 30), 'q"\n"', "a,b", "\r\n", "é"]) for _ in range(3)])
+        # a quote inside a plain field is text
+        body = text.getvalue() + f'plain 5" pipe,x,7{end}' + f"last,,3{draw.choice([end, ''])}"
+        (folder / f"{k}.csv").write_text(body, encoding="utf-8", newline="")
+        rows = [r for r in csv.reader(io.StringIO(body, newline="")) if r]
+        want += [(str(k), *r) for r in rows[1:]]
+    lines = quoted_csv.scanned_lines(spark, str(folder))
+    assert lines.select("file", "block").distinct().count() > 5
+    rest, headers = quoted_csv.headed_records(spark, str(folder))
+    got = [(r.file.rsplit("/", 1)[1][0], *(next(csv.reader(io.StringIO(r.value, newline=""))))) for r in rest.filter("value <> ''").collect()]
+    assert sorted(got) == sorted(want)
+    assert headers.count() == 3
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path, small_blocks):
+    body = "Fiscal Year,Employer,Initial Approval\n" + "".join(f'2025,"Firm\n{i}, Inc.",{i}\n' for i in range(100))
+    (tmp_path / "a.csv").write_text(body)
+    assert quoted_csv.scanned_lines(spark, str(tmp_path)).select("block").distinct().count() > 10
+    rows = filings.read_filings(spark, str(tmp_path)).collect()
+    assert sorted((r.employer_raw, r.initial_approvals) for r in rows) == sorted((f"Firm\n{i}, Inc.", i) for i in range(100))
+
+
+def test_no_files(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    stored = filings.read_filings(spark, str(tmp_path / "absent"))
+    assert stored.count() == 0
+    for name in ("absent", "empty"):
+        state, log = filings.filings_load(spark, str(tmp_path / name), stored, F.lit("2026-01-01").cast("timestamp"))
+        assert state.count() == 0 and log.select("ok", "detail").first() == (False, "no input files")
+    (tmp_path / "empty" / "a.csv").write_text("")
+    assert filings.read_filings(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_reload_touches_one_slice(spark, tmp_path):
     path = str(tmp_path / "filings")
     table = "src string, n int"

@@ -29,6 +29,11 @@ INITIAL_DENIAL_HEADERS = ("initial denial", "initial denials", "initial_denial")
 CONTINUING_APPROVAL_HEADERS = (
     "continuing approval", "continuing approvals", "continuing_approval",
 )
+FILING_COLUMNS = {
+    "fiscal_year": FISCAL_YEAR_HEADERS, "employer": EMPLOYER_HEADERS,
+    "initial_approvals": INITIAL_APPROVAL_HEADERS, "initial_denials": INITIAL_DENIAL_HEADERS,
+    "continuing_approvals": CONTINUING_APPROVAL_HEADERS,
+}
 
 # --- dedup, sponsor match, score ---------------------------------------------
 TITLE_THRESHOLD = 92       # percent, inclusive

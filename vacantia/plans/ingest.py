@@ -157,8 +157,8 @@ def _(t):
 
 # --- filings --------------------------------------------------------------------
 
-def _filing_rows(t: Tables) -> DataFrame:
-    """Filing rows written as CSV files in two header layouts and read back, all rows of the table.
+def _filing_files(t: Tables) -> str:
+    """Folder of filing rows written as five CSV files in two header layouts, all rows of the table.
 
     One layout starts with a byte order mark; some values hold a line break.
     """
@@ -177,9 +177,10 @@ def _filing_rows(t: Tables) -> DataFrame:
         F.col("name").alias("EMPLOYER NAME "), F.col("ia").alias("initial_approval"),
         F.col("idn").alias("Initial Denials"), F.col("ca").alias("continuing_approval"))
     path = scratch_path(t.spark, "filings-csv")
-    for name, part in (("modern", modern), ("other", other)):
-        part.write.csv(f"{path}/{name}", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return filing_source.read_filings(t.spark, f"{path}/*")
+    for name, part, files in (("modern", modern, 3), ("other", other, 2)):
+        (part.repartition(files).write.option("escape", '"')
+         .csv(f"{path}/{name}", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return path
 
 
 @query("filings_parse", f"""
@@ -190,7 +191,22 @@ SELECT 'uscis_hub' AS src, CASE WHEN l_quantity IN (2,3) THEN NULL ELSE CAST(yea
   CASE WHEN l_linenumber=3 THEN 0 ELSE CAST(l_linenumber AS BIGINT) END AS continuing_approvals
 FROM lineitem WHERE l_quantity<>1""")
 def _(t):
-    return _filing_rows(t)
+    return filing_source.read_filings(t.spark, f"{_filing_files(t)}/*")
+
+
+@query("filings_run_log", """
+SELECT 'uscis_hub' AS source, true AS ok, count(*)||' rows from 5 files' AS detail, CAST(count(*)+1 AS BIGINT) AS stored FROM lineitem WHERE l_quantity<>1
+UNION ALL SELECT 'uscis_hub', false, 'no input files', 2""")
+def _(t):
+    # two rows are stored, one of another source; the second load finds no file and changes nothing
+    stored = t.spark.createDataFrame([("uscis_hub",), ("dol_lca",)], "src string")
+    columns = filing_source.read_filings(t.spark, scratch_path(t.spark, "no-filings")).columns
+    stored = stored.select("src", *[F.lit(None).alias(c) for c in columns if c != "src"])
+    out = []
+    for path in (f"{_filing_files(t)}/*", scratch_path(t.spark, "no-filings")):
+        state, log = filing_source.filings_load(t.spark, path, stored, at(ORDERS_AS_OF))
+        out.append(log.select("source", "ok", "detail", F.lit(state.count()).alias("stored").cast("long")))
+    return out[0].unionByName(out[1])
 
 
 _SLICES = "CASE WHEN l_linenumber%3=0 THEN 'dol_lca' ELSE 'uscis_hub' END"

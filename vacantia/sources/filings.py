@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.functions.text import first_non_empty, normalize_company
+from vacantia.operators.load import replace_slice
+from vacantia.operators.runlog import run_row
+from vacantia.session import stash
+from vacantia.sources.quoted_csv import headed_records
+
+_FILINGS = ("src string, fiscal_year int, employer_raw string, employer_norm string, "
+            "initial_approvals bigint, initial_denials bigint, continuing_approvals bigint")
 
 
 def stripped(text: Column) -> Column:
@@ -21,55 +32,70 @@ def tolerant_int(text: Column) -> Column:
     return F.coalesce(whole, F.lit(0).cast("bigint"))
 
 
-def pick(df: DataFrame, headers: tuple[str, ...]) -> Column:
-    """The first header variant with a non-empty value, compared trimmed and folded."""
-    present: dict[str, str] = {}
-    for name in df.columns:
-        present[name.lstrip("\ufeff").strip().lower()] = name
-    found = [F.col(f"`{present[h]}`").cast("string") for h in headers if h in present]
+def pick(header: list[str], variants: tuple[str, ...]) -> Column:
+    """The first header variant with a non-empty value, compared trimmed and folded; ``c<i>`` holds field i."""
+    present = {name.lstrip("\ufeff").strip().lower(): f"c{i}" for i, name in enumerate(header)}
+    found = [F.col(present[v]) for v in variants if v in present]
     return first_non_empty(*found) if found else F.lit(None).cast("string")
 
 
 def normalize_filings(raw: DataFrame, src: str = "uscis_hub") -> DataFrame:
-    """Rows of one header layout to the filings table; blank employers drop out."""
-    employer = stripped(pick(raw, fv.EMPLOYER_HEADERS))
-    year = F.nullif(tolerant_int(pick(raw, fv.FISCAL_YEAR_HEADERS)), F.lit(0))
+    """Picked texts to the filings table; blank employers drop out."""
+    employer = stripped(F.col("employer"))
+    year = F.nullif(tolerant_int(F.col("fiscal_year")), F.lit(0))
     return raw.select(
         F.lit(src).alias("src"), year.try_cast("int").alias("fiscal_year"),
         employer.alias("employer_raw"), normalize_company(employer).alias("employer_norm"),
-        tolerant_int(pick(raw, fv.INITIAL_APPROVAL_HEADERS)).alias("initial_approvals"),
-        tolerant_int(pick(raw, fv.INITIAL_DENIAL_HEADERS)).alias("initial_denials"),
-        tolerant_int(pick(raw, fv.CONTINUING_APPROVAL_HEADERS)).alias("continuing_approvals"),
+        *[tolerant_int(F.col(c)).alias(c) for c in ("initial_approvals", "initial_denials", "continuing_approvals")],
     ).filter(F.col("employer_raw") != "")
 
 
-def header_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Distinct header lines and the files that carry them.
-
-    Only first lines are looked at, one per file, and only (header, file name)
-    pairs reach the driver, which has to name the files of each read anyway.
-    """
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("at"))
-             .filter("block = 0"))
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    grouped = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    return [(r["header"], r["files"]) for r in grouped.orderBy("header").collect()]
-
-
-def read_filings(spark: SparkSession, path: str, src: str = "uscis_hub") -> DataFrame | None:
-    """All CSV files under ``path``; one read per header layout, then one union.
+def read_filings(spark: SparkSession, path: str, src: str = "uscis_hub") -> DataFrame:
+    """All CSV files under ``path``, each by its own header; a file may be read by many tasks.
 
-    Files with different headers in one read would be aligned by position.
+    Every record is parsed once into as many fields as the widest header has;
+    the driver sees the distinct headers only. No file, or none that exists, gives no rows.
     """
-    out = None
-    for _, files in header_layouts(spark, path):
-        raw = spark.read.csv(files, header=True, multiLine=True, escape='"')
-        part = normalize_filings(raw, src)
-        out = part if out is None else out.unionByName(part)
-    return out
+    try:
+        rest, headers = headed_records(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _FILINGS)
+    layouts = sorted(r.header for r in headers.select("header").distinct().collect())
+    names = [next(csv.reader(io.StringIO(h.lstrip("\ufeff"), newline="")), []) for h in layouts]
+    width = max(map(len, names), default=0)
+    if not width:
+        return spark.createDataFrame([], _FILINGS)
+    known = spark.createDataFrame(list(enumerate(layouts)), "layout int, header string")
+    of_file = headers.join(F.broadcast(known), "header").select("file", "layout")  # one row per header
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"', "multiLine": "true"})
+    raw = rest.join(of_file, "file").select("layout", fields.alias("c")).select("layout", "c.*")
+    picked = {}
+    for name, variants in fv.FILING_COLUMNS.items():
+        picked[name] = F.coalesce(*[F.when(F.col("layout") == k, pick(header, variants)) for k, header in enumerate(names)])
+    return normalize_filings(raw.select(*[c.alias(n) for n, c in picked.items()]), src)
+
+
+def filings_load(spark: SparkSession, path: str, stored: DataFrame, as_of: Column,
+                 src: str = "uscis_hub") -> tuple[DataFrame, DataFrame]:
+    """The filings table after the load of ``path`` and the run-log row; without files the table stays."""
+    rows = stash(read_filings(spark, path, src), "filings-rows")
+    files = _files(spark, path)
+    counts = rows.agg(F.count("*").alias("n"))
+    if not files:
+        return stored, run_row(counts, src, F.lit(False), as_of, F.lit("no input files"))
+    detail = F.concat(F.col("n"), F.lit(f" rows from {files} files"))
+    return replace_slice(stored, rows, src), run_row(counts, src, F.lit(True), as_of, detail)
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    try:
+        return spark.read.format("binaryFile").load(path).select("path").distinct().count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
 def software_filings(raw: DataFrame) -> DataFrame:
