@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 
 INSIDE_SPACE = re.compile(r"\s (?=\s|\Z)")
 CLOSED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]+)")
+CLOSING = frozenset('.,;:!?)"')
 CACHED_BYTES = 130_000_000   # of pieces kept per worker and generation; only speed depends on it
 LONG_PIECE = 200            # longer pieces are not kept
 
@@ -79,34 +80,33 @@ class Encoder:
         """Ids of pieces that are not known, kept but for long ones; a key that begins with a space is a text's first piece."""
         known, older = self.known, self.older
         found: dict[str, bytes] = {}
-        # words, their punctuation and lines are words of their own wherever they stand
-        parts: dict[str, list[str | None]] = {}  # None stands for a line break
-        ask: set[str | None] = set()
+        # words, their punctuation and lines are words of their own wherever they stand; None stands for a line break
+        parts: dict[str, list[str | None]] = {}
+        ask: list[str] = []
         for p in new:
             if older and (b := older.get(p)) is not None:
                 found[p] = b
+            elif p[-1:] in CLOSING and len(some := closed(p)) > 1:
+                parts[p] = some
             elif "\n" in p and len(self.newline) == 1 and all(map(str.isprintable, lines := p.split("\n"))) and all(lines) and lines[0] != " ":
                 parts[p] = [x for k, line in enumerate(lines) for x in ([None, *closed(" " + line)] if k else closed(line))]
-            elif len(some := closed(p)) > 1:
-                parts[p] = some
             else:
-                ask.add(p)
-        for some in parts.values():
-            ask.update(some)
-        ask.discard(None)
-        ask.difference_update([p for p in ask if p in known or p in found])
+                ask.append(p)
+        inner = {x for some in parts.values() for x in some}.difference(ask, found, (None,))
+        ask += [x for x in inner if x not in known]
         # printable: no white space inside but the mark of a first piece
         plain = [p for p in ask if p.isprintable() and 0 < len(p) <= LONG_PIECE and p != " "]
         if plain:
-            found.update(zip(plain, self._pieces(["".join((" ", p)) if p[0] != " " else p[1:] for p in plain]), strict=True))
-        if other := list(ask.difference(plain)):
+            found.update(zip(plain, self._pieces([" " + p if p[0] != " " else p[1:] for p in plain]), strict=True))
+        if len(plain) < len(ask):
+            other = list(set(ask).difference(plain))
             found.update(zip(other, self._whole([p[1:] if p[:1] == " " else " " + p for p in other]), strict=True))
         if parts:
             line = np.array(self.newline, self.dtype).tobytes()
             for p, some in parts.items():
                 found[p] = b"".join([line if x is None else found.get(x) or known[x] for x in some])
         out = [found[p] for p in new]
-        if any(len(p) > LONG_PIECE for p in found):
+        if max(map(len, found), default=0) > LONG_PIECE:
             found = {p: b for p, b in found.items() if len(p) <= LONG_PIECE}
         known.update(found)
         self.held += 2 * sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
