@@ -207,3 +207,18 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     table = stash(spark.range(5), "probe")
     assert table.count() == 5 and table.inputFiles()[0].startswith(f"file://{scratch_dir(spark)}/vacantia/probe-")
+
+
+def test_follow_ups_reach_the_contacts_of_the_company(spark):
+    applications = spark.createDataFrame([("a1", "j1", "submitted", "2026-01-02", "2026-01-03"), ("a2", "j2", "rejected", "2026-01-01", "2026-01-05"),
+                                          ("a3", "j1", "submitted", "2026-01-01", "2026-01-09"), ("a4", None, "submitted", "2026-01-01", "2026-01-09"),
+                                          ("a5", "j3", "offer", "2026-01-01", "2026-01-09")],
+                                         "id string, job_id string, status string, applied_at string, status_updated_at string")
+    interviews = spark.createDataFrame([("a1", "2026-02-01", "pass"), ("a1", "2026-01-20", "pass"), ("a2", "2026-01-10", "pending"), ("a2", "2026-01-11", None)],
+                                       "application_id string, scheduled_at string, outcome string")
+    jobs = spark.createDataFrame([("j1", "c1"), ("j2", "c2"), ("j3", None)], "id string, company_id string")
+    contacts = spark.createDataFrame([("p1", "c1", "p1@x.com"), ("p2", "c1", None), ("p3", "c2", None), ("p4", None, "p4@x.com"), ("p5", "c9", None)],
+                                     "id string, company_id string, email string")
+    got = {tuple(r) for r in followups.application_events(applications, interviews, jobs, contacts).collect()}
+    assert got == {("p1", "application_with_contact", "2026-01-01"), ("p2", "application_with_contact", "2026-01-01"),
+                   ("p1", "interview_completed", "2026-01-20"), ("p3", "outcome", "2026-01-05")}

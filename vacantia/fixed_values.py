@@ -74,3 +74,6 @@ FOLLOW_UP_RULES = (
     ("interview_completed", 0, "thank-you to interviewer if email known"),
     ("outcome", 0, "update contact, thank for help"),
 )
+
+# A poll asks a board page after page; the next poll comes ten minutes later at the earliest.
+RUN_PAUSE_MINUTES = 5

@@ -33,21 +33,32 @@ def contact_events(contacts: DataFrame, interactions: DataFrame) -> DataFrame:
             .filter("event IS NOT NULL"))
 
 
-def application_events(applications: DataFrame, interviews: DataFrame) -> DataFrame:
-    """Rule events from applications and interviews of known contacts."""
-    applied = applications.filter("contact_id IS NOT NULL")
-    asked = applied.filter("status = 'submitted'").select(
-        "contact_id", F.lit("application_with_contact").alias("event"),
+def application_events(applications: DataFrame, interviews: DataFrame, jobs: DataFrame,
+                       contacts: DataFrame) -> DataFrame:
+    """Rule events of the contacts at the company that was applied to.
+
+    Application -> job -> company -> contacts. The rules take the first event of a
+    kind, so each company keeps one row per kind before it meets its contacts, and a
+    company with many applications and many contacts does not multiply them. Thanks
+    for an interview go to contacts with a known address.
+    """
+    of_company = applications.join(jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id")
+    asked = of_company.filter("status = 'submitted'").select(
+        "company_id", F.lit("application_with_contact").alias("event"),
         F.col("applied_at").alias("occurred_at"))
-    closed = applied.filter(F.col("status").isin("offer", "rejected")).select(
-        "contact_id", F.lit("outcome").alias("event"),
+    closed = of_company.filter(F.col("status").isin("offer", "rejected")).select(
+        "company_id", F.lit("outcome").alias("event"),
         F.col("status_updated_at").alias("occurred_at"))
     met = (interviews.filter("outcome IS NOT NULL AND outcome <> 'pending'")
-           .join(applied.select(F.col("id").alias("application_id"), "contact_id"),
-                 "application_id")
-           .select("contact_id", F.lit("interview_completed").alias("event"),
+           .join(of_company.select(F.col("id").alias("application_id"), "company_id"), "application_id")
+           .select("company_id", F.lit("interview_completed").alias("event"),
                    F.col("scheduled_at").alias("occurred_at")))
-    return asked.unionByName(closed).unionByName(met)
+    first = (asked.unionByName(closed).unionByName(met).groupBy("company_id", "event")
+             .agg(F.min("occurred_at").alias("occurred_at")))
+    known = contacts.select(F.col("id").alias("contact_id"), "company_id", "email")
+    return (known.join(first, "company_id")
+            .filter((F.col("event") != "interview_completed") | F.col("email").isNotNull())
+            .select("contact_id", "event", "occurred_at"))
 
 
 def next_actions(events: DataFrame, follow_ups: DataFrame) -> DataFrame:

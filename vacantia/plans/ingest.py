@@ -53,6 +53,18 @@ def _(t):
     return named.select("source", "external_id", F.col("name").alias("company"))
 
 
+@query("board_runs", f"""
+SELECT 'c'||o_custkey AS token, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_custkey%3=0 THEN 'c'||o_custkey ELSE {NAME}||' '||min(o_orderkey) FILTER (WHERE o_orderkey%9<>0) END AS name,
+  count(DISTINCT o_orderkey%200) AS times
+FROM orders WHERE {ok('smartrecruiters')} GROUP BY o_custkey, o_orderdate HAVING count(*) FILTER (WHERE o_orderkey%9<>0) > 0""")
+def _(t):
+    # the pages of a board are fetched up to 200 seconds apart and still have one name
+    landed = landing(t, "smartrecruiters")
+    apart = F.timestamp_add("SECOND", F.get_json_object("body", "$.offset").cast("long") % 200, "fetched_at")
+    seen = payloads.board_companies(payloads.typed(landed.withColumn("fetched_at", F.coalesce(apart, "fetched_at"))))
+    return seen.groupBy("token", F.to_date("fetched_at").alias("day"), "name").agg(F.count("*").alias("times"))
+
+
 @query("board_companies", f"""
 SELECT 'greenhouse' AS ats, 'board'||o_orderkey AS token, CASE WHEN o_orderkey%4<2 THEN 'board'||o_orderkey ELSE {NAME} END AS name FROM orders WHERE {ok('greenhouse')}
 UNION ALL SELECT 'lever', 'board'||o_orderkey, 'board'||o_orderkey FROM orders WHERE {ok('lever')}

@@ -218,7 +218,10 @@ _CONTACT_EVENTS = """e AS (
 
 
 def _contacts(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("id"), at("2024-01-01").alias("created_at"))
+    """Every customer is a contact of one of the companies; some have no address."""
+    return t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 100).alias("company_id"),
+                             F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("C"), "c_custkey", F.lit("@Example.com"))).alias("email"),
+                             at("2024-01-01").alias("created_at"))
 
 
 @query("contact_events", f"WITH {_CONTACT_EVENTS} SELECT contact_id, event, occurred_at FROM e WHERE event IS NOT NULL")
@@ -232,7 +235,7 @@ _RULES = """r(event, days, action) AS (VALUES ('new_contact',0,'send intro messa
 
 
 def _applications(t: Tables) -> DataFrame:
-    return t.applications_v.select(F.col("job_id").alias("id"), "contact_id", "status", "applied_at",
+    return t.applications_v.select(F.col("job_id").alias("id"), "job_id", "status", "applied_at",
                                    F.col("applied_at").alias("status_updated_at"))
 
 
@@ -244,25 +247,27 @@ def _interviews(t: Tables) -> DataFrame:
 @query("follow_up_actions", f"""
 WITH {_CONTACT_EVENTS}, {_RULES},
 v AS (SELECT contact_id, event, occurred_at FROM e WHERE event IS NOT NULL
-  UNION ALL SELECT contact_id, CASE WHEN status='submitted' THEN 'application_with_contact' ELSE 'outcome' END, applied_at FROM applications_v WHERE status IN ('submitted','offer','rejected')
-  UNION ALL SELECT a.contact_id, 'interview_completed', l_shipdate FROM lineitem JOIN applications_v a ON a.job_id=l_orderkey WHERE l_returnflag<>'R'),
+  UNION ALL SELECT c_custkey, CASE WHEN a.status='submitted' THEN 'application_with_contact' ELSE 'outcome' END, min(applied_at)
+    FROM applications_v a JOIN jobs_v j ON j.id=a.job_id JOIN customer ON c_custkey%100=company_id WHERE a.status IN ('submitted','offer','rejected') GROUP BY ALL
+  UNION ALL SELECT c_custkey, 'interview_completed', seen FROM customer JOIN (SELECT company_id, min(l_shipdate) AS seen
+    FROM lineitem JOIN applications_v a ON a.job_id=l_orderkey JOIN jobs_v j ON j.id=a.job_id WHERE l_returnflag<>'R' GROUP BY 1) ON c_custkey%100=company_id WHERE c_custkey%3<>0),
 w AS (SELECT contact_id, action, min(occurred_at + to_days(CAST(days AS INT))) AS due_at FROM v JOIN r USING (event) GROUP BY ALL)
 SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM follow_ups_v f WHERE f.contact_id=w.contact_id AND f.action=w.action AND NOT f.done)""")
 def _(t):
     events = (followups.contact_events(_contacts(t), t.interactions_v)
-              .unionByName(followups.application_events(_applications(t), _interviews(t))))
+              .unionByName(followups.application_events(_applications(t), _interviews(t), t.jobs_v, _contacts(t))))
     return followups.next_actions(events, t.follow_ups_v)
 
 
 @query("inbound_replies", """
 WITH c AS (SELECT c_custkey, 'c'||c_custkey||'@example.com' AS email FROM customer),
-m AS (SELECT 'c'||user_id||'@example.com' AS sender, props, ts FROM events WHERE event_type='purchase'),
+m AS (SELECT 'c'||user_id||'@example.com' AS sender, props, ts FROM events),
 r AS (SELECT c_custkey AS contact_id, max(ts - INTERVAL '8400' DAY) AS replied_at FROM m JOIN c ON c.email=m.sender GROUP BY 1)
 SELECT f.id, f.done OR coalesce(f.created_at<=r.replied_at, false) AS done FROM follow_ups_v f LEFT JOIN r USING (contact_id)""")
 def _(t):
     contacts = t.customer.select(F.col("c_custkey").alias("id"),
                                  F.concat(F.lit("C"), "c_custkey", F.lit("@Example.com")).alias("email"))
-    mail = t.events.filter("event_type = 'purchase'").select(
+    mail = t.events.select(
         F.concat(F.lit("c"), "user_id", F.lit("@example.com")).alias("sender"), F.col("props").alias("summary"),
         (F.col("ts") - F.expr("INTERVAL '8400' DAY")).alias("occurred_at"))
     replies = followups.inbound_replies(mail, contacts)

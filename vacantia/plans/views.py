@@ -1,7 +1,8 @@
 """Views that shape the driver tables like the posting domain.
 
-Each view is one SQL text that Spark and the SQL oracle both run. Every view
-covers its whole base table; strings are derived from integer keys.
+Each view is one SQL text that Spark and the SQL oracle both run. Views cover
+their whole base tables but for ``applications_v`` (the orders that were applied
+for) and ``resumes_v`` (returned lines); strings are derived from integer keys.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ board names and outcomes are read off that table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
@@ -221,22 +221,35 @@ def _per_response(rows: DataFrame) -> DataFrame:
     return rows.filter("position IS NULL OR position = 0")
 
 
+def with_run(rows: DataFrame, *board: str) -> DataFrame:
+    """Adds ``run``: the number of the run of its board that a response belongs to.
+
+    A pause of more than ``RUN_PAUSE_MINUTES`` between responses of a board starts a new run.
+    """
+    order = Window.partitionBy(*board).orderBy("fetched_at")
+    pause = F.make_dt_interval(mins=F.lit(fv.RUN_PAUSE_MINUTES))
+    begins = F.coalesce(F.col("fetched_at") > F.lag("fetched_at").over(order) + pause, F.lit(True))
+    return (rows.withColumn("begins", begins.cast("int"))
+            .withColumn("run", F.sum("begins").over(order)).drop("begins"))
+
+
 def board_companies(rows: DataFrame) -> DataFrame:
     """Company names of the boards: ``(ats, token, fetched_at, name)``.
 
     Empty boards still name a company, except paged boards, where the first
     item of the first non-empty page gives the name. Listing files are no
-    boards; they name the company on every row.
+    boards; they name the company on every row. A board has one name per run:
+    pages that were fetched shortly after one another are one run.
     """
     named = (F.col("ats") != "smartrecruiters") | F.col("position").isNotNull()
     own = F.when(F.col("ats").isin("greenhouse", "smartrecruiters"), F.col("company"))
-    return (_per_response(rows)
-            .filter((F.col("ats") != "github_repos") & F.col("readable") & named)
-            .select("ats", "token", "fetched_at", "page", own.alias("own"))
-            .groupBy("ats", "token", "fetched_at")
-            .agg(F.min_by(F.struct("own"), F.struct("page", "own")).alias("first"))
-            .select("ats", "token", "fetched_at",
-                    first_non_empty(F.col("first.own"), F.col("token")).alias("name")))
+    pages = (_per_response(rows).filter((F.col("ats") != "github_repos") & F.col("readable"))
+             .select("ats", "token", "fetched_at", F.when(named, F.struct("page", "fetched_at", own.alias("own"))).alias("p")))
+    times = pages.groupBy("ats", "token", "fetched_at").agg(F.min("p").alias("p"))
+    runs = with_run(times, "ats", "token")
+    first = F.min("p").over(Window.partitionBy("ats", "token", "run"))
+    return (runs.withColumn("first", first).filter("first IS NOT NULL")
+            .select("ats", "token", "fetched_at", first_non_empty(F.col("first.own"), F.col("token")).alias("name")))
 
 
 def has_company() -> Column:
