@@ -215,23 +215,37 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS,
                     percent: int = fv.TITLE_THRESHOLD, direct: int = DIRECT_TITLES,
-                    first_batch: int = FIRST_BATCH) -> DataFrame:
+                    first_batch: int = FIRST_BATCH, kept_before: DataFrame | None = None) -> DataFrame:
     """Decisions ``(dup_id, kept_id, note)``; ``kept_id`` is the earliest kept match.
 
     ``rows(id, company_norm, title, location, source, first_seen_at)``. Ties on
     ``first_seen_at`` go by ``id``.
+
+    ``kept_before`` are the rows that earlier runs kept, in the same shape. They stay kept and are
+    never compared with each other: they cover the new rows first, and only new rows that none of
+    them covers enter the rounds. Runs in the order of time decide as one run over all rows would.
     """
     reach = window_days * 86_400_000_000
     base = stash(keyed(rows, window_days), "dedup-rows")
-    open_rows, dropped = base, []
+    open_rows, dropped, every = base, [], base
+    if kept_before is not None:
+        # a row two cells or more before the first new one of its group reaches none
+        groups = base.groupBy(*GROUP).agg(F.min("cell").alias("least"))
+        frozen = stash(keyed(kept_before, window_days).join(groups, GROUP).filter("cell >= least - 1")
+                       .select(*base.columns), "dedup-frozen")
+        links = _directed(similar_titles(frozen.select(*TITLE).distinct(),
+                                         base.select(*TITLE).distinct(), percent, direct))
+        settled = stash(_settle(base, frozen, links, reach), "dedup-settled")
+        dropped.append(settled.filter("dropped").drop("dropped"))
+        open_rows, every = settled.filter("NOT dropped").drop("dropped"), base.unionByName(frozen)
 
-    crowded = stash(_sizes(base.select(*TITLE).distinct()).filter(F.col("titles") > direct)
+    crowded = stash(_sizes(open_rows.select(*TITLE).distinct()).filter(F.col("titles") > direct)
                     .select(*GROUP), "dedup-crowded")
     any_crowd = not crowded.isEmpty()
     if any_crowd:
-        dropped = _settle_crowds(base.join(crowded, GROUP, "left_semi"), percent, direct,
-                                 first_batch, reach)
-        open_rows = base.join(crowded, GROUP, "left_anti")
+        dropped += _settle_crowds(open_rows.join(crowded, GROUP, "left_semi"), percent, direct,
+                                  first_batch, reach)
+        open_rows = open_rows.join(crowded, GROUP, "left_anti")
 
     counted = stash(open_rows.groupBy(*TITLE).agg(F.count("*").alias("n")), "dedup-titles")
     pairs = stash(similar_titles(counted, None, percent, None), "dedup-pairs")
@@ -246,8 +260,8 @@ def find_duplicates(rows: DataFrame, window_days: int = fv.DUPLICATE_WINDOW_DAYS
         settled = stash(_settle(open_rows, kept, neighbours, reach), "dedup-settled")
         dropped.append(settled.filter("dropped").drop("dropped"))
         open_rows = settled.filter("NOT dropped").drop("dropped")
-    return _keepers(base, _union(dropped or [open_rows]), percent,
-                    direct if any_crowd else None, reach)
+    return _keepers(every, _union(dropped or [open_rows]), percent,
+                    direct if any_crowd or kept_before is not None else None, reach)
 
 
 def _keepers(base: DataFrame, dropped: DataFrame, percent: int, direct: int | None,
