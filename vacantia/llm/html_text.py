@@ -56,7 +56,15 @@ HEADINGS = {f"h{i}" for i in range(1, 7)}
 ALIGN_TO = 40   # columns wider than this are not padded further
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"display\s*:\s*none|(visibility\s*:\s*(?:hidden|collapse))", re.I)
+_STYLE = re.compile(r"\b(display|visibility)\s*:\s*([a-z-]+)", re.I)
+
+
+def unseen_by(style: str | None) -> str:
+    """What a style attribute hides by: display, visibility or nothing; the last declaration of each counts."""
+    last = {name.lower(): value.lower() for name, value in _STYLE.findall(style)} if style else {}
+    if last.get("display") == "none":
+        return "display"
+    return "visibility" if last.get("visibility") in ("hidden", "collapse") else ""
 
 
 class Node:
@@ -157,10 +165,30 @@ class TreeBuilder(HTMLParser):
         elif not self._end({tag}, {"table"} if tag in TABLE_PARTS - {"table"} else CELLS - {tag}) and tag == "p":
             self.path[-1].kids.append(Node("p", {}))
 
+    # What is never closed runs to the end of the page and shows nothing. All of the page is
+    # there from the start, so this is known at once, and no piece is looked through twice.
+
+    def _to_end(self, found: int) -> int:
+        return len(self.rawdata) if found < 0 else found
+
+    def parse_starttag(self, i):
+        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        if i + 2 == len(self.rawdata):
+            return super().parse_endtag(i)  # "</" at the end is text
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._to_end(super().parse_pi(i))
+
     def parse_html_declaration(self, i):
         """``<![...>`` is a comment up to the next ``>`` or the end; HTMLParser itself refuses some of them."""
         if not self.rawdata.startswith("<![", i):
-            return super().parse_html_declaration(i)
+            return self._to_end(super().parse_html_declaration(i))
         if self.path[-1].within() and self.rawdata.startswith("<![CDATA[", i):
             end = self.rawdata.find("]]>", i)
             self.handle_data(self.rawdata[i + 9:end if end >= 0 else len(self.rawdata)])
@@ -185,12 +213,12 @@ def shown(node: Node) -> bool:
     attrs = node.attrs
     if node.space:
         unseen = node.space == "svg" and (attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"))
-        return not (unseen or attrs.get("style") and _STYLE.search(attrs["style"]))
+        return not (unseen or unseen_by(attrs.get("style")))
     if node.tag in HIDDEN or "hidden" in attrs:
         return False
     if node.tag == "dialog" and "open" not in attrs:
         return False
-    return not (attrs.get("style") and _STYLE.search(attrs["style"]))
+    return not unseen_by(attrs.get("style"))
 
 
 def _own_line(node: Node) -> bool:
@@ -267,6 +295,36 @@ def _aligned(rows: list[list[str]]) -> list[str]:
     return ["  ".join(c + " " * (widths[k] - _width(c)) for k, c in enumerate(row)).rstrip() for row in rows]
 
 
+class Rows:
+    """Cells of a table by row and column; a cell over several rows keeps its column free below."""
+
+    def __init__(self):
+        self.rows: list[list[str]] = []
+        self.below: dict[int, int] = {}   # column: rows still covered from above
+        self.taken: set[int] = set()
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.taken = set(self.below)
+        self.below = {c: n - 1 for c, n in self.below.items() if n > 1}
+
+    def cell(self, text: str, wide: int, high: int) -> None:
+        row = self.rows[-1]
+        while len(row) in self.taken:
+            row.append("")
+        if high > 1:
+            self.below.update(dict.fromkeys(range(len(row), len(row) + wide), high - 1))
+        row += [text] + [""] * (wide - 1)
+
+
+def _count(text: str | None, most: int) -> int:
+    return min(int(text), most) if text and re.fullmatch(r"[0-9]{1,5}", text) else 1
+
+
+def _whole(text: str | None, otherwise: int) -> int:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text) else otherwise
+
+
 def render(root: Node) -> str:
     """Text of everything shown under ``root``."""
     pages, tables, lists = [Page()], [], []
@@ -283,23 +341,26 @@ def render(root: Node) -> str:
                 page.blank = True
         elif tag == "table":
             page.end_line(True)
-            tables.append([])
+            tables.append(Rows())
         elif tag == "tr" and tables:
-            tables[-1].append([])
+            tables[-1].row()
         elif tag in ("td", "th") and tables:
-            if not tables[-1]:
-                tables[-1].append([])
+            if not tables[-1].rows:
+                tables[-1].row()
             pages.append(Page())
         elif tag in BLOCKS:
             page.end_line(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.attrs.get("start") or "1"
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+                back = tag == "ol" and "reversed" in node.attrs
+                first = sum(isinstance(k, Node) and k.tag == "li" for k in node.kids) if back else 1
+                lists.append([tag == "ol", _whole(node.attrs.get("start"), first), -1 if back else 1])
             elif tag == "li":
                 numbered = lists and lists[-1][0]
+                if numbered:
+                    lists[-1][1] = _whole(node.attrs.get("value"), lists[-1][1])
                 page.marker = f"{lists[-1][1]}. " if numbered else "- "
                 if numbered:
-                    lists[-1][1] += 1
+                    lists[-1][1] += lists[-1][2]
                 page.indent += " " * len(page.marker)
                 node.attrs["_indent"] = len(page.marker)
             elif tag in ("blockquote", "dd"):
@@ -319,15 +380,15 @@ def render(root: Node) -> str:
             elif tag in ("mtd", "mtr") or stack[-1][0].tag == "mfrac":
                 page.space = True
         elif tag == "table":
-            lines = _aligned([r for r in tables.pop() if any(r)])
+            lines = _aligned([r for r in tables.pop().rows if any(r)])
             for line in lines:
                 page._put(line)
                 page._flush()
             page.end_line(True)
         elif tag in ("td", "th") and tables:
             text = _SPACES.sub(" ", pages.pop().result())
-            span = node.attrs.get("colspan") or "1"
-            tables[-1][-1] += [text] + [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0)
+            high = _count(node.attrs.get("rowspan"), 65534)
+            tables[-1].cell(text, max(_count(node.attrs.get("colspan"), 1000), 1), high or 65534)  # 0: down to the end
         elif tag == "tr" and tables:
             pass
         elif tag in BLOCKS:
@@ -358,7 +419,7 @@ def render(root: Node) -> str:
                     enter(kid)
                     stack.append((kid, iter(kid.kids)))
                     break
-            elif kid.tag in BLOCKS and (style := kid.attrs.get("style")) and (m := _STYLE.search(style)) and m[1]:
+            elif kid.tag in BLOCKS and unseen_by(kid.attrs.get("style")) == "visibility":
                 pages[-1].end_line(kid.tag in SPACED)  # unseen, but it keeps its place
             elif shown(kid) and not (node.tag == "details" and "open" not in node.attrs and kid.tag != "summary"):
                 enter(kid)
