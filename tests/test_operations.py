@@ -222,3 +222,11 @@ def test_follow_ups_reach_the_contacts_of_the_company(spark):
     got = {tuple(r) for r in followups.application_events(applications, interviews, jobs, contacts).collect()}
     assert got == {("p1", "application_with_contact", "2026-01-01"), ("p2", "application_with_contact", "2026-01-01"),
                    ("p1", "interview_completed", "2026-01-20"), ("p3", "outcome", "2026-01-05")}
+
+
+@pytest.mark.parametrize("values", [[5], [1, 2], [7] * 9 + [None], [3, 3, 4, 4], [-(1 << 63), (1 << 63) - 1, 0], list(range(0, 10**15, 10**12)),
+                                    [2, 2, 2, 9, 9, 9], [], [None]])
+def test_median_by_refined_ranges(spark, values):
+    known = sorted(v for v in values if v is not None)
+    want = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2 if known else None
+    assert metrics.median(spark.createDataFrame([(v,) for v in values], "v long"), "v") == want

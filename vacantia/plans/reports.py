@@ -38,6 +38,14 @@ def _(t):
     return metrics.apply_speed(t.applications_v)
 
 
+@query("apply_speed_nanos", """
+SELECT median(CAST(60000000000 * minutes_after_posting + job_id AS DOUBLE)) AS median_nanos FROM applications_v""")
+def _(t):
+    # nearly all values differ
+    nanos = t.applications_v.select((F.lit(60_000_000_000) * F.col("minutes_after_posting") + F.col("job_id")).alias("nanos"))
+    return t.spark.createDataFrame([(metrics.median(nanos, "nanos"),)], "median_nanos double")
+
+
 @query("weekly_activity", """
 WITH a AS (SELECT CAST(date_trunc('week', applied_at) AS TIMESTAMP) AS week, count(*) AS applications FROM applications_v GROUP BY 1),
 i AS (SELECT CAST(date_trunc('week', occurred_at) AS TIMESTAMP) AS week, count(*) AS n FROM interactions_v WHERE direction='outbound' GROUP BY 1)
