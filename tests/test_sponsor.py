@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import sponsor
+from vacantia.operators import load, sponsor
 
 AS_OF = "2026-03-01"
 
@@ -103,3 +103,21 @@ def test_no_filings_and_no_companies(spark):
     filings = spark.createDataFrame([("stripe", 1, 1, 2025)], FILINGS)
     _, log = sponsor.scoring_run(companies.filter("false"), filings, as_of)
     assert tuple(log.select("ok", "detail").first()) == (True, "0 companies")
+
+
+def test_totals_of_slices_follow_a_reload(spark, tmp_path):
+    table = "src string, employer_norm string, initial_approvals bigint, initial_denials bigint, fiscal_year int"
+    old = spark.createDataFrame([("a", "x", 1, None, 2020), ("a", "y", 2, 1, None), ("b", "x", 4, 0, 2019), ("b", "z", None, None, None)], table)
+    new = spark.createDataFrame([("a", "x", 10, 1, 2021)], table)
+    path = str(tmp_path / "totals")
+
+    def files(src):
+        return {p.name: p.read_bytes() for p in (tmp_path / "totals" / f"src={src}").iterdir()}
+
+    load.write_slice(sponsor.slice_totals(old), path)
+    kept = files("b")
+    load.write_slice(sponsor.slice_totals(new), path)
+    assert files("b") == kept  # the other slice was not touched
+    got = sorted(map(tuple, sponsor.totals_of_slices(spark.read.parquet(path)).collect()))
+    want = sorted(map(tuple, sponsor.employer_totals(load.replace_slice(old, new, "a")).collect()))
+    assert got == want == [("x", 14, 1, 2021), ("z", 0, 0, None)]

@@ -19,6 +19,26 @@ def employer_totals(filings: DataFrame) -> DataFrame:
         F.max("fiscal_year").alias("latest_year"))
 
 
+def slice_totals(filings: DataFrame) -> DataFrame:
+    """Totals per employer and slice ``src``, to be kept beside the filings table.
+
+    ``load.write_slice`` replaces the totals of the slices it is given and
+    leaves the others as they are.
+    """
+    return filings.groupBy("src", "employer_norm").agg(
+        F.sum("initial_approvals").cast("bigint").alias("approvals"),
+        F.sum("initial_denials").cast("bigint").alias("denials"),
+        F.max("fiscal_year").alias("latest_year"))
+
+
+def totals_of_slices(totals: DataFrame) -> DataFrame:
+    """``employer_totals`` of the whole table from the totals of its slices."""
+    return totals.groupBy("employer_norm").agg(
+        F.coalesce(F.sum("approvals"), F.lit(0)).cast("bigint").alias("approvals"),
+        F.coalesce(F.sum("denials"), F.lit(0)).cast("bigint").alias("denials"),
+        F.max("latest_year").alias("latest_year"))
+
+
 def unknown_companies(companies: DataFrame) -> DataFrame:
     return companies.filter("sponsor_status = 'unknown'")
 
