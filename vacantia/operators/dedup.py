@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions import similarity as sim
 from vacantia.functions.text import duplicate_note, location_key
+from vacantia.operators.runlog import run_row
 from vacantia.session import spread, stash
 
 GROUP = ["company_norm", "place"]
@@ -304,3 +305,8 @@ def run_counts(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     return counted.withColumn("detail", F.concat(
         F.col("duplicates"), F.lit(" duplicates skipped of "), F.col("candidates"),
         F.lit(" candidates")))
+
+
+def run_log(rows: DataFrame, decisions: DataFrame, ran_at: Column) -> DataFrame:
+    """The run-log row of a duplicate run."""
+    return run_row(run_counts(rows, decisions), "dedup", F.lit(True), ran_at, F.col("detail"))

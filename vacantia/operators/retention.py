@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
+from vacantia.operators.runlog import run_row
 
 
 def _days_before(as_of: Column, days: int) -> Column:
@@ -66,3 +67,10 @@ def retention_counts(jobs: DataFrame, applications: DataFrame, resumes: DataFram
     return both.withColumn("detail", F.concat(
         F.col("jobs_pruned"), F.lit(" jobs, "), F.col("run_log_pruned"),
         F.lit(" heartbeats pruned")))
+
+
+def run_log(jobs: DataFrame, applications: DataFrame, resumes: DataFrame, log: DataFrame,
+            as_of: Column) -> DataFrame:
+    """The run-log row of a retention run."""
+    counts = retention_counts(jobs, applications, resumes, log, as_of)
+    return run_row(counts, "retention", F.lit(True), as_of, F.col("detail"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.functions import scoring, similarity, text
-from vacantia.operators import alerts, dedup, load, retention, sponsor
+from vacantia.operators import alerts, dedup, load, retention, runlog, sponsor
 from vacantia.plans import oracle_parts as o
 from vacantia.plans.registry import Tables, query
 from vacantia.session import scratch_path, stash
@@ -416,6 +416,21 @@ def _(t):
     return retention.retention_counts(jobs(t), t.applications_v, t.resumes_v, t.run_log_v, at(EVENTS_AS_OF))
 
 
+@query("enrichment_run_log", f"""WITH RECURSIVE {_DECISIONS},
+n AS (SELECT (SELECT count(*) FROM decisions) AS duplicates, (SELECT count(*) FROM cand) AS candidates),
+r AS (SELECT (SELECT count(*) FROM jobs_v j WHERE {_STALE.replace(ORDERS_AS_OF, EVENTS_AS_OF)}) AS jobs_pruned,
+  (SELECT count(*) FROM run_log_v WHERE ran_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 30 DAY) AS run_log_pruned)
+SELECT 'dedup' AS source, true AS ok, TIMESTAMP '{EVENTS_AS_OF}' AS ran_at, CAST(duplicates AS STRING)||' duplicates skipped of '||CAST(candidates AS STRING)||' candidates' AS detail FROM n
+UNION ALL SELECT 'retention', true, TIMESTAMP '{EVENTS_AS_OF}', CAST(jobs_pruned AS STRING)||' jobs, '||CAST(run_log_pruned AS STRING)||' heartbeats pruned' FROM r""")
+def _(t):
+    """The rows that the duplicate and the retention run append to the run log, read from the log again."""
+    rows, path = _new_jobs(t), scratch_path(t.spark, "run-log")
+    now = F.lit(EVENTS_AS_OF).cast("timestamp")
+    runlog.append_run_log(dedup.run_log(rows, dedup.find_duplicates(rows), now), path)
+    runlog.append_run_log(retention.run_log(jobs(t), t.applications_v, t.resumes_v, t.run_log_v, now), path)
+    return t.spark.read.parquet(path)
+
+
 @query("unreferenced_jobs", """
 SELECT id FROM jobs_v j WHERE NOT EXISTS (SELECT 1 FROM applications_v a WHERE a.job_id=j.id)
   AND NOT EXISTS (SELECT 1 FROM resumes_v r WHERE r.job_id=j.id)""")
