@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, is written as Parquet and read again as
 the next one's documents. All but the last keep the columns of ``documents``.
+
+Defined results: a null or empty text has no toxic word, no shingle and no personal data, counts
+no words in the mix, and is packed as the end id alone where the mix takes it; a null source is one of
+its own, last in the mix; of near copies, and of rows with one ``doc_id``, one stays, while rows without an
+id all stay; very long texts are read whole; an empty table gives no piece; other columns pass through to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
