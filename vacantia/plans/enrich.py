@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia import fixed_values as fv
 from vacantia.functions import scoring, similarity, text
 from vacantia.operators import alerts, dedup, load, retention, runlog, sponsor
 from vacantia.plans import oracle_parts as o
@@ -322,7 +321,7 @@ SELECT x.company_norm, x.place, x.tk AS first_title, y.tk AS second_title
 FROM g x JOIN g y ON x.company_norm=y.company_norm AND x.place=y.place AND x.tk<y.tk
 JOIN alike ON alike.a=x.tk AND alike.b=y.tk""")
 def _(t):
-    titles = dedup.keyed(_new_jobs(t), fv.DUPLICATE_WINDOW_DAYS).select(*dedup.TITLE).distinct()
+    titles = dedup.keyed(_new_jobs(t)).select(*dedup.TITLE).distinct()
     return dedup.similar_titles(titles).select(
         "company_norm", "place", F.least("a", "b").alias("first_title"),
         F.greatest("a", "b").alias("second_title"))
