@@ -229,3 +229,23 @@ def test_one_per_key(spark):
     got = sorted((r.n, r.title) for r in load.one_per_key(rows, ["n"]).collect())
     assert got == [(1, "early"), (3, "only"), (4, "a"), (4, "a")]
     assert load.one_per_key(rows.limit(0), ["n"]).count() == 0
+
+
+def test_wide_rows_are_written_once(spark, tmp_path, monkeypatch):
+    """A poll without repeated keys and details neither shuffles nor writes its new rows again."""
+    labels, stash = [], cycle.stash
+    monkeypatch.setattr(cycle, "stash", lambda df, label: labels.append(label) or stash(df, label))
+    drop(tmp_path, "1.json", "2026-01-01T00:00:00Z", ("acme", lever_body("1", "2")))
+    none = spark.createDataFrame([], COMPANIES + ", sponsor_score decimal(4,3)")
+    keys = spark.createDataFrame([], "source string, external_id string")
+    done = cycle.poll(payloads.read_landing(spark, str(tmp_path)), none, keys, F.lit("2026-01-03").cast("timestamp"))
+    assert done.new_jobs.count() == 2 and "cycle-inserted" in labels and "cycle-new" not in labels
+
+
+def test_few_repeated_keys_move_no_other_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    (spark.range(1000).select(F.lit("lever").alias("source"), (F.col("id") % 999).cast("string").alias("external_id"),
+                              F.col("id").alias("n")).write.parquet(path))
+    rows = load.one_per_key(spark.read.parquet(path), ["n"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 999 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions.text import is_new_grad, non_empty, normalize_company
 from vacantia.operators.keystore import KeyStore
+from vacantia.session import stash
 
 JOB_KEY = ("source", "external_id")
 KEY_TYPES = {"source": "string", "external_id": "string"}
@@ -50,9 +51,14 @@ def one_per_key(rows: DataFrame, order_by: list[str], keys: tuple[str, ...] = JO
     """The first row per key, for wide rows whose keys rarely repeat.
 
     Repeated keys are found on the key columns alone; only their rows are
-    combined, all others pass as they are. NULL keys all pass.
+    combined, all others pass as they are. NULL keys all pass. The repeated
+    keys are written, so that few of them do not shuffle the wide rows.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    keyless = F.expr(" OR ".join(f"{k} IS NULL" for k in keys))
+    repeated = stash(rows.filter(~keyless).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys),
+                     "repeated-keys")
+    if repeated.isEmpty():
+        return rows
     rest = [c for c in rows.columns if c not in keys]
     first = (rows.join(repeated, list(keys), "left_semi").groupBy(*keys)
              .agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r")).select(*keys, "r.*"))

@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia import fixed_values as fv
 from vacantia.operators import alerts, load, runlog
 from vacantia.operators.keystore import KeyStore
 from vacantia.session import stash
@@ -50,25 +51,35 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame | KeyStor
     fresh = stash(load.insert_if_absent(arrivals, job_keys, ORDER), "cycle-fresh")
     named = payloads.with_company_name(fresh.withColumn("said", F.col("company")), boards)
     chosen = stash(load.with_company_id(named, state).select(*_POSTING, "company_id").distinct(), "cycle-chosen")
-    inserted = stash(load.new_job_rows(_payloads_of(chosen, landing), as_of), "cycle-inserted")
+    # while most responses hold a new posting, choosing them first would only shuffle their bodies
+    responses = [t.agg(F.approx_count_distinct(F.struct(*_RESPONSE))).first()[0] for t in (chosen, rows)]
+    inserted = stash(load.new_job_rows(_payloads_of(chosen, landing, responses[0] * 2 < responses[1]), as_of),
+                     "cycle-inserted")
     new_jobs = load.one_per_key(inserted, ORDER)
     if details is not None:
         wanted = load.detail_selection(new_jobs).select(*load.JOB_KEY)
-        new_jobs = load.apply_details(new_jobs, details.join(wanted, list(load.JOB_KEY), "left_semi"))
-    new_jobs = stash(new_jobs, "cycle-new")
+        # only rows of providers with details meet them
+        may = F.col("source").isin(*fv.DETAIL_CAPS)
+        told = load.apply_details(new_jobs.filter(may), details.join(wanted, list(load.JOB_KEY), "left_semi"))
+        new_jobs = told.unionByName(new_jobs.filter(~F.coalesce(may, F.lit(False))))
+    if new_jobs is not inserted:
+        new_jobs = stash(new_jobs, "cycle-new")
     sent = alerts.select_alerts(new_jobs, state, run=("source",), notified=notified,
                                 insert_order=("token", "insert_rank", "fetched_at", "page", "position", "id"))
     log = runlog.poll_summary(payloads.board_status(rows), new_jobs, ran_at=as_of, watchlist=watchlist)
     return Cycle(state, new_jobs, sent, log)
 
 
-def _payloads_of(chosen: DataFrame, landing: DataFrame) -> DataFrame:
-    """The chosen postings with their payload; a response that landed twice gives both copies."""
+def _payloads_of(chosen: DataFrame, landing: DataFrame, few: bool) -> DataFrame:
+    """The chosen postings with their payload; a response that landed twice gives both copies.
+
+    While ``few`` responses are concerned, only these are parsed.
+    """
     def joined(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
         named = right.withColumnsRenamed({c: f"chosen_{c}" for c in columns})
         on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"chosen_{c}")) for c in columns])
         return left.join(named, on, how)
 
-    landed = joined(landing, chosen.select(*_RESPONSE).distinct(), _RESPONSE, "left_semi")
+    landed = joined(landing, chosen.select(*_RESPONSE).distinct(), _RESPONSE, "left_semi") if few else landing
     found = payloads.postings(payloads.typed(landed)).withColumnRenamed("company", "said")
     return joined(found, chosen, _POSTING, "inner").select(*found.columns, "company_id")
