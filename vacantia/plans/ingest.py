@@ -48,7 +48,7 @@ def _(t):
 
 @query("posting_company", f"SELECT source, external_id, company FROM ({EXPECTED_ALL})")
 def _(t):
-    rows = stash(payloads.typed(landing(t)).drop("raw", "description"), "named-typed")
+    rows = stash(payloads.typed(landing(t)).select(*payloads.KEYS), "named-typed")
     named = payloads.with_company_name(payloads.postings(rows), payloads.board_companies(rows))
     return named.select("source", "external_id", F.col("name").alias("company"))
 
@@ -97,7 +97,7 @@ SELECT b.ats AS source, failed=0 AS ok, boards-failed AS boards_ok, boards, coal
   (boards-failed)||'/'||boards||CASE WHEN b.ats='github_repos' THEN ' repos, ' ELSE ' boards, ' END||coalesce(added,0)||' new' AS detail
 FROM b LEFT JOIN n USING (ats)""")
 def _(t):
-    rows = stash(payloads.typed(landing(t)).drop("raw", "description"), "summary-typed")
+    rows = stash(payloads.typed(landing(t)).select(*payloads.KEYS), "summary-typed")
     return runlog.poll_summary(payloads.board_status(rows), payloads.postings(rows))
 
 
