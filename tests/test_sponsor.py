@@ -121,3 +121,19 @@ def test_totals_of_slices_follow_a_reload(spark, tmp_path):
     got = sorted(map(tuple, sponsor.totals_of_slices(spark.read.parquet(path)).collect()))
     want = sorted(map(tuple, sponsor.employer_totals(load.replace_slice(old, new, "a")).collect()))
     assert got == want == [("x", 14, 1, 2021), ("z", 0, 0, None)]
+
+
+def test_settled_names_are_not_searched_again(spark, monkeypatch):
+    """Only names without a match at a higher ratio meet the shorter keys of a lower one."""
+    asked, search = {}, sponsor.similar_employers
+
+    def spy(names, employers, percent):
+        asked[percent] = sorted(r[0] for r in names.collect())
+        return search(names, employers, percent)
+
+    monkeypatch.setattr(sponsor, "similar_employers", spy)
+    names = spark.createDataFrame([("blue data systems bkd",), ("red iron",)], "name_normalized string")
+    employers = spark.createDataFrame([("blue data systems bk",), ("blue data systems d",)], "employer_norm string")
+    got = [tuple(r) for r in sponsor.best_employer(names, employers).select("name_normalized", "employer_norm").collect()]
+    assert got == [("blue data systems bkd", "blue data systems bk")]
+    assert asked[max(asked)] == ["blue data systems bkd", "red iron"] and asked[min(asked)] == ["red iron"]

@@ -10,6 +10,8 @@ from vacantia.functions import similarity as sim
 from vacantia.functions.scoring import fiscal_year, score_milli, score_status, score_value
 from vacantia.session import spread, stash
 
+LEVELS = (96, 93)  # ratios searched before the lowest one
+
 
 def employer_totals(filings: DataFrame) -> DataFrame:
     """Approvals, denials and latest year per employer; NULL sums count as 0."""
@@ -81,7 +83,9 @@ def best_employer(names: DataFrame, employers: DataFrame,
     """The best employer per name: highest ratio, then smallest employer name.
 
     Names whose tokens equal an employer's have ratio 100 and need no fuzzy
-    search, so they are settled by a plain join first.
+    search, so they are settled by a plain join first. The others are searched
+    by falling ratio: a name with a match at one level has its best one there,
+    and only names without any go on to the next level, where keys are shorter.
     """
     worded = r"[\p{L}\p{N}]"  # names without a word have no trigrams and match nothing
     names = names.select("name_normalized").filter(F.col("name_normalized").rlike(worded)).distinct()
@@ -93,13 +97,17 @@ def best_employer(names: DataFrame, employers: DataFrame,
                  .join(by_tokens, "tokens", "left"))
     equal = looked_up.filter("employer_norm IS NOT NULL").select(
         "name_normalized", "employer_norm", F.lit(100.0).alias("ratio"))
-    open_names = looked_up.filter("employer_norm IS NULL").select("name_normalized")
-    fuzzy = (similar_employers(open_names, employers, percent)
-             .groupBy("name_normalized")
-             .agg(F.min_by(F.struct("employer_norm", "ratio"),
-                           F.struct(-F.col("ratio"), F.col("employer_norm"))).alias("m"))
-             .select("name_normalized", "m.*"))
-    return equal.unionByName(fuzzy)
+    open_names, found = looked_up.filter("employer_norm IS NULL").select("name_normalized"), equal
+    for level in [p for p in LEVELS if p > percent] + [percent]:
+        open_names = stash(open_names, "sponsor-open")
+        fuzzy = stash(similar_employers(open_names, employers, level)
+                      .groupBy("name_normalized")
+                      .agg(F.min_by(F.struct("employer_norm", "ratio"),
+                                    F.struct(-F.col("ratio"), F.col("employer_norm"))).alias("m"))
+                      .select("name_normalized", "m.*"), "sponsor-found")
+        found = found.unionByName(fuzzy)
+        open_names = open_names.join(fuzzy.select("name_normalized"), "name_normalized", "left_anti")
+    return found
 
 
 def score_companies(companies: DataFrame, filings: DataFrame, as_of: Column) -> DataFrame:
