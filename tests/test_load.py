@@ -249,3 +249,25 @@ def test_few_repeated_keys_move_no_other_rows(spark, tmp_path):
     rows = load.one_per_key(spark.read.parquet(path), ["n"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == 999 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_stream_state_holds_numbers_alone(spark, tmp_path):
+    landing, table, marks = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "marks")
+    landing.mkdir()
+    for n in range(3):  # in one batch: a new key in two files, and a file without one
+        drop(landing, f"{n}.json", f"2026-01-0{3 - n}T00:00:00Z", ("a", lever_body(*[["1"], ["1", "2"], []][n])))
+    reads = []
+
+    def read_files(files):
+        reads.append(sorted(f.rsplit("/", 1)[1] for f in files))
+        return spark.read.schema(schemas.LANDING).json(files)
+
+    ingest.insert_stream(ingest.landing_stream(spark, str(landing)), read_files, payloads.all_postings,
+                         table, marks, ingest.POSTING_ORDER).awaitTermination()
+    assert reads == [["0.json", "1.json"]]
+    # the first row of key 1 lies in the file with the earlier time
+    got = {r.external_id: str(r.fetched_at) for r in spark.read.parquet(table).collect()}
+    assert got == {"1": "2026-01-02 00:00:00", "2": "2026-01-02 00:00:00"}
+    state = spark.read.format("statestore").load(marks)
+    assert {f.dataType.typeName() for f in state.schema["value"].dataType} <= {"timestamp", "long"}
+    assert state.filter("key.file IS NULL").count() == 2

@@ -28,6 +28,13 @@ def company_id(name_normalized: Column) -> Column:
     return F.sha2(name_normalized, 256)
 
 
+def first_arrivals(arrivals: DataFrame, order_by: list[str], keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
+    """The first arrival per key; copies of a key are combined before the shuffle. No key is NULL."""
+    rest = [c for c in arrivals.columns if c not in keys]
+    return (arrivals.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r"))
+            .select(*keys, "r.*"))
+
+
 def insert_if_absent(arrivals: DataFrame, stored: DataFrame | KeyStore, order_by: list[str],
                      keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
     """The arrivals to add: unknown keys only, the first arrival per key.
@@ -38,10 +45,7 @@ def insert_if_absent(arrivals: DataFrame, stored: DataFrame | KeyStore, order_by
     filter and is not shuffled. Rows with a NULL key conflict with nothing and all pass.
     """
     keyless = " OR ".join(f"{k} IS NULL" for k in keys)
-    rest = [c for c in arrivals.columns if c not in keys]
-    first = (arrivals.filter(f"NOT ({keyless})").groupBy(*keys)
-             .agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r"))
-             .select(*keys, "r.*"))
+    first = first_arrivals(arrivals.filter(f"NOT ({keyless})"), order_by, keys)
     fresh = (stored.absent(first) if isinstance(stored, KeyStore)
              else first.join(stored.select(*keys), list(keys), "left_anti"))
     return fresh.select(*arrivals.columns).unionByName(arrivals.filter(keyless))

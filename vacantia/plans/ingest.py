@@ -317,12 +317,14 @@ WHERE rn=1 OR external_id IS NULL
 UNION ALL SELECT source, external_id, {_ORDER} FROM arrivals_v WHERE external_id IS NULL""")
 def _(t):
     # every row arrives twice, in several files and batches, the second time after a restart; rows without a key are added both times
-    drops, half = scratch_path(t.spark, "stream-drops"), t.lineitem.repartition(6, "l_orderkey")
+    # three batches of as many files as keep all tasks busy; small row groups, so that a file is read by many tasks
+    each = 2 * max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 6)
+    drops, half = scratch_path(t.spark, "stream-drops"), t.lineitem.repartition(3 * each, "l_orderkey")
     table, marks = scratch_path(t.spark, "stream-table"), scratch_path(t.spark, "stream-marks")
     view = VIEWS["arrivals_v"][1]
     for _ in range(2):
-        half.write.mode("append").parquet(drops)
-        source = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 2).parquet(drops)
+        half.write.mode("append").option("parquet.block.size", 16 << 20).parquet(drops)
+        source = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", each).parquet(drops)
         stream.insert_stream(source, lambda files: t.spark.read.parquet(*files),
                              lambda df: df.sparkSession.sql(view, base=df), table, marks, ORDER).awaitTermination()
     return t.spark.read.parquet(table).select("source", "external_id", *ORDER)
