@@ -251,7 +251,7 @@ def test_few_repeated_keys_move_no_other_rows(spark, tmp_path):
     assert rows.count() == 999 and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_stream_state_holds_numbers_alone(spark, tmp_path):
+def test_stream_state_holds_keys_alone(spark, tmp_path):
     landing, table, marks = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "marks")
     landing.mkdir()
     for n in range(3):  # in one batch: a new key in two files, and a file without one
@@ -269,5 +269,5 @@ def test_stream_state_holds_numbers_alone(spark, tmp_path):
     got = {r.external_id: str(r.fetched_at) for r in spark.read.parquet(table).collect()}
     assert got == {"1": "2026-01-02 00:00:00", "2": "2026-01-02 00:00:00"}
     state = spark.read.format("statestore").load(marks)
-    assert {f.dataType.typeName() for f in state.schema["value"].dataType} <= {"timestamp", "long"}
     assert state.filter("key.file IS NULL").count() == 2
+    assert state.filter("size(array_compact(array(value.*))) > 0").count() == 0 if state.schema["value"].dataType.fields else True
