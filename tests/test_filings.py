@@ -7,7 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from vacantia.operators import load
+from vacantia.plans import ingest
+from vacantia.plans.registry import Tables
 from vacantia.sources import filings, quoted_csv
 
 MODERN = ("Fiscal Year,Employer (Petitioner) Name,Initial Approval,Initial Denial,Continuing Approval\n"
@@ -127,3 +130,17 @@ def test_software_occupations_only(spark):
         "fiscal_year int, employer_raw string, soc_code string, job_title string, wage double, worksite_state string")
     row, = filings.software_filings(raw).collect()
     assert (row.src, row.employer_raw, row.employer_norm, str(row.wage)) == ("dol_lca", "Acme Inc", "acme", "100.50")
+
+
+def test_rows_are_dealt_evenly_to_files(spark):
+    t = Tables(spark, SMALL)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        for most, files in ((5, 5), (None, 10)):
+            sizes = [r["count"] for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(
+                f"{ingest._filing_files(t, most)}/*").groupBy(F.input_file_name()).count().collect()]
+            assert len(sizes) == files and sum(sizes) == t.lineitem.count()
+            assert max(sizes) < 1.2 * sum(sizes) / files
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -169,28 +169,34 @@ def _(t):
 
 # --- filings --------------------------------------------------------------------
 
-def _filing_files(t: Tables) -> str:
-    """Folder of filing rows written as five CSV files in two header layouts, all rows of the table.
+def _filing_files(t: Tables, most: int | None = None) -> str:
+    """Folder of filing rows written as CSV files in two header layouts, all rows of the table.
 
+    Three files of five have the first layout. A file is written by one task, so there are about as many as tasks, and at least
+    five, unless ``most`` gives their number. Every file gets an equal part of the rows, which are dealt as numbers, before they become texts.
     One layout starts with a byte order mark; some values hold a line break.
     """
-    cells = """CASE WHEN l_quantity=2 THEN '' WHEN l_quantity=3 THEN concat('F', chr(10), 'Y') ELSE CAST(year(l_shipdate) AS STRING) END AS fy,
-        CASE WHEN l_quantity=1 THEN '  ' ELSE concat(' Employer ', l_suppkey, ', Inc. ') END AS name,
-        CASE WHEN l_tax=0 THEN 'N/A' ELSE format_number(CAST(floor(l_extendedprice) AS BIGINT), 0) END AS ia,
-        CASE WHEN l_discount=0 THEN '-' ELSE CAST(l_partkey AS STRING) END AS idn,
+    cells = """CASE kind WHEN 2 THEN '' WHEN 3 THEN concat('F', chr(10), 'Y') ELSE CAST(year AS STRING) END AS fy,
+        CASE WHEN kind=1 THEN '  ' ELSE concat(' Employer ', l_suppkey, ', Inc. ') END AS name,
+        CASE WHEN no_tax THEN 'N/A' ELSE format_number(price, 0) END AS ia,
+        CASE WHEN no_discount THEN '-' ELSE CAST(l_partkey AS STRING) END AS idn,
         CASE WHEN l_linenumber=3 THEN NULL ELSE concat(' ', l_linenumber) END AS ca"""
-    rows = t.spark.sql(f"SELECT l_linenumber, {cells} FROM {{lineitem}}", lineitem=t.lineitem)
-    modern = rows.filter("l_linenumber <= 3").select(
-        F.col("fy").alias("\ufeffFiscal Year"), F.col("name").alias("Employer (Petitioner) Name"),
-        F.col("ia").alias("Initial Approval"), F.col("idn").alias("Initial Denial"),
-        F.col("ca").alias("Continuing Approval"))
-    other = rows.filter("l_linenumber > 3").select(
-        F.col("fy").alias(" fiscal_year"), F.lit("").alias("Employer"),
-        F.col("name").alias("EMPLOYER NAME "), F.col("ia").alias("initial_approval"),
-        F.col("idn").alias("Initial Denials"), F.col("ca").alias("continuing_approval"))
+    numbers = t.spark.sql("""SELECT l_linenumber, year(l_shipdate) AS year, CAST(CASE WHEN l_quantity IN (1, 2, 3) THEN l_quantity ELSE 0 END AS TINYINT) AS kind, l_suppkey, l_tax=0 AS no_tax,
+        CAST(floor(l_extendedprice) AS BIGINT) AS price, l_discount=0 AS no_discount, l_partkey,
+        pmod(xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice), 5) AS share FROM {lineitem}""", lineitem=t.lineitem)
+    fifth = max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 5) if most is None else most // 5
     path = scratch_path(t.spark, "filings-csv")
-    for name, part, files in (("modern", modern, 3), ("other", other, 2)):
-        (part.repartition(files).write.option("escape", '"')
+    for name, of, shares in (("modern", "share < 3", 3), ("other", "share >= 3", 2)):
+        dealt = numbers.filter(of).drop("share").repartition(shares * fifth)
+        rows = t.spark.sql(f"SELECT {cells} FROM {{dealt}}", dealt=dealt)
+        part = rows.select(
+            F.col("fy").alias("\ufeffFiscal Year"), F.col("name").alias("Employer (Petitioner) Name"),
+            F.col("ia").alias("Initial Approval"), F.col("idn").alias("Initial Denial"),
+            F.col("ca").alias("Continuing Approval")) if name == "modern" else rows.select(
+            F.col("fy").alias(" fiscal_year"), F.lit("").alias("Employer"),
+            F.col("name").alias("EMPLOYER NAME "), F.col("ia").alias("initial_approval"),
+            F.col("idn").alias("Initial Denials"), F.col("ca").alias("continuing_approval"))
+        (part.write.option("escape", '"')
          .csv(f"{path}/{name}", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
     return path
 
@@ -215,7 +221,7 @@ def _(t):
     columns = filing_source.read_filings(t.spark, scratch_path(t.spark, "no-filings")).columns
     stored = stored.select("src", *[F.lit(None).alias(c) for c in columns if c != "src"])
     out = []
-    for path in (f"{_filing_files(t)}/*", scratch_path(t.spark, "no-filings")):
+    for path in (f"{_filing_files(t, most=5)}/*", scratch_path(t.spark, "no-filings")):
         state, log = filing_source.filings_load(t.spark, path, stored, at(ORDERS_AS_OF))
         out.append(log.select("source", "ok", "detail", F.lit(state.count()).alias("stored").cast("long")))
     return out[0].unionByName(out[1])
