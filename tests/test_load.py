@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import load
+from tests.conftest import SMALL
 from vacantia.plans import cycle
+from vacantia.plans import ingest as plans
+from vacantia.plans.registry import Tables
 from vacantia.sources import payloads
 from vacantia import schemas
 from vacantia.streaming import ingest
@@ -270,4 +273,9 @@ def test_stream_state_holds_keys_alone(spark, tmp_path):
     assert got == {"1": "2026-01-02 00:00:00", "2": "2026-01-02 00:00:00"}
     state = spark.read.format("statestore").load(marks)
     assert state.filter("key.file IS NULL").count() == 2
-    assert state.filter("size(array_compact(array(value.*))) > 0").count() == 0 if state.schema["value"].dataType.fields else True
+
+
+def test_details_are_built_by_all_tasks(spark):
+    # the small table is one row group, so one task read it and built every body
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plans._details(Tables(spark, SMALL)).rdd.getNumPartitions() == 2 * parts

@@ -13,7 +13,7 @@ from vacantia.plans.enrich import ORDERS_AS_OF, at, companies, jobs
 from vacantia.plans.landing import ANSWERED, BAD_TIME, BODIES, CUT, EXPECTED, EXPECTED_ALL, NAME, landing, ok
 from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import VIEWS
-from vacantia.session import scratch_path, stash
+from vacantia.session import scratch_path, spread, stash
 from vacantia.sources import filings as filing_source
 from vacantia.sources import payloads, watchlist
 from vacantia.streaming import ingest as stream
@@ -118,7 +118,7 @@ def _details(t: Tables, which: str = "WHERE o_orderpriority<>'5-LOW'") -> DataFr
     plain_body = """to_json(named_struct('id', CAST(o_orderkey AS STRING),
         'content', CASE WHEN o_orderkey%2=0 THEN '' ELSE 'Entry level role' END))"""
     base = t.spark.sql(f"""SELECT CAST(o_orderkey AS STRING) AS external_id, {text_body} AS paged, {plain_body} AS plain
-        FROM {{orders}} {which}""", orders=t.orders)
+        FROM {{orders}} {which}""", orders=spread(t.orders))  # a body costs far more than the bytes of its order
 
     def answers(body: str) -> DataFrame:
         """Each answer, an older one of other content, and a newer one that is an error page."""
