@@ -31,6 +31,11 @@ EPOCH_FIRST, EPOCH_LAST = -62_135_596_800, 253_402_300_799
 _JOBS = "struct<jobs:array<variant>,_corrupt_record:string>"
 _PAGE = "struct<totalFound:bigint,offset:bigint,content:array<variant>,_corrupt_record:string>"
 _ROWS = "array<variant>"
+_TIMED = "array<struct<raw:variant,stated:boolean,posted_at:timestamp,shown:boolean>>"
+# what each element is read for before its payload
+_HEADS = {"greenhouse": "first_published:string,updated_at:string", "lever": "createdAt:bigint",
+          "ashby": "publishedAt:string,isListed:variant", "smartrecruiters": "releasedDate:string",
+          "github_repos": "date_posted:bigint,active:variant,is_visible:variant"}
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -38,16 +43,27 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LANDING).json(path)
 
 
+def value_at(raw: Column, path: str, kind: str) -> Column:
+    """The value of a field, NULL where it is missing or of another kind.
+
+    The object is read as a struct of this field: a path that leads nowhere costs many times a field that is NULL.
+    """
+    names, value = path.removeprefix("$.").split("."), kind
+    for name in reversed(names):
+        value = f"struct<`{name}`:{value}>"
+    out = F.try_variant_get(raw, "$", value)
+    for name in names:
+        out = out.getField(name)
+    return out
+
+
 def text_at(raw: Column, path: str) -> Column:
-    return F.try_variant_get(raw, path, "string")
+    return value_at(raw, path, "string")
 
 
-def switched_on(raw: Column, path: str) -> Column:
+def switched_on(flag: Column) -> Column:
     """A flag that defaults to true; an explicit null, false, 0 or '' is off."""
-    flag = F.try_variant_get(raw, path, "variant")
-    text = F.try_variant_get(raw, path, "string")
-    return flag.isNull() | F.coalesce(
-        ~F.is_variant_null(flag) & ~F.lower(text).isin("false", "0", ""), F.lit(False))
+    return F.coalesce(~F.lower(F.try_variant_get(flag, "$", "string")).isin("false", "0", ""), flag.isNull())
 
 
 def instant(text: Column) -> Column:
@@ -55,25 +71,29 @@ def instant(text: Column) -> Column:
     return non_empty(text).try_cast("timestamp")
 
 
-def epoch(raw: Column, path: str, per_second: int) -> Column:
+def epoch(number: Column, per_second: int) -> Column:
     """A non-zero epoch number; what lies outside of the calendar is NULL."""
-    value = F.nullif(F.try_variant_get(raw, path, "bigint"), F.lit(0))
-    return F.when(value.between(EPOCH_FIRST * per_second, EPOCH_LAST * per_second), value)
+    return F.when((number != 0) & number.between(EPOCH_FIRST * per_second, EPOCH_LAST * per_second), number)
 
 
 def answered(status: Column) -> Column:
     return status.between(200, 299)
 
 
+def answers(landing: DataFrame) -> DataFrame:
+    """The answered responses. Only these hold postings; what the rest says is not looked at."""
+    return landing.filter(answered(F.col("status")))
+
+
 def parsed(landing: DataFrame) -> DataFrame:
     """Landing rows with their parsed parts.
 
-    ``elements`` holds the postings, ``total`` and ``page`` the paging fields,
+    ``elements`` holds the postings with their times (see ``_with_times``), ``total`` and ``page`` the paging fields,
     ``readable`` tells whether an answered body parses and all its times are
     times. One that does not is lost with all its elements; others go on.
     """
     in_jobs, in_page = F.col("ats").isin("greenhouse", "ashby"), F.col("ats") == "smartrecruiters"
-    ok, none = answered(F.col("status")), F.array().cast(_ROWS)
+    ok = answered(F.col("status"))
     shapes = landing.withColumns({
         "jobs": F.when(ok & in_jobs, F.from_json("body", _JOBS)),
         "paged": F.when(ok & in_page, F.from_json("body", _PAGE)),
@@ -83,29 +103,40 @@ def parsed(landing: DataFrame) -> DataFrame:
               .otherwise(F.col("rows").isNotNull()))
     elements = (F.when(in_jobs, F.col("jobs.jobs")).when(in_page, F.col("paged.content"))
                 .otherwise(F.col("rows")))
-    listed = F.coalesce(elements, none)
-    readable = ok & intact & F.forall(listed, lambda e: F.coalesce(_timed(e), F.lit(True)))
-    return shapes.select(
-        "ats", "token", "fetched_at", "status", readable.alias("readable"),
-        F.when(readable, listed).otherwise(none).alias("elements"),
+    listed = shapes.select(
+        "ats", "token", "fetched_at", "status", (ok & intact).alias("intact"),
+        _with_times(F.coalesce(elements, F.array().cast(_ROWS))).alias("listed"),
         F.coalesce("paged.totalFound", F.lit(0)).alias("total"),
         F.coalesce("paged.offset", F.lit(0)).alias("page"))
+    readable = F.col("intact") & F.forall("listed", lambda e: F.coalesce(~e.stated | e.posted_at.isNotNull(), F.lit(True)))
+    return listed.select(
+        "ats", "token", "fetched_at", "status", readable.alias("readable"),
+        F.when(readable, F.col("listed")).otherwise(F.array().cast(_TIMED)).alias("elements"), "total", "page")
 
 
-def _timed(raw: Column) -> Column:
-    """Whether the posting time of an element is missing or a time."""
-    def iso(text: Column) -> Column:
-        return non_empty(text).isNull() | instant(text).isNotNull()
+def _with_times(elements: Column) -> Column:
+    """Elements as ``(raw, stated, posted_at, shown)``.
+
+    ``stated`` tells whether there is a posting time, ``posted_at`` is the time if it is one, ``shown`` whether the provider
+    still shows the posting. Reading a variant costs more than all that follows, so these fields are read at once
+    and held by one transform; an expression that names them twice would read them twice.
+    """
+    read = F.transform(elements, lambda e: F.struct(
+        e.alias("raw"), *[F.when(F.col("ats") == ats, F.try_variant_get(e, "$", f"struct<{fields}>")).alias(ats)
+                          for ats, fields in _HEADS.items()]))
+    return F.transform(read, _head)
 
-    def number(path: str, per_second: int) -> Column:
-        value = F.coalesce(F.try_variant_get(raw, path, "bigint"), F.lit(0))
-        return (value == 0) | epoch(raw, path, per_second).isNotNull()
 
-    return _by_provider({
-        "greenhouse": iso(first_non_empty(text_at(raw, "$.first_published"), text_at(raw, "$.updated_at"))),
-        "lever": number("$.createdAt", 1000), "ashby": iso(text_at(raw, "$.publishedAt")),
-        "smartrecruiters": iso(text_at(raw, "$.releasedDate")),
-        "github_repos": number("$.date_posted", 1)})
+def _head(e: Column) -> Column:
+    text = _by_provider({"greenhouse": first_non_empty(e.greenhouse.first_published, e.greenhouse.updated_at),
+                         "ashby": e.ashby.publishedAt, "smartrecruiters": e.smartrecruiters.releasedDate})
+    number = _by_provider({"lever": e.lever.createdAt, "github_repos": e.github_repos.date_posted})
+    posted = _by_provider({"lever": F.timestamp_millis(epoch(number, 1000)),
+                           "github_repos": F.timestamp_seconds(epoch(number, 1))}, instant(text))
+    shown = _by_provider({"ashby": switched_on(e.ashby.isListed),
+                          "github_repos": switched_on(e.github_repos.active) & switched_on(e.github_repos.is_visible)}, F.lit(True))
+    return F.struct(e.raw.alias("raw"), (non_empty(text).isNotNull() | (number != 0)).alias("stated"),
+                    posted.alias("posted_at"), shown.alias("shown"))
 
 
 # --- fields per provider ----------------------------------------------------------
@@ -114,9 +145,7 @@ def _greenhouse(raw: Column) -> dict[str, Column]:
     return {
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
         "location": text_at(raw, "$.location.name"), "url": text_at(raw, "$.absolute_url"),
-        "description": text_at(raw, "$.content"),
-        "posted_at": instant(first_non_empty(text_at(raw, "$.first_published"),
-                                             text_at(raw, "$.updated_at")))}
+        "description": text_at(raw, "$.content")}
 
 
 def _lever(raw: Column) -> dict[str, Column]:
@@ -124,8 +153,7 @@ def _lever(raw: Column) -> dict[str, Column]:
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.text"),
         "location": text_at(raw, "$.categories.location"), "url": text_at(raw, "$.hostedUrl"),
         "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                                  text_at(raw, "$.description")),
-        "posted_at": F.timestamp_millis(epoch(raw, "$.createdAt", 1000))}
+                                  text_at(raw, "$.description"))}
 
 
 def _ashby(raw: Column) -> dict[str, Column]:
@@ -133,8 +161,7 @@ def _ashby(raw: Column) -> dict[str, Column]:
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
         "location": text_at(raw, "$.location"), "url": text_at(raw, "$.jobUrl"),
         "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                                  text_at(raw, "$.descriptionHtml")),
-        "posted_at": instant(text_at(raw, "$.publishedAt"))}
+                                  text_at(raw, "$.descriptionHtml"))}
 
 
 def _smartrecruiters(raw: Column) -> dict[str, Column]:
@@ -145,37 +172,27 @@ def _smartrecruiters(raw: Column) -> dict[str, Column]:
         "location": F.coalesce(non_empty(text_at(raw, "$.location.fullLocation")),
                                text_at(raw, "$.location.city")),
         "url": F.concat(F.lit(fv.SMARTRECRUITERS_URL), F.col("token"), F.lit("/"), job),
-        "description": F.lit(None).cast("string"),
-        "posted_at": instant(text_at(raw, "$.releasedDate"))}
+        "description": F.lit(None).cast("string")}
 
 
 def _listing(raw: Column) -> dict[str, Column]:
-    places = F.try_variant_get(raw, "$.locations", "array<string>")
+    places = value_at(raw, "$.locations", "array<string>")
     return {
         "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
         "location": non_empty(F.array_join(places, ", ")), "url": text_at(raw, "$.url"),
-        "description": F.lit(None).cast("string"), "posted_at": F.timestamp_seconds(epoch(raw, "$.date_posted", 1))}
+        "description": F.lit(None).cast("string")}
 
 
 FIELDS = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby,
           "smartrecruiters": _smartrecruiters, "github_repos": _listing}
 
 
-def _shown(raw: Column) -> Column:
-    """Whether the provider still shows the posting."""
-    ats = F.col("ats")
-    return (F.when(ats == "ashby", switched_on(raw, "$.isListed"))
-            .when(ats == "github_repos",
-                  switched_on(raw, "$.active") & switched_on(raw, "$.is_visible"))
-            .otherwise(F.lit(True)))
-
-
-def _by_provider(values: dict[str, Column]) -> Column:
+def _by_provider(values: dict[str, Column], other: Column | None = None) -> Column:
     (ats, value), *rest = values.items()
     out = F.when(F.col("ats") == ats, value)
     for ats, value in rest:
         out = out.when(F.col("ats") == ats, value)
-    return out
+    return out if other is None else out.otherwise(other)
 
 
 def typed(landing: DataFrame) -> DataFrame:
@@ -184,10 +201,10 @@ def typed(landing: DataFrame) -> DataFrame:
     A response without elements keeps one row with a NULL position, so boards
     and outcomes can be told from the same table. ``shown`` marks postings.
     """
-    raw, ats = F.col("raw"), F.col("ats")
+    raw, ats = F.col("element.raw"), F.col("ats")
     rows = parsed(landing).select(
         "ats", "token", "fetched_at", "status", "readable", "page",
-        F.posexplode_outer("elements").alias("position", "raw"))
+        F.posexplode_outer("elements").alias("position", "element"))
     fields = {name: of(raw) for name, of in FIELDS.items()}
     company = (F.when(ats.isin("greenhouse", "github_repos"), text_at(raw, "$.company_name"))
                .when(ats == "smartrecruiters", text_at(raw, "$.company.name")))
@@ -196,8 +213,8 @@ def typed(landing: DataFrame) -> DataFrame:
         "ats", "token", "fetched_at", "position",
         *[_by_provider({a: f[n] for a, f in fields.items()}).alias(n)
           for n in fields["greenhouse"]],
-        "raw", "status", "readable", "page", company.alias("company"),
-        (F.col("position").isNotNull() & _shown(raw)).alias("shown"))
+        F.col("element.posted_at").alias("posted_at"), raw.alias("raw"), "status", "readable", "page", company.alias("company"),
+        (F.col("position").isNotNull() & F.col("element.shown")).alias("shown"))
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -207,7 +224,7 @@ def postings(rows: DataFrame) -> DataFrame:
 
 def all_postings(landing: DataFrame) -> DataFrame:
     """Every provider in one shape."""
-    return postings(typed(landing)).drop("company", "page")
+    return postings(typed(answers(landing))).drop("company", "page")
 
 
 def postings_of(landing: DataFrame, ats: str) -> DataFrame:
