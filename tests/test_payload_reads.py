@@ -35,6 +35,22 @@ def test_only_answers_are_read(landing):
     assert "Filter" in text.split("Generate")[1].split("from_json")[-1]
 
 
+def test_boards_parse_a_body_once(landing):
+    # by shape: an object with jobs, a page, an array
+    assert plan(payloads.board_companies(payloads.typed(landing))).count("from_json(") == 3
+
+
+def test_unreadable_page_does_not_join_two_runs(spark):
+    def page(minute, name, body=None):
+        return ("smartrecruiters", "sn", minute, 200, body or {"offset": minute, "totalFound": 1, "content": [
+            {"id": name, "company": {"name": name}}]})
+    rows = payloads.typed(landed(spark, page(0, "First"), page(4, "", "<html>"), page(8, "Second")))
+    names = {r.fetched_at.minute: r.name for r in payloads.board_companies(rows).collect()}
+    assert names == {0: "First", 8: "Second"}
+    rows = payloads.typed(landed(spark, page(0, "First"), page(4, "", {"content": []}), page(8, "Second")))
+    assert {r.name for r in payloads.board_companies(rows).collect()} == {"First"}
+
+
 def test_flags_and_times_of_odd_kinds(spark):
     flags = [True, "true", 1, "x", [0], {"a": 1}, False, "False", 0, "0", "", None]
     jobs = [{"id": str(i), "isListed": f} for i, f in enumerate(flags)] + [{"id": "none"}]

@@ -260,9 +260,10 @@ def board_companies(rows: DataFrame) -> DataFrame:
     """
     named = (F.col("ats") != "smartrecruiters") | F.col("position").isNotNull()
     own = F.when(F.col("ats").isin("greenhouse", "smartrecruiters"), F.col("company"))
-    pages = (_per_response(rows).filter((F.col("ats") != "github_repos") & F.col("readable"))
-             .select("ats", "token", "fetched_at", F.when(named, F.struct("page", "fetched_at", own.alias("own"))).alias("p")))
-    times = pages.groupBy("ats", "token", "fetched_at").agg(F.min("p").alias("p"))
+    page = F.when(named & F.col("readable"), F.struct("page", "fetched_at", own.alias("own")))
+    # a filter on what the parse tells would be moved below it, and each body parsed twice; so it comes after the aggregate
+    times = (_per_response(answers(rows)).filter(F.col("ats") != "github_repos").groupBy("ats", "token", "fetched_at")
+             .agg(F.min(page).alias("p"), F.bool_or("readable").alias("any")).filter("any").drop("any"))
     runs = with_run(times, "ats", "token")
     first = F.min("p").over(Window.partitionBy("ats", "token", "run"))
     return (runs.withColumn("first", first).filter("first IS NOT NULL")
