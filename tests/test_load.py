@@ -279,3 +279,62 @@ def test_details_are_built_by_all_tasks(spark):
     # the small table is one row group, so one task read it and built every body
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert plans._details(Tables(spark, SMALL)).rdd.getNumPartitions() == 2 * parts
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    before = shuffle_files(spark)
+    rows = cycle.stash(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and rows.count() == 7
+
+
+def test_a_poll_saves_payloads_once_and_no_ids_that_can_be_made(spark, tmp_path, monkeypatch):
+    saved, stash = {}, cycle.stash
+    monkeypatch.setattr(cycle, "stash", lambda df, label: saved.setdefault(label, stash(df, label)))
+    loose = json.dumps([{"text": "SWE New Grad", "hostedUrl": "https://l/x"}])
+    drop(tmp_path, "1.json", "2026-01-01T00:00:00Z", ("acme", lever_body("1", "2")), ("old", lever_body("3")), ("loose", loose))
+    old = spark.createDataFrame([("own", "old", "old")], "id string, name string, name_normalized string")
+    old = old.withColumns({c: F.lit(None).cast("string") for c in ("ats_type", "ats_token", "sponsor_status")}).withColumn(
+        "sponsor_score", F.lit(None).cast("decimal(4,3)"))
+    keys = spark.createDataFrame([], "source string, external_id string")
+    done = cycle.poll(payloads.read_landing(spark, str(tmp_path)), old, keys, F.lit("2026-01-03").cast("timestamp"))
+    assert [label for label, df in saved.items() if "raw" in df.columns] == ["cycle-rows"]
+    assert sorted(map(tuple, saved["cycle-inserted"].select("external_id", "own_id").collect()), key=str) == [
+        ("1", None), ("2", None), ("3", "own"), (None, None)]
+    def key(source, external_id, *rest):
+        return load.job_id(F.lit(source), F.lit(external_id), *map(F.lit, rest))
+    ids = spark.range(1).select(key("lever", "1"), key("lever", "2"), key("lever", "3"),
+                                key("lever", None, "https://l/x", "SWE New Grad", None), load.company_id(F.lit("acme")),
+                                load.company_id(F.lit("loose"))).first()
+    rows = {r.external_id: r for r in done.new_jobs.collect()}
+    assert [rows[x].id for x in ("1", "2", "3", None)] == list(ids[:4])
+    assert [rows[x].company_id for x in ("1", "2", "3", None)] == [ids[4], ids[4], "own", ids[5]]
+    assert rows[None].title == "SWE New Grad" and rows[None].raw is not None and rows[None].is_new_grad
+    # keys and flags alone do not meet the payload
+    plan = done.new_jobs.select("source", "external_id", "is_new_grad")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_first_arrival_of_rows_with_a_payload(spark):
+    rows = spark.sql("""SELECT 'lever' AS source, cast(id % 3 AS string) AS external_id, 10 - id AS n, 'b' || id AS other,
+        parse_json(concat('{"n":', id, '}')) AS raw FROM range(9)""")
+    wide = {r.external_id: (r.n, r.other) for r in load.first_arrivals(rows, ["n"]).collect()}
+    narrow = {r.external_id: (r.n, r.other) for r in load.first_arrivals(rows.drop("raw"), ["n"]).collect()}
+    assert wide == narrow == {"0": (4, "b6"), "1": (3, "b7"), "2": (2, "b8")}
+    assert load.first_arrivals(rows, ["n"]).columns == rows.columns
+
+
+def test_large_lookups_are_not_collected(spark, tmp_path):
+    spark.range(10).select(F.lit("x").alias("id"), F.col("id").cast("string").alias("name_normalized")).write.parquet(str(tmp_path / "c"))
+    rows = load.with_company_id(spark.range(5).select(F.col("id").cast("string").alias("name")), spark.read.parquet(str(tmp_path / "c")))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 5

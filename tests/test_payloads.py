@@ -127,3 +127,23 @@ def test_section_text_in_document_order(spark, sections, want):
     assert (row.description, row.url) == (want, "https://exact")
     none = spark.createDataFrame([("1", "{}")], "external_id string, body string")
     assert payloads.smartrecruiters_details(none).first().description == ""
+
+
+def test_whole_rows_equal_rows_read_by_field(spark):
+    from datetime import datetime
+
+    from vacantia import schemas
+
+    odd = [{"id": 7, "title": ["x"], "text": 3.5, "name": None, "location": "text", "company": 4, "categories": {"location": {"a": 1}},
+            "descriptionPlain": "", "description": "d", "absolute_url": True, "locations": ["a", 1]},
+           {"id": {"a": 1}, "title": "t", "location": {"name": 5, "city": "c", "fullLocation": ""}, "company": {"name": "n"},
+            "locations": "here", "company_name": 9}, "no object", None, [], {}]
+    rows = [(ats, "t", datetime(2026, 1, 1), 200, json.dumps(body)) for ats, body in [
+        ("greenhouse", {"jobs": odd}), ("ashby", {"jobs": odd}), ("lever", odd), ("github_repos", odd),
+        ("smartrecruiters", {"totalFound": 6, "offset": 0, "content": odd})]]
+    landed = spark.createDataFrame(rows, schemas.LANDING)
+
+    def got(whole):
+        out = payloads.typed(landed, whole)
+        return sorted((str(r) for r in out.withColumn("raw", F.to_json("raw")).collect()))
+    assert got(True) == got(False) and len(got(True)) == 30

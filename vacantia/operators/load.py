@@ -31,8 +31,12 @@ def company_id(name_normalized: Column) -> Column:
 def first_arrivals(arrivals: DataFrame, order_by: list[str], keys: tuple[str, ...] = JOB_KEY) -> DataFrame:
     """The first arrival per key; copies of a key are combined before the shuffle. No key is NULL."""
     rest = [c for c in arrivals.columns if c not in keys]
-    return (arrivals.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r"))
-            .select(*keys, "r.*"))
+    first = F.min_by(F.struct(*rest), F.struct(*order_by))
+    kinds = " ".join(t for _, t in arrivals.dtypes)
+    if set(order_by) <= set(rest) and "variant" not in kinds and "map<" not in kinds:
+        # the same row, without the columns of the order twice; only types that can be compared allow it
+        first = F.min(F.struct(*order_by, *[c for c in rest if c not in order_by]))
+    return arrivals.groupBy(*keys).agg(first.alias("r")).select(*keys, *[f"r.{c}" for c in rest])
 
 
 def insert_if_absent(arrivals: DataFrame, stored: DataFrame | KeyStore, order_by: list[str],
@@ -70,11 +74,12 @@ def one_per_key(rows: DataFrame, order_by: list[str], keys: tuple[str, ...] = JO
             .unionByName(first.select(*rows.columns)))
 
 
-def upsert_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_companies(stored: DataFrame, incoming: DataFrame, saved_as: str | None = None) -> DataFrame:
     """New company state from ``incoming(name, ats_type, ats_token, seq)``.
 
     The first name stays. Board type and token change only to a non-empty
-    value, so a source without boards cannot erase a token.
+    value, so a source without boards cannot erase a token. With ``saved_as``
+    the state is written under that label, without the ids that follow from the names.
     """
     own = [c for c in stored.columns
            if c not in ("name", "name_normalized", "ats_type", "ats_token")]
@@ -96,6 +101,8 @@ def upsert_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
               .agg(F.min_by("name", order).alias("name"), latest("ats_type"),
                    latest("ats_token"),
                    F.max_by("own", F.when(F.col("own").isNotNull(), 1)).alias("own")))
+    if saved_as is not None:
+        merged = stash(merged, saved_as)
     fill = {"id": company_id(F.col("name_normalized")), "sponsor_status": F.lit("unknown")}
     return merged.select(*[
         F.coalesce(F.col(f"own.{c}"), fill[c]).alias(c) if c in own and c in fill
@@ -104,20 +111,32 @@ def upsert_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def with_company_id(postings: DataFrame, companies: DataFrame) -> DataFrame:
-    """Look up ``company_id`` by normalized name; the lookup side is unique."""
+    """Look up ``company_id`` by normalized name; the lookup side is unique.
+
+    Postings that bring ``name_normalized`` are looked up by it, others by their ``name``. Companies
+    compress well and grow with the boards, so their size in files must not make the driver collect them.
+    """
     lookup = companies.select(F.col("id").alias("company_id"), "name_normalized")
-    keyed = postings.withColumn("name_normalized", normalize_company(F.col("name")))
-    return keyed.join(lookup, "name_normalized")
+    keyed = (postings if "name_normalized" in postings.columns
+             else postings.withColumn("name_normalized", normalize_company(F.col("name"))))
+    return keyed.join(lookup.hint("merge"), "name_normalized")
+
+
+def posting_id() -> Column:
+    """``job_id`` of a posting."""
+    return job_id(F.col("source"), F.col("external_id"), F.col("url"), F.col("title"), F.col("posted_at").cast("string"))
 
 
 def new_job_rows(postings: DataFrame, seen_at: Column) -> DataFrame:
-    """Fill the load-time defaults of a job row."""
+    """Fill the load-time defaults of a job row; ``id`` and ``is_new_grad`` are taken from postings that have them."""
+    def given(name: str, value: Column) -> Column:
+        return (F.col(name) if name in postings.columns else value).alias(name)
+
     return postings.select(
-        job_id(F.col("source"), F.col("external_id"), F.col("url"), F.col("title"),
-               F.col("posted_at").cast("string")).alias("id"),
+        given("id", posting_id()),
         "company_id", "source", "external_id", "title", "location", "url", "description",
         "posted_at", seen_at.alias("first_seen_at"), "raw",
-        is_new_grad(F.col("title"), F.col("description")).alias("is_new_grad"),
+        given("is_new_grad", is_new_grad(F.col("title"), F.col("description"))),
         F.lit("new").alias("status"), F.lit(None).cast("string").alias("note"),
         "ats", "token", "fetched_at", "page", "position", _insert_rank().alias("insert_rank"))
 

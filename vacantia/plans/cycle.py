@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fv
+from vacantia.functions.text import is_new_grad, normalize_company
 from vacantia.operators import alerts, load, runlog
 from vacantia.operators.keystore import KeyStore
 from vacantia.session import stash
 from vacantia.sources import payloads
 
 ORDER = ["fetched_at", "ats", "token", "page", "position"]
-_RESPONSE = ["ats", "token", "fetched_at"]
-# what tells a new posting from others; several responses may share token and time
-_POSTING = [*_RESPONSE, "page", "position", "external_id", "said"]
+# what a posting is told by; all else of it is its payload and stays where it was saved
+_TOLD = [*load.JOB_KEY, *ORDER, "row", "company", "posted_at", "is_new_grad", "loose_id"]
+_PAYLOAD = ["title", "location", "url", "description", "raw"]
 
 
 class Cycle(NamedTuple):
@@ -34,52 +33,64 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame | KeyStor
     """Parse, name, upsert, look up, classify, insert, add details, select alerts, count.
 
     ``job_keys(source, external_id)`` are the stored postings, as a table or as a
-    ``KeyStore``, to which the caller adds the new rows when they are written. Keys come first:
-    one parse of the landing table saves keys, order and place of each posting,
-    without its payload, and new keys are found there. Only responses that hold
-    a new posting are parsed again for the payload; while these are few, no
-    payload is shuffled or saved but that of the new rows. ``details`` (see
-    ``load.apply_details``) are taken for the new rows that ``detail_selection``
-    chooses, before the alerts look at the flag. Boards of ``watchlist`` that
-    did not answer count as failed.
+    ``KeyStore``, to which the caller adds the new rows when they are written. The
+    landing table is parsed once and its typed rows are saved, each under a row
+    number. All steps move narrow columns and these numbers; the payload is
+    written once and meets the new rows where they are used, by number, with the
+    columns that are asked for. Ids that follow from a key or a name are made
+    when they are read and not saved. ``details`` (see ``load.apply_details``) are
+    taken for the new rows that ``detail_selection`` chooses, before the alerts
+    look at the flag. Boards of ``watchlist`` that did not answer count as failed.
     """
-    rows = stash(payloads.typed(landing).select(*payloads.KEYS), "cycle-rows")
-    boards = stash(payloads.board_companies(rows), "cycle-boards")
-    state = stash(load.upsert_companies(companies, payloads.company_sightings(rows, boards)),
-                  "cycle-companies")
-    arrivals = payloads.postings(rows).filter(payloads.has_company())
-    fresh = stash(load.insert_if_absent(arrivals, job_keys, ORDER), "cycle-fresh")
-    named = payloads.with_company_name(fresh.withColumn("said", F.col("company")), boards)
-    chosen = stash(load.with_company_id(named, state).select(*_POSTING, "company_id").distinct(), "cycle-chosen")
-    # while most responses hold a new posting, choosing them first would only shuffle their bodies
-    responses = [t.agg(F.approx_count_distinct(F.struct(*_RESPONSE))).first()[0] for t in (chosen, rows)]
-    inserted = stash(load.new_job_rows(_payloads_of(chosen, landing, responses[0] * 2 < responses[1]), as_of),
-                     "cycle-inserted")
-    new_jobs = load.one_per_key(inserted, ORDER)
+    rows = stash(_numbered(payloads.typed(landing, whole=True)), "cycle-rows")
+    boards = stash(payloads.board_companies(rows).withColumn("name_normalized", normalize_company(F.col("name"))), "cycle-boards")
+    state = load.upsert_companies(companies, payloads.company_sightings(rows, boards), "cycle-companies")
+    arrivals = payloads.postings(rows).filter(payloads.has_company()).select(*_TOLD)
+    fresh = stash(load.insert_if_absent(arrivals, job_keys, [*ORDER, "row"]), "cycle-fresh")
+    named = load.with_company_id(_normalized(payloads.with_company_name(fresh, boards)), state)
+    by_name = load.company_id(F.col("name_normalized"))
+    own_id = F.when(F.col("company_id") != by_name, F.col("company_id")).alias("own_id")
+    inserted = stash(named.select(*[c for c in _TOLD if c != "company"], "name_normalized", own_id), "cycle-inserted")
+    found = inserted.withColumns({
+        "company_id": F.coalesce("own_id", by_name),
+        "id": F.coalesce("loose_id", load.job_id(F.col("source"), F.col("external_id")))})
+    new_jobs = load.new_job_rows(found.join(_payload(rows), "row", "left"), as_of)
     if details is not None:
         wanted = load.detail_selection(new_jobs).select(*load.JOB_KEY)
         # only rows of providers with details meet them
         may = F.col("source").isin(*fv.DETAIL_CAPS)
         told = load.apply_details(new_jobs.filter(may), details.join(wanted, list(load.JOB_KEY), "left_semi"))
         new_jobs = told.unionByName(new_jobs.filter(~F.coalesce(may, F.lit(False))))
-    if new_jobs is not inserted:
-        new_jobs = stash(new_jobs, "cycle-new")
     sent = alerts.select_alerts(new_jobs, state, run=("source",), notified=notified,
                                 insert_order=("token", "insert_rank", "fetched_at", "page", "position", "id"))
     log = runlog.poll_summary(payloads.board_status(rows), new_jobs, ran_at=as_of, watchlist=watchlist)
     return Cycle(state, new_jobs, sent, log)
 
 
-def _payloads_of(chosen: DataFrame, landing: DataFrame, few: bool) -> DataFrame:
-    """The chosen postings with their payload; a response that landed twice gives both copies.
+def _normalized(postings: DataFrame) -> DataFrame:
+    """Named postings by normalized name. Boards bring theirs, made once for all of their postings; listings bring a name only."""
+    return (postings.withColumn("name_normalized", F.coalesce("name_normalized", normalize_company(F.col("name"))))
+            .drop("name"))
 
-    While ``few`` responses are concerned, only these are parsed.
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Typed rows with a number, the new-grad flag and, where there is no key to make it from, the id.
+
+    What is no posting carries no payload.
+    """
+    shown = F.col("shown")
+    return rows.withColumns({
+        "row": F.monotonically_increasing_id(),
+        "is_new_grad": F.when(shown, is_new_grad(F.col("title"), F.col("description"))),
+        "loose_id": F.when(shown & F.col("external_id").isNull(), load.posting_id()),
+    }).withColumns({c: F.when(shown, F.col(c)) for c in _PAYLOAD})
+
+
+def _payload(rows: DataFrame) -> DataFrame:
+    """The payload per row number.
+
+    Numbers are unique; grouped by them, a reader that asks for no payload is known to lose no row without this side,
+    and the planner leaves it out.
     """
-    def joined(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
-        named = right.withColumnsRenamed({c: f"chosen_{c}" for c in columns})
-        on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"chosen_{c}")) for c in columns])
-        return left.join(named, on, how)
-
-    landed = joined(landing, chosen.select(*_RESPONSE).distinct(), _RESPONSE, "left_semi") if few else landing
-    found = payloads.postings(payloads.typed(landed)).withColumnRenamed("company", "said")
-    return joined(found, chosen, _POSTING, "inner").select(*found.columns, "company_id")
+    return (rows.filter("shown").select("row", *_PAYLOAD).repartition("row").groupBy("row")
+            .agg(*[F.first(c).alias(c) for c in _PAYLOAD]))

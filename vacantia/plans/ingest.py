@@ -386,7 +386,7 @@ def _cycle(t: Tables, keys: DataFrame | KeyStore | None = None, details: DataFra
 def _(t):
     done = _cycle(t)
     names = done.companies.select(F.col("id").alias("company_id"), F.col("name_normalized").alias("company"))
-    return (done.new_jobs.join(names, "company_id")
+    return (done.new_jobs.join(names.hint("merge"), "company_id")
             .select("source", "external_id", "company", "is_new_grad", "status"))
 
 

@@ -9,6 +9,8 @@ board names and outcomes are read off that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,52 +143,72 @@ def _head(e: Column) -> Column:
 
 # --- fields per provider ----------------------------------------------------------
 
-def _greenhouse(raw: Column) -> dict[str, Column]:
+# ``at`` gives the value of a path, text unless another kind is named
+
+def _greenhouse(at: Callable[..., Column]) -> dict[str, Column]:
     return {
-        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
-        "location": text_at(raw, "$.location.name"), "url": text_at(raw, "$.absolute_url"),
-        "description": text_at(raw, "$.content")}
+        "external_id": at("$.id"), "title": at("$.title"),
+        "location": at("$.location.name"), "url": at("$.absolute_url"),
+        "description": at("$.content"), "company": at("$.company_name")}
 
 
-def _lever(raw: Column) -> dict[str, Column]:
+def _lever(at: Callable[..., Column]) -> dict[str, Column]:
     return {
-        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.text"),
-        "location": text_at(raw, "$.categories.location"), "url": text_at(raw, "$.hostedUrl"),
-        "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                                  text_at(raw, "$.description"))}
+        "external_id": at("$.id"), "title": at("$.text"),
+        "location": at("$.categories.location"), "url": at("$.hostedUrl"),
+        "description": F.coalesce(non_empty(at("$.descriptionPlain")), at("$.description")),
+        "company": F.lit(None).cast("string")}
 
 
-def _ashby(raw: Column) -> dict[str, Column]:
+def _ashby(at: Callable[..., Column]) -> dict[str, Column]:
     return {
-        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
-        "location": text_at(raw, "$.location"), "url": text_at(raw, "$.jobUrl"),
-        "description": F.coalesce(non_empty(text_at(raw, "$.descriptionPlain")),
-                                  text_at(raw, "$.descriptionHtml"))}
+        "external_id": at("$.id"), "title": at("$.title"),
+        "location": at("$.location"), "url": at("$.jobUrl"),
+        "description": F.coalesce(non_empty(at("$.descriptionPlain")), at("$.descriptionHtml")),
+        "company": F.lit(None).cast("string")}
 
 
-def _smartrecruiters(raw: Column) -> dict[str, Column]:
+def _smartrecruiters(at: Callable[..., Column]) -> dict[str, Column]:
     """The list has no description and no posting URL."""
-    job = text_at(raw, "$.id")
+    job = at("$.id")
     return {
-        "external_id": job, "title": text_at(raw, "$.name"),
-        "location": F.coalesce(non_empty(text_at(raw, "$.location.fullLocation")),
-                               text_at(raw, "$.location.city")),
+        "external_id": job, "title": at("$.name"),
+        "location": F.coalesce(non_empty(at("$.location.fullLocation")), at("$.location.city")),
         "url": F.concat(F.lit(fv.SMARTRECRUITERS_URL), F.col("token"), F.lit("/"), job),
-        "description": F.lit(None).cast("string")}
+        "description": F.lit(None).cast("string"), "company": at("$.company.name")}
 
 
-def _listing(raw: Column) -> dict[str, Column]:
-    places = value_at(raw, "$.locations", "array<string>")
+def _listing(at: Callable[..., Column]) -> dict[str, Column]:
+    places = at("$.locations", "array<string>")
     return {
-        "external_id": text_at(raw, "$.id"), "title": text_at(raw, "$.title"),
-        "location": non_empty(F.array_join(places, ", ")), "url": text_at(raw, "$.url"),
-        "description": F.lit(None).cast("string")}
+        "external_id": at("$.id"), "title": at("$.title"),
+        "location": non_empty(F.array_join(places, ", ")), "url": at("$.url"),
+        "description": F.lit(None).cast("string"), "company": at("$.company_name")}
 
 
 FIELDS = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby,
           "smartrecruiters": _smartrecruiters, "github_repos": _listing}
 
 
+def _struct_type(of: Callable[[Callable[..., Column]], dict[str, Column]]) -> str:
+    """Type of a struct that holds every field that ``of`` asks for."""
+    tree: dict = {}
+
+    def noted(path: str, kind: str = "string") -> Column:
+        *above, last = path.removeprefix("$.").split(".")
+        node = tree
+        for name in above:
+            node = node.setdefault(name, {})
+        node[last] = kind
+        return F.lit(None).cast(kind)
+
+    def text(node: dict) -> str:
+        return "struct<" + ",".join(f"`{k}`:{v if isinstance(v, str) else text(v)}" for k, v in node.items()) + ">"
+
+    of(noted)
+    return text(tree)
+
+
 def _by_provider(values: dict[str, Column], other: Column | None = None) -> Column:
     (ats, value), *rest = values.items()
     out = F.when(F.col("ats") == ats, value)
@@ -195,25 +217,34 @@ def _by_provider(values: dict[str, Column], other: Column | None = None) -> Colu
     return out if other is None else out.otherwise(other)
 
 
-def typed(landing: DataFrame) -> DataFrame:
+def typed(landing: DataFrame, whole: bool = False) -> DataFrame:
     """One pass over the landing table: a typed row per element.
 
     A response without elements keeps one row with a NULL position, so boards
     and outcomes can be told from the same table. ``shown`` marks postings.
+    Fields are read one by one, so that those that nobody asks for are not read;
+    a caller that needs the ``whole`` row has them read at once, which costs about as much as one of them.
     """
     raw, ats = F.col("element.raw"), F.col("ats")
     rows = parsed(landing).select(
         "ats", "token", "fetched_at", "status", "readable", "page",
         F.posexplode_outer("elements").alias("position", "element"))
-    fields = {name: of(raw) for name, of in FIELDS.items()}
-    company = (F.when(ats.isin("greenhouse", "github_repos"), text_at(raw, "$.company_name"))
-               .when(ats == "smartrecruiters", text_at(raw, "$.company.name")))
+    if whole:
+        rows = rows.select("*", *[F.when(ats == a, F.try_variant_get(raw, "$", _struct_type(of))).alias(f"of_{a}")
+                                  for a, of in FIELDS.items()])
+
+    def reader(a: str) -> Callable[..., Column]:
+        if not whole:
+            return lambda path, kind="string": value_at(raw, path, kind)
+        return lambda path, kind="string": F.col(f"of_{a}.{path.removeprefix('$.')}")
+
+    fields = {a: of(reader(a)) for a, of in FIELDS.items()}
+    named = {n: _by_provider({a: f[n] for a, f in fields.items()}).alias(n) for n in fields["greenhouse"]}
+    company = named.pop("company")
     return rows.select(
         _by_provider({a: F.lit(s) for a, s in SOURCE_OF.items()}).alias("source"),
-        "ats", "token", "fetched_at", "position",
-        *[_by_provider({a: f[n] for a, f in fields.items()}).alias(n)
-          for n in fields["greenhouse"]],
-        F.col("element.posted_at").alias("posted_at"), raw.alias("raw"), "status", "readable", "page", company.alias("company"),
+        "ats", "token", "fetched_at", "position", *named.values(),
+        F.col("element.posted_at").alias("posted_at"), raw.alias("raw"), "status", "readable", "page", company,
         (F.col("position").isNotNull() & F.col("element.shown")).alias("shown"))
 
 
@@ -262,8 +293,9 @@ def board_companies(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("ats").isin("greenhouse", "smartrecruiters"), F.col("company"))
     page = F.when(named & F.col("readable"), F.struct("page", "fetched_at", own.alias("own")))
     # a filter on what the parse tells would be moved below it, and each body parsed twice; so it comes after the aggregate
-    times = (_per_response(answers(rows)).filter(F.col("ats") != "github_repos").groupBy("ats", "token", "fetched_at")
-             .agg(F.min(page).alias("p"), F.bool_or("readable").alias("any")).filter("any").drop("any"))
+    # dealt by board, responses need no further shuffle for the runs of their board
+    times = (_per_response(answers(rows)).filter(F.col("ats") != "github_repos").repartition("ats", "token")
+             .groupBy("ats", "token", "fetched_at").agg(F.min(page).alias("p"), F.bool_or("readable").alias("any")).filter("any").drop("any"))
     runs = with_run(times, "ats", "token")
     first = F.min("p").over(Window.partitionBy("ats", "token", "run"))
     return (runs.withColumn("first", first).filter("first IS NOT NULL")
@@ -280,11 +312,11 @@ def with_company_name(rows: DataFrame, boards: DataFrame) -> DataFrame:
     """Attach the company name each posting belongs to.
 
     Listings name their company themselves and stay out of the join, where all
-    rows of a listing file would meet under one key.
+    rows of a listing file would meet under one key. What else ``boards`` tell is NULL for them.
     """
     listing = F.coalesce(F.col("ats") == "github_repos", F.lit(False))
     of_boards = rows.filter(~listing).drop("company").join(boards, ["ats", "token", "fetched_at"], "left")
-    return of_boards.unionByName(rows.filter(listing).withColumnRenamed("company", "name"))
+    return of_boards.unionByName(rows.filter(listing).withColumnRenamed("company", "name"), allowMissingColumns=True)
 
 
 def company_sightings(rows: DataFrame, boards: DataFrame) -> DataFrame:
