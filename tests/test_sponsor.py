@@ -137,3 +137,69 @@ def test_settled_names_are_not_searched_again(spark, monkeypatch):
     got = [tuple(r) for r in sponsor.best_employer(names, employers).select("name_normalized", "employer_norm").collect()]
     assert got == [("blue data systems bkd", "blue data systems bk")]
     assert asked[max(asked)] == ["blue data systems bkd", "red iron"] and asked[min(asked)] == ["red iron"]
+
+
+def test_parity_loses_no_pair(spark):
+    from vacantia.functions import similarity as sim
+
+    rng = random.Random(5)
+
+    def word(n):
+        return "".join(rng.choice("abc dé日😀") for _ in range(n))
+
+    def changed(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(s) + 1)
+            s[at:at + rng.choice([0, 1])] = rng.choice(["", "a", "é", "😀"])
+        return "".join(s)
+
+    pairs = [(a, changed(a)) for a in (word(rng.randint(0, 24)) for _ in range(600))]
+    pairs += [("quartz dfgk", "quartz bmnp"), ("", ""), ("a", "b")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", *[sim.parity_ok(sim.letter_parity(F.col("a")), sim.letter_parity(F.col("b")), F.length("a"), F.length("b"), p).alias(f"p{p}")
+                    for p in (96, 90, 60)]).collect()
+    passed = 0
+    for r in rows:
+        for p in (96, 90, 60):
+            reached = lcs(r.a, r.b) * 200 >= (len(r.a) + len(r.b)) * p
+            assert r[f"p{p}"] or not reached, (r.a, r.b, p)
+            passed += not r[f"p{p}"]
+    assert passed > 200
+
+
+def test_growing_tables_are_not_collected(spark, tmp_path):
+    """Small files may hold many rows, more so when each is exploded into its segments."""
+    for name, column in (("n", "name_normalized"), ("e", "employer_norm")):
+        spark.range(50).select(F.concat(F.lit("acme robotics "), "id").alias(column)).write.parquet(str(tmp_path / name))
+    names, employers = (spark.read.parquet(str(tmp_path / x)) for x in ("n", "e"))
+    near = sponsor.similar_employers(names, employers.filter("employer_norm <> 'acme robotics 7'"))
+    found = sponsor.best_employer(names, employers)
+    for plan in (near, found):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50
+
+
+def test_names_of_a_common_segment_are_dealt_to_several_tasks(spark):
+    names = spark.range(200).select(F.concat(F.lit("blue data systems k"), "id").alias("name_normalized"))
+    employers = spark.createDataFrame([("blue data systems",)], "employer_norm string")
+    got = sponsor.similar_employers(names, employers, 90)
+    assert got.count() == brute_near([f"blue data systems k{i}" for i in range(200)], "blue data systems")
+    assert "share" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def brute_near(names, employer):
+    return sum(brute(n, [employer]) is not None for n in names)
+
+
+def test_each_spelling_is_normalized_once(spark):
+    raw = spark.createDataFrame([("Acme, Inc.", 1, None, 2020), ("ACME", 2, 1, None), ("Acme, Inc.", 4, None, 2019), ("Nova", None, None, None)],
+                                "employer_raw string, initial_approvals bigint, initial_denials bigint, fiscal_year int")
+    from vacantia.functions.text import normalize_company
+    by_norm = sponsor.employer_totals(raw.withColumn("employer_norm", normalize_company(F.col("employer_raw"))))
+    totals = sponsor.employer_totals(raw)
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, by_norm.collect())) == [("acme", 7, 1, 2020), ("nova", 0, 0, None)]
+    assert totals.schema == by_norm.schema
+    # the first grouping is by the spelling as it is
+    first = totals._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
+    assert first.strip().startswith("[employer_raw#")

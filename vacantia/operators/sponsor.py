@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions import similarity as sim
 from vacantia.functions.scoring import fiscal_year, score_milli, score_status, score_value
+from vacantia.functions.text import normalize_company
 from vacantia.session import spread, stash
 
 LEVELS = (96, 93)  # ratios searched before the lowest one
+SHARES = 4  # tasks that the names of one common segment are dealt to
 
 
 def employer_totals(filings: DataFrame) -> DataFrame:
-    """Approvals, denials and latest year per employer; NULL sums count as 0."""
+    """Approvals, denials and latest year per employer; NULL sums count as 0.
+
+    Filings without ``employer_norm`` are summed by ``employer_raw`` first, so that each spelling is normalized once.
+    """
+    if "employer_norm" not in filings.columns:
+        by_spelling = filings.groupBy("employer_raw").agg(
+            F.sum("initial_approvals").alias("initial_approvals"), F.sum("initial_denials").alias("initial_denials"),
+            F.max("fiscal_year").alias("fiscal_year"))
+        filings = by_spelling.withColumn("employer_norm", normalize_company(F.col("employer_raw")))
     return filings.groupBy("employer_norm").agg(
         F.coalesce(F.sum("initial_approvals"), F.lit(0)).cast("bigint").alias("approvals"),
         F.coalesce(F.sum("initial_denials"), F.lit(0)).cast("bigint").alias("denials"),
@@ -57,12 +67,16 @@ def similar_employers(names: DataFrame, employers: DataFrame,
         "name_normalized", sim.sorted_tokens(F.col("name_normalized")).alias("a"))
     right = spread(employers.select("employer_norm"), "employer_norm").select(
         "employer_norm", sim.sorted_tokens(F.col("employer_norm")).alias("b"))
-    probe = left.withColumn("k", F.explode(sim.probe_keys("a", percent))).select(
-        "name_normalized", "a", "k.*")
-    index = right.withColumn("k", F.explode(sim.segment_keys("b", percent))).select(
-        "employer_norm", "b", "k.*")
-    near = (probe.join(index, ["len", "seg", "part"])
-            .filter(sim.may_match(F.col("a"), F.col("b"), percent))
+    probe = left.select("*", *_measures("a"), F.explode(sim.probe_keys("a", percent)).alias("k")).select(
+        "name_normalized", "a", "a_bits", "a_length", "k.*", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"))
+    index = right.select("*", *_measures("b"), F.explode(sim.segment_keys("b", percent)).alias("k")).select(
+        "employer_norm", "b", "b_bits", "b_length", "k.*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    # Most pairs that share a segment share common words and no more; a few bits of each tell.
+    # The planner knows the index by its size in files and before it is exploded, and would have the driver collect it.
+    alike = sim.parity_ok(F.col("a_bits"), F.col("b_bits"), F.col("a_length"), F.col("b_length"), percent)
+    key = ["len", "seg", "part", "share"]
+    near = (spread(probe, *key).join(spread(index, *key).hint("merge"), key)
+            .filter(alike & sim.may_match(F.col("a"), F.col("b"), percent))
             .select("name_normalized", "employer_norm", "a", "b"))
     near = spread(near, "name_normalized", "employer_norm").dropDuplicates(
         ["name_normalized", "employer_norm"])
@@ -78,6 +92,10 @@ def similar_employers(names: DataFrame, employers: DataFrame,
                     (F.col("lcs") * 200.0 / F.col("n")).alias("ratio")))
 
 
+def _measures(column: str) -> list[Column]:
+    return [sim.letter_parity(F.col(column)).alias(f"{column}_bits"), F.length(column).alias(f"{column}_length")]
+
+
 def best_employer(names: DataFrame, employers: DataFrame,
                   percent: int = fv.MATCH_THRESHOLD) -> DataFrame:
     """The best employer per name: highest ratio, then smallest employer name.
@@ -86,6 +104,7 @@ def best_employer(names: DataFrame, employers: DataFrame,
     search, so they are settled by a plain join first. The others are searched
     by falling ratio: a name with a match at one level has its best one there,
     and only names without any go on to the next level, where keys are shorter.
+    Names and employers compress well in files, so no join may collect them on the driver by that size.
     """
     worded = r"[\p{L}\p{N}]"  # names without a word have no trigrams and match nothing
     names = names.select("name_normalized").filter(F.col("name_normalized").rlike(worded)).distinct()
@@ -94,7 +113,7 @@ def best_employer(names: DataFrame, employers: DataFrame,
                  .groupBy(key(F.col("employer_norm")).alias("tokens"))
                  .agg(F.min("employer_norm").alias("employer_norm")))
     looked_up = (names.withColumn("tokens", key(F.col("name_normalized")))
-                 .join(by_tokens, "tokens", "left"))
+                 .join(by_tokens.hint("merge"), "tokens", "left"))
     equal = looked_up.filter("employer_norm IS NOT NULL").select(
         "name_normalized", "employer_norm", F.lit(100.0).alias("ratio"))
     open_names, found = looked_up.filter("employer_norm IS NULL").select("name_normalized"), equal
@@ -106,7 +125,7 @@ def best_employer(names: DataFrame, employers: DataFrame,
                                     F.struct(-F.col("ratio"), F.col("employer_norm"))).alias("m"))
                       .select("name_normalized", "m.*"), "sponsor-found")
         found = found.unionByName(fuzzy)
-        open_names = open_names.join(fuzzy.select("name_normalized"), "name_normalized", "left_anti")
+        open_names = open_names.join(fuzzy.select("name_normalized").hint("merge"), "name_normalized", "left_anti")
     return found
 
 
@@ -124,8 +143,8 @@ def score_companies(companies: DataFrame, filings: DataFrame, as_of: Column) ->
                         fiscal_year(as_of))
     matched = F.col("employer_norm").isNotNull()
     # matches meet their totals first, so unmatched companies bring no NULL key to that join
-    known = best.join(totals, "employer_norm")
-    return (todo.join(known, "name_normalized", "left")
+    known = best.join(totals.hint("merge"), "employer_norm")
+    return (todo.join(known.hint("merge"), "name_normalized", "left")
             .select("id", "name_normalized", "employer_norm",
                     F.when(matched, score_value(milli))
                     .otherwise(F.lit(0).cast("decimal(4,3)")).alias("sponsor_score"),
@@ -138,7 +157,7 @@ def apply_scores(companies: DataFrame, scores: DataFrame) -> DataFrame:
     new = (scores.filter("sponsor_status <> 'unknown'")
            .select("id", F.col("sponsor_score").alias("new_score"),
                    F.col("sponsor_status").alias("new_status")))
-    return (companies.join(new, "id", "left")
+    return (companies.join(new.hint("merge"), "id", "left")
             .withColumns({"sponsor_score": F.coalesce("new_score", "sponsor_score"),
                           "sponsor_status": F.coalesce("new_status", "sponsor_status")})
             .select(*companies.columns))

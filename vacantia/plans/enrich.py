@@ -192,7 +192,7 @@ scores AS (SELECT c.id, c.name_normalized, b.employer_norm,
 
 
 def _scores(t: Tables) -> DataFrame:
-    return sponsor.score_companies(companies(t), filings(t), at(ORDERS_AS_OF))
+    return sponsor.score_companies(companies(t), t.filings_v, at(ORDERS_AS_OF))
 
 
 @query("employer_aggregate", f"WITH {_EMPLOYERS} SELECT * FROM employers")
@@ -233,7 +233,7 @@ def _(t):
 @query("sponsor_match", f"WITH {_EMPLOYERS}, {_MATCH} SELECT name_normalized, employer_norm, ratio FROM best")
 def _(t):
     todo = sponsor.unknown_companies(companies(t))
-    totals = stash(sponsor.employer_totals(filings(t)), "sponsor-totals")
+    totals = stash(sponsor.employer_totals(t.filings_v), "sponsor-totals")
     return sponsor.best_employer(todo, totals)
 
 
@@ -253,7 +253,7 @@ def _(t):
 @query("sponsor_run_detail", f"""{_SCORES}, n AS (SELECT sponsor_status||'='||CAST(count(*) AS STRING) AS part FROM scores GROUP BY sponsor_status)
 SELECT 'sponsor_match' AS source, true AS ok, coalesce(nullif(string_agg(part, ', ' ORDER BY part),''),'0 companies') AS detail FROM n""")
 def _(t):
-    _, log = sponsor.scoring_run(companies(t), filings(t), at(ORDERS_AS_OF))
+    _, log = sponsor.scoring_run(companies(t), t.filings_v, at(ORDERS_AS_OF))
     return log.select("source", "ok", "detail")
 
 
