@@ -64,3 +64,23 @@ def test_insert_through_a_store_equals_insert_through_a_table(spark, tmp_path):
     store.add(stored)
     got, want = (sorted(map(repr, load.insert_if_absent(new, s, ["n"]).collect())) for s in (store, stored))
     assert got == want
+
+
+def test_a_full_filter_is_not_asked(spark, tmp_path, monkeypatch):
+    """A store with far more keys than expected decides by its keys alone, and still never shuffles them."""
+    from pyspark.sql import functions as F
+
+    small = keystore.KeyStore(spark, str(tmp_path / "small"), KEYS, buckets=4, expected=1_000)
+    many = spark.range(60_000).select(F.expr("if(id % 2 = 0, 'e', 'o')").alias("source"), F.col("id").cast("string").alias("external_id"))
+    small.add(many.limit(10))
+    assert small.passing() < 0.01
+    small.add(many)
+    assert small.passing() > 0.9
+    monkeypatch.setattr(keystore.KeyStore, "asked", None)
+    asked = [("o", "5"), ("e", "60000"), ("e", "5"), (None, "5"), ("e", None), ("e", "8")]
+    fresh = small.absent(spark.createDataFrame(asked, "source string, external_id string"))
+    assert sorted(map(tuple, fresh.collect()), key=str) == sorted(asked[1:5], key=str)
+    plan = small.absent(many.groupBy("source", "external_id").count())._jdf.queryExecution().executedPlan().toString()
+    # the arrivals come to the buckets
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "Exchange" not in join[join.rindex("Sort ["):] and "Broadcast" not in plan and small.table in join[join.rindex("Sort ["):]

@@ -22,6 +22,7 @@ from vacantia.session import configure, stash
 BLOCK_BITS = 1 << 15   # one bitmap of Spark's bitmap functions
 PROBES = 5
 BITS_PER_KEY = 10      # about 1 % of new keys pass the filter
+USELESS = 0.5          # a filter that lets more new keys pass is not worth asking
 
 
 class KeyStore:
@@ -74,8 +75,21 @@ class KeyStore:
                      .join(self.filter(), "block", "left"))
         return with_bits.select(*arrivals.columns, F.coalesce(F.col("bits").isNotNull() & there, F.lit(False)).alias("maybe"))
 
+    def passing(self) -> float:
+        """The share of unknown keys that the filter lets through, by the bits that are set."""
+        filled = F.bitmap_count("bits") / F.lit(BLOCK_BITS)
+        return self.filter().agg(F.coalesce(F.sum(F.pow(filled, F.lit(PROBES))) / F.lit(self.blocks), F.lit(0.0))).first()[0]
+
     def absent(self, arrivals: DataFrame) -> DataFrame:
-        """The arrivals whose key is not stored; those with a NULL in the key all are."""
+        """The arrivals whose key is not stored; those with a NULL in the key all are.
+
+        A filter that many more keys were added to than expected refuses next to nothing; it is not asked then.
+        """
+        if self.passing() > USELESS:
+            dealt = arrivals.repartition(self.buckets, *self.keys)  # as the stored keys are
+            # an anti join would be moved below that, to where the stored keys have to be shuffled
+            known = self.stored().withColumn("known", F.lit(True)).hint("merge")
+            return dealt.join(known, list(self.keys), "left").filter("known IS NULL").select(*arrivals.columns)
         asked = stash(self.asked(arrivals), "keystore-asked")
         checked = asked.filter("maybe").join(self.stored(), list(self.keys), "left_anti")
         return asked.filter("NOT maybe").unionByName(checked.select(*asked.columns)).drop("maybe")

@@ -75,7 +75,7 @@ def one_per_key(rows: DataFrame, order_by: list[str], keys: tuple[str, ...] = JO
 
 
 def upsert_companies(stored: DataFrame, incoming: DataFrame, saved_as: str | None = None) -> DataFrame:
-    """New company state from ``incoming(name, ats_type, ats_token, seq)``.
+    """New company state from ``incoming(name, ats_type, ats_token, seq[, name_normalized])``.
 
     The first name stays. Board type and token change only to a non-empty
     value, so a source without boards cannot erase a token. With ``saved_as``
@@ -86,8 +86,10 @@ def upsert_companies(stored: DataFrame, incoming: DataFrame, saved_as: str | Non
     old = stored.select(
         "name_normalized", "name", "ats_type", "ats_token",
         F.lit(None).cast("bigint").alias("seq"), F.struct(*own).alias("own"))
+    # what is normalized already is not normalized again
+    key = F.col("name_normalized") if "name_normalized" in incoming.columns else normalize_company(F.col("name"))
     new = incoming.select(
-        normalize_company(F.col("name")).alias("name_normalized"), "name", "ats_type",
+        key.alias("name_normalized"), "name", "ats_type",
         "ats_token", F.col("seq").cast("bigint").alias("seq"),
         F.lit(None).cast(old.schema["own"].dataType).alias("own"))
     # NULL sorts first, so the stored row precedes every incoming one.

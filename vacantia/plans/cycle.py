@@ -44,10 +44,10 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame | KeyStor
     """
     rows = stash(_numbered(payloads.typed(landing, whole=True)), "cycle-rows")
     boards = stash(payloads.board_companies(rows).withColumn("name_normalized", normalize_company(F.col("name"))), "cycle-boards")
-    state = load.upsert_companies(companies, payloads.company_sightings(rows, boards), "cycle-companies")
+    state = load.upsert_companies(companies, _normalized(payloads.company_sightings(rows, boards)), "cycle-companies")
     arrivals = payloads.postings(rows).filter(payloads.has_company()).select(*_TOLD)
     fresh = stash(load.insert_if_absent(arrivals, job_keys, [*ORDER, "row"]), "cycle-fresh")
-    named = load.with_company_id(_normalized(payloads.with_company_name(fresh, boards)), state)
+    named = load.with_company_id(_normalized(payloads.with_company_name(fresh, boards)).drop("name"), state)
     by_name = load.company_id(F.col("name_normalized"))
     own_id = F.when(F.col("company_id") != by_name, F.col("company_id")).alias("own_id")
     inserted = stash(named.select(*[c for c in _TOLD if c != "company"], "name_normalized", own_id), "cycle-inserted")
@@ -67,10 +67,9 @@ def poll(landing: DataFrame, companies: DataFrame, job_keys: DataFrame | KeyStor
     return Cycle(state, new_jobs, sent, log)
 
 
-def _normalized(postings: DataFrame) -> DataFrame:
-    """Named postings by normalized name. Boards bring theirs, made once for all of their postings; listings bring a name only."""
-    return (postings.withColumn("name_normalized", F.coalesce("name_normalized", normalize_company(F.col("name"))))
-            .drop("name"))
+def _normalized(named: DataFrame) -> DataFrame:
+    """Named rows with their normalized name. Boards bring theirs, made once for all of their postings; listings bring a name only."""
+    return named.withColumn("name_normalized", F.coalesce("name_normalized", normalize_company(F.col("name"))))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

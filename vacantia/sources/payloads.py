@@ -96,7 +96,8 @@ def parsed(landing: DataFrame) -> DataFrame:
     """
     in_jobs, in_page = F.col("ats").isin("greenhouse", "ashby"), F.col("ats") == "smartrecruiters"
     ok = answered(F.col("status"))
-    shapes = landing.withColumns({
+    # what was not answered is not looked at, so that a body made on the way is not made for it
+    shapes = landing.withColumn("body", F.when(ok, F.col("body"))).withColumns({
         "jobs": F.when(ok & in_jobs, F.from_json("body", _JOBS)),
         "paged": F.when(ok & in_page, F.from_json("body", _PAGE)),
         "rows": F.when(ok & ~in_jobs & ~in_page, F.from_json("body", _ROWS))})
@@ -320,14 +321,13 @@ def with_company_name(rows: DataFrame, boards: DataFrame) -> DataFrame:
 
 
 def company_sightings(rows: DataFrame, boards: DataFrame) -> DataFrame:
-    """Rows for the company upsert: boards with their token, listings without."""
+    """Rows for the company upsert: boards with their token, listings without. What else ``boards`` tell is kept."""
     listed = (rows.filter("shown AND ats = 'github_repos'").groupBy(F.col("company").alias("name"))
               .agg(F.min("fetched_at").alias("fetched_at"))
               .select("name", F.lit(None).cast("string").alias("ats_type"),
                       F.lit(None).cast("string").alias("ats_token"), "fetched_at"))
-    return (boards.select("name", F.col("ats").alias("ats_type"),
-                          F.col("token").alias("ats_token"), "fetched_at").unionByName(listed)
-            .select("name", "ats_type", "ats_token", F.unix_micros("fetched_at").alias("seq")))
+    told = boards.withColumnsRenamed({"ats": "ats_type", "token": "ats_token"}).unionByName(listed, allowMissingColumns=True)
+    return told.withColumn("seq", F.unix_micros("fetched_at")).drop("fetched_at")
 
 
 def board_status(rows: DataFrame) -> DataFrame:
